@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, packing, sharding
+from . import bpe, fingerprints, packing, sharding, simhash
 
 QUERIES = {
+    "op3_bk_tree_simhash": simhash.query,
     "op7_multiset_hash": fingerprints.query,
     "op8_minimum_bin_slack": packing.query,
     "op9_maglev_sharding": sharding.query,
