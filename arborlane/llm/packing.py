@@ -13,6 +13,7 @@ padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,10 @@ CAPACITY = 4096
 #: Tokens in the pool when packing begins, and of which it leaves half for a better choice later.
 POOL = 1 << 20
 #: Words whose tokens a worker keeps.
-WORDS = 250_000
+WORDS = 700_000
+#: The splitting pattern of the vocabulary, in Latin-1: contractions, letters, single digits, other characters.
+_LETTERS, _DIGITS, _BLANK = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANK}{_LETTERS}{_DIGITS}]+")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -124,8 +128,23 @@ class Packer:
             self._sequence(size)
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordTokens:
-    """The tokenizers library's ids of texts, words apart at ASCII white space, which this vocabulary drops; each word is encoded once."""
+    """The tokenizers library's ids of texts; the library encodes each word once.
+
+    In texts of Latin-1 characters, which the vocabulary's normalizer only
+    lower-cases one by one, words are the pieces of its own splitting pattern;
+    they are encoded many at a time, told apart by the tokens that end words.
+    Other texts, and those that may hold the vocabulary's marks, split at ASCII
+    white space, which it drops.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -133,24 +152,39 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[bytes, tuple[int, ...]] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends_word[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
+        self.words: dict[str | bytes, bytes] = {}
+
+    def _one_by_one(self, new: list[str]) -> None:
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _together(self, new: list[str]) -> None:
+        for k in range(0, len(new), 512):
+            some = new[k : k + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids])
+            if len(ends) != len(some):
+                self._one_by_one(some)
+                continue
+            data, cuts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
+            self.words.update(zip(some, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def encode_batch(self, many: list[str], end: tuple[int, ...]) -> list[np.ndarray]:
-        split = [x.encode("utf-8").split() for x in many]
+        plain = [_is_latin(x) and "<|" not in x for x in many]
+        split = [_PIECE.findall(x.lower()) if p else x.encode("utf-8").split() for x, p in zip(many, plain, strict=True)]
         words = self.words
         if len(words) > WORDS:
             words.clear()
-        new = list({w for x in split for w in x if w not in words})
-        if new:
-            words.update((w, tuple(e.ids)) for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True))
-        out = []
-        for x in split:
-            ids: list[int] = []
-            for w in x:
-                ids.extend(words[w])
-            ids.extend(end)
-            out.append(np.array(ids, "<u4"))
-        return out
+        new = [w for w in set().union(*split) if w not in words]
+        self._together([w for w in new if isinstance(w, str)])
+        for w in new:
+            if isinstance(w, bytes):
+                words[w] = np.array(self.tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        of, tail = words.__getitem__, np.array(end, "<u4").tobytes()
+        return [np.frombuffer(b"".join(map(of, x)) + tail, "<u4") for x in split]
 
 
 _tokenizers: dict[str, WordTokens] = {}

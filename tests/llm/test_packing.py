@@ -82,6 +82,9 @@ def test_query_against_the_library(spark, sf):
 def test_words_equal_the_library():
     library, own = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
     many = ["", "ΑΣ ΑΣΑ  İstanbul", "e ́ x́", "it's  <|endoftext|> a<|startoftext|>b", "a b c\x1cd\x85e", "ﬁ 12 3!!\n\n?"]
+    rng = random.Random(4)
+    alphabet = [chr(k) for k in range(256)] + list("'stlrevmd ") * 20
+    many += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(300))) for _ in range(300)]
     for text, ids in zip(many, own.encode_batch(many, ()), strict=True):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
