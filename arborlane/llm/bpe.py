@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +30,14 @@ from .common import chunked, read, texts
 #: Code points of a leaf; tokens on each side of the first window; tokens that must agree, without and with a sure boundary.
 LEAF, WINDOW, AGREE, SURE = 2048, 8, 16, 2
 #: Units (a word with the white space before it) whose tokens a worker keeps.
-UNITS = 150_000
+UNITS = 300_000
 #: White space of the splitting pattern.
 _S = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _UNIT = re.compile(f"[{_S}]*[^{_S}]+|[{_S}]+")
+#: A sure boundary in bytes: a printable character, then white space.
+_SURE = re.compile(rb"[!-~][ \n]")
+#: How marks of the vocabulary's own begin; units that may hold one are encoded apart.
+_MARK = "<|"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -58,52 +63,58 @@ class TreeEncoder:
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes_of[k] = added[k].encode() if k in added else bytes(chars[c] for c in token)
         self.text_of = [str(k) for k in range(len(self.bytes_of))]
-        self.units: dict[str, tuple[int, ...]] = {}
-
-    def leaves(self, many: list[str]) -> list[list[int]]:
+        self.sizes = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.units: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes units.  Those from white space to no white space stay apart in one text, too: their tokens are told apart by their bytes."""
+        apart = [u for u in new if u[0] in _S and u[-1] not in _S and _MARK not in u]
+        for k in range(0, len(apart), 256):
+            some = apart[k : k + 256]
+            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(u.encode()) for u in some])) + 1
+            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.units.update(zip(some, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        rest = [u for u in new if u not in self.units]
+        for u, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.units[u] = np.array(e.ids, "<u4").tobytes()
+
+    def leaves(self, many: list[str]) -> list[np.ndarray]:
         """Each text's tokens.  Texts split into units at sure boundaries; each unit is encoded by the library once."""
         split = [_UNIT.findall(x) for x in many]
-        units = self.units
-        if len(units) > UNITS:
-            units.clear()
-        new = list({u for x in split for u in x if u not in units})
-        if new:
-            units.update((u, tuple(e.ids)) for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
-        out = []
-        for x in split:
-            ids: list[int] = []
-            for u in x:
-                ids.extend(units[u])
-            out.append(ids)
-        return out
-
-    def _edge(self, ids: list[int], w: int, left: bool) -> tuple[int, bytes, bool, bool]:
+        if len(self.units) > UNITS:
+            self.units.clear()
+        if new := [u for u in set().union(*split) if u not in self.units]:
+            self._learn(new)
+        of = self.units.__getitem__
+        return [np.frombuffer(b"".join(map(of, x)), "<u4") for x in split]
+
+    def _edge(self, ids: np.ndarray, w: int, left: bool) -> tuple[int, bytes, bool, bool]:
         """Of a side's w tokens next to the seam: how many to take, so that no character is cut; their bytes; whether that is the whole side; whether their outer part has a sure boundary."""
         while w < len(ids) and (self.bytes_of[ids[len(ids) - w if left else w]][:1] or b" ")[0] & 0xC0 == 0x80:
             w += 1
         w = min(w, len(ids))
-        some = ids[len(ids) - w :] if left else ids[:w]
-        data = b"".join(self.bytes_of[k] for k in some)
-        outer = b"".join(self.bytes_of[k] for k in (some[: w // 2] if left else some[w - w // 2 :]))
-        return w, data, w == len(ids), bool(re.search(rb"[!-~][ \n]", outer))
+        some = [self.bytes_of[k] for k in (ids[len(ids) - w :] if left else ids[:w]).tolist()]
+        outer = b"".join(some[: w // 2] if left else some[w - w // 2 :])
+        return w, b"".join(some), w == len(ids), bool(_SURE.search(outer))
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The tokens of both sides' text together."""
-        if not left or not right:
-            return left + right
+        if not len(left) or not len(right):
+            return left if len(left) else right
         w = self.window
         while True:
             a, before, all_left, sure_left = self._edge(left, w, True)
             b, after, all_right, sure_right = self._edge(right, w, False)
             ids = self.leaves([(before + after).decode("utf-8")])[0]
-            na, nb = min(a, max(SURE, a // 2) if sure_left else AGREE), min(b, max(SURE, b // 2) if sure_right else AGREE)
-            left_ok = all_left or (a >= na and (sure_left or a >= AGREE) and ids[:na] == left[len(left) - a :][:na])
-            right_ok = all_right or (b >= nb and (sure_right or b >= AGREE) and ids[len(ids) - nb :] == right[:b][b - nb :])
+            na, nb = max(SURE, a // 2) if sure_left else AGREE, max(SURE, b // 2) if sure_right else AGREE
+            left_ok = all_left or (a >= na and np.array_equal(ids[:na], left[len(left) - a :][:na]))
+            right_ok = all_right or (b >= nb and np.array_equal(ids[max(0, len(ids) - nb) :], right[b - nb : b]))
             if left_ok and right_ok:
-                return left[: len(left) - a] + ids + right[b:]
+                return np.concatenate([left[: len(left) - a], ids, right[b:]])
             w *= 2
 
-    def encode_batch(self, many: list[str]) -> list[list[int]]:
+    def encode_batch(self, many: list[str]) -> list[np.ndarray]:
         parts = []
         for x in many:
             count = 1
@@ -121,8 +132,7 @@ class TreeEncoder:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        of = self.bytes_of
-        return b"".join([of[k] for k in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _encoders: dict[tuple, TreeEncoder] = {}
@@ -146,7 +156,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, leaf)
         for ids, many in chunked(batches, "doc_id", "text"):
-            tokens = own.encode_batch(many)
+            tokens = [x.tolist() for x in own.encode_batch(many)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array([own.decode(x) for x in tokens], pa.string())], ["doc_id", "ids", "decoded"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
@@ -157,14 +167,14 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, leaf)
-        name = own.text_of
+        name = own.text_of.__getitem__
         for ids, many in chunked(batches, "doc_id", "text"):
-            tokens = own.encode_batch(many)
+            tokens = [x.tolist() for x in own.encode_batch(many)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array([len(x) for x in tokens], pa.int64()),
-                    pa.array([hashlib.sha256(",".join([name[k] for k in x]).encode()).hexdigest() for x in tokens], pa.string()),
+                    pa.array([hashlib.sha256(",".join(map(name, x)).encode()).hexdigest() for x in tokens], pa.string()),
                     pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in tokens], pa.string()),
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
