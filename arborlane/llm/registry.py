@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, packing, sharding, simhash
+from . import bpe, context_tree, fingerprints, language, packing, quality, resampling, secrets, sharding, simhash
 
 QUERIES = {
+    "op1_secret_ownership": secrets.query,
+    "op2_context_tree": context_tree.query,
     "op3_bk_tree_simhash": simhash.query,
+    "op4_kneser_ney_bands": quality.query,
+    "op5_importance_resampling": resampling.query,
+    "op6_viterbi_language": language.query,
     "op7_multiset_hash": fingerprints.query,
     "op8_minimum_bin_slack": packing.query,
     "op9_maglev_sharding": sharding.query,
