@@ -38,15 +38,15 @@ _EMPTY = np.zeros(0, U64)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """ln of the gamma function for x >= 0.5, by shifting to x >= 8 and Stirling's series."""
+    """ln of the gamma function for x >= 0.5, by shifting to x >= 10 and Stirling's series."""
     x = x.astype(np.float64)
     shift = np.zeros_like(x)
-    for _ in range(8):
-        small = x < 8
+    for _ in range(10):
+        small = x < 10
         shift -= np.log(np.where(small, x, 1.0))
         x = np.where(small, x + 1, x)
     r = 1 / (x * x)
-    return shift + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / x
+    return shift + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / x
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:

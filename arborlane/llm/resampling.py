@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, chunked, grams, mix, read, sum_by, texts
+from .common import U64, chunked, compacted, grams, mix, read, sum_by, texts
 
 #: Sizes of the n-grams, places of each size's hash table, added to each count.
 SIZES, PLACES, SMOOTHING = (2, 4), 1 << 16, 0.5
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> tuple[Sampl
     """The sampler, and the scores (checkpointed) of all rows."""
     rows = texts(docs)
     sampler = Sampler(ratios(count(rows, target_ids(labels))), None)
-    scores = checkpointed(_scored(rows, sampler))
+    scores = compacted(_scored(rows, sampler))
     k = scores.where(F.col("log_weight") >= floor).count()
     if k:
         sampler.threshold = kth_largest(scores, k)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunked, read
+from .common import chunked, compacted, read
 
 #: The base kinds in their order, their patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     rows each give a row and count as one repository, an empty table gives an
     empty result.
     """
-    found = checkpointed(candidates(docs, id_col, text_col, owner_col, repo_col))
+    found = compacted(candidates(docs, id_col, text_col, owner_col, repo_col))
     kind = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
     rows = found.join(judged(found, copied_owners), ["doc_id", "hash"], "left").withColumn("judged", F.coalesce("judged", F.expr("array()")))
     shown = F.filter("judged", lambda s: (s.kind < 3) | s.live)
@@ -160,7 +160,7 @@ def redact(docs: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
     Widely copied examples stay.  Texts without candidates never shuffle.  Null
     texts stay null; every row stays.
     """
-    found = checkpointed(candidates(docs, owner_col="source" if "source" in docs.columns else None).where(F.size("base") + F.size("more") > 0))
+    found = compacted(candidates(docs, owner_col="source" if "source" in docs.columns else None).where(F.size("base") + F.size("more") > 0))
     spans = judged(found, copied_owners).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.filter("judged", lambda s: s.live).alias("__live")).where(F.size("__live") > 0)
 
     @F.arrow_udf("boolean")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, checkpointed, chunked, mix, read, texts
+from .common import LOWER, U64, checkpointed, chunked, compacted, mix, read, scan_partitions, texts
 
 SEED, RADIUS = 42, 2
 #: Blocks of bits, three of which at least agree within the radius.
@@ -188,14 +188,15 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return grouped.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int = 1) -> DataFrame:
     """node, root (the smallest node of its component) of every node of the edges (a, b) but the roots.
 
     Large-star and small-star steps in turn: each links a node's neighbours to
     the smallest of them.  A node with many neighbours is one row of minima and
-    a plain join, which Spark may split.
+    a plain join, which Spark may split.  The first table of edges goes to so
+    many files, later ones to one for each half million edges.
     """
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().coalesce(files))
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
@@ -207,7 +208,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
-        edges = checkpointed(small.select("e.*").where("a != b").distinct())
+        edges = checkpointed(small.select("e.*").where("a != b").distinct().coalesce(1 + before[0] // 500_000))
         after = state(edges)
         if after == before:
             break
@@ -223,9 +224,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never becomes a component's id unless there's no other; an empty table
     gives an empty result.
     """
-    own = checkpointed(fingerprints(docs, id_col, text_col, words))
+    own = compacted(fingerprints(docs, id_col, text_col, words))
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp"), radius))
+    roots = components(links(classes.select("fp"), radius), scan_partitions(own))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -286,8 +287,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     rows = marked.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("hash"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     classes = _sketches(rows).groupBy("id").agg(F.min(F.struct("doc_id", "hash")).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
-    classes = checkpointed(classes)
-    roots = components(_wide_links(classes.select("id", "fp", "sketch")))
+    files = max(1, scan_partitions(rows) // 4)
+    classes = checkpointed(classes.coalesce(files))
+    roots = components(_wide_links(classes.select("id", "fp", "sketch")), files)
     rooted = classes.select("id", "least").join(roots, classes.id == roots.node, "left").select("least", F.coalesce("root", "id").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.hash").alias("__hash"))
     kept = marked.join(keepers, ["__id", "__hash"], "left_semi")
