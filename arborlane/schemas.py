@@ -109,6 +109,6 @@ def training_request(data: dict) -> TrainingRequest:
     return TrainingRequest(**data)
 
 
-JOB_EVENTS = "job_id string, status string, dataset_path string, mode string, dataset_type string, hyperparameters string, owner string, trees long, at double"
-TASK_EVENTS = "task_id string, job_id string, worker_name string, status string, at double"
-LOCK_EVENTS = "lock_key string, owner string, action string, ttl double, at double"
+JOB_EVENTS = "job_id string, status string, dataset_path string, mode string, dataset_type string, hyperparameters string, owner string, trees long, at_s double"
+TASK_EVENTS = "task_id string, job_id string, worker_name string, status string, at_s double"
+LOCK_EVENTS = "lock_key string, owner string, action string, ttl double, at_s double"

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the reference, in seconds: heartbeats older than this are dead; leases of leaders and jobs.
 HEARTBEAT, LEADER_LEASE, JOB_LEASE = 120.0, 180.0, 300.0
-TERMINAL = ("COMPLETED", "FAILED")
+_ENTRY = "struct<at_s:double,owner:string,action:string,granted:boolean,holder:string,expires_at:double>"
 #: Which status may follow which.
 FOLLOWS = {"QUEUED": ("PROCESSING", "FAILED"), "PROCESSING": ("COMPLETED", "FAILED", "PROCESSING"), "COMPLETED": (), "FAILED": ("QUEUED",)}
 
 
-def latest(events: DataFrame, key: str, at: str = "at") -> DataFrame:
+def latest(events: DataFrame, key: str, at: str = "at_s") -> DataFrame:
     """The last event of each key: a partial maximum in each task, so a busy key costs a row a task."""
     columns = [c for c in events.columns if c != key]
     return events.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(at, *[c for c in columns if c != at])).alias("e")).select(key, "e.*")
 
 
-def live_workers(heartbeats: DataFrame, now: float, key: str = "worker_name", at: str = "at") -> DataFrame:
-    """key, at and live: whether the last heartbeat is at most 120 s old."""
+def live_workers(heartbeats: DataFrame, now: float, key: str = "worker_name", at: str = "at_s") -> DataFrame:
+    """key, at_s and live: whether the last heartbeat is at most 120 s old."""
     return heartbeats.groupBy(key).agg(F.max(at).alias(at)).withColumn("live", F.lit(now) - F.col(at) <= HEARTBEAT)
 
 
@@ -52,25 +52,25 @@ def lookup(table: DataFrame, **equal) -> DataFrame:
 
 
 def lock_history(events: DataFrame) -> DataFrame:
-    """Each lock event (lock_key, owner, action, ttl, at) with `granted`, and `holder` and `expires_at` after it.
+    """Each lock event (lock_key, owner, action, ttl, at_s) with `granted`, and `holder` and `expires_at` after it.
 
     acquire succeeds if the lock is free, expired or already the owner's;
     refresh and release succeed only for the owner of a live lock.  Events of a
     lock take their turn by time, then owner: a fold over them, as each outcome
     depends on the one before.
     """
-    step = F.struct("at", "owner", "action", "ttl")
-    start = F.struct(F.lit(None).cast("string").alias("holder"), F.lit(0.0).alias("expires_at"), F.array().cast("array<struct<at:double,owner:string,action:string,granted:boolean,holder:string,expires_at:double>>").alias("log"))
+    step = F.struct("at_s", "owner", "action", "ttl")
+    start = F.struct(F.lit(None).cast("string").alias("holder"), F.lit(0.0).alias("expires_at"), F.slice(F.array(F.lit(None).cast(_ENTRY)), 1, 0).alias("log"))
 
     def after(state: Column, e: Column) -> Column:
         mine = state["holder"].eqNullSafe(e["owner"])
-        expired = state["holder"].isNull() | (e["at"] >= state["expires_at"])
+        expired = state["holder"].isNull() | (e["at_s"] >= state["expires_at"])
         granted = F.when(e["action"] == "acquire", expired | mine).otherwise(mine & ~expired)
         released = granted & (e["action"] == "release")
         holder = F.when(released, F.lit(None).cast("string")).when(granted, e["owner"]).otherwise(state["holder"])
-        expires = F.when(released, F.lit(0.0)).when(granted, e["at"] + e["ttl"]).otherwise(state["expires_at"])
-        entry = F.struct(e["at"].alias("at"), e["owner"].alias("owner"), e["action"].alias("action"), granted.alias("granted"), holder.alias("holder"), expires.alias("expires_at"))
-        return F.struct(holder.alias("holder"), expires.alias("expires_at"), F.concat(state["log"], F.array(entry)).alias("log"))
+        expires = F.when(released, F.lit(0.0)).when(granted, e["at_s"] + e["ttl"]).otherwise(state["expires_at"])
+        entry = F.struct(e["at_s"].alias("at_s"), e["owner"].alias("owner"), e["action"].alias("action"), granted.alias("granted"), holder.alias("holder"), expires.alias("expires_at"))
+        return F.struct(holder.alias("holder"), expires.alias("expires_at"), F.concat(state["log"], F.array(entry).cast(f"array<{_ENTRY}>")).alias("log"))
 
     folded = events.groupBy("lock_key").agg(F.array_sort(F.collect_list(step)).alias("events"))
     return folded.select("lock_key", F.explode(F.aggregate("events", start, after, lambda s: s["log"])).alias("e")).select("lock_key", "e.*")
@@ -78,12 +78,12 @@ def lock_history(events: DataFrame) -> DataFrame:
 
 def lock_owner(history: DataFrame, now: float) -> DataFrame:
     """lock_key and owner now; null if it's free or expired."""
-    last = history.groupBy("lock_key").agg(F.max_by(F.struct("holder", "expires_at"), F.struct("at", "owner")).alias("s"))
+    last = history.groupBy("lock_key").agg(F.max_by(F.struct("holder", "expires_at"), F.struct("at_s", "owner")).alias("s"))
     return last.select("lock_key", F.when(F.col("s.expires_at") > now, F.col("s.holder")).alias("owner"))
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """job_id, status, ignored: the state that a job's events (job_id, status, at) come to; steps that can't follow are ignored, repeated ones too."""
+    """job_id, status, ignored: the state that a job's events (job_id, status, at_s) come to; steps that can't follow are ignored, repeated ones too."""
     allowed = F.create_map(*[x for s, nxt in FOLLOWS.items() for x in (F.lit(s), F.array(*[F.lit(n) for n in nxt]).cast("array<string>"))])
     start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("ignored"))
 
@@ -91,7 +91,7 @@ def job_states(events: DataFrame) -> DataFrame:
         ok = F.when(state["status"].isNull(), e["status"] == "QUEUED").otherwise(F.array_contains(F.coalesce(F.element_at(allowed, state["status"]), F.array().cast("array<string>")), e["status"]))
         return F.struct(F.when(ok, e["status"]).otherwise(state["status"]).alias("status"), (state["ignored"] + F.when(ok, 0).otherwise(1)).alias("ignored"))
 
-    folded = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("at", "status"))).alias("events"))
+    folded = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("at_s", "status"))).alias("events"))
     return folded.select("job_id", F.aggregate("events", start, after).alias("s")).select("job_id", "s.*")
 
 
@@ -103,16 +103,16 @@ def orphans(jobs: DataFrame, leases: DataFrame, now: float) -> DataFrame:
 
 def retries(tasks: DataFrame, most: int = 3) -> DataFrame:
     """task_id, attempts, retry: failed tasks go again up to three times."""
-    rows = tasks.groupBy("task_id").agg(F.count_if(F.col("status") == "FAILED").alias("attempts"), F.max_by("status", "at").alias("status"))
+    rows = tasks.groupBy("task_id").agg(F.count_if(F.col("status") == "FAILED").alias("attempts"), F.max_by("status", "at_s").alias("status"))
     return rows.where("status = 'FAILED'").select("task_id", "attempts", (F.col("attempts") <= most).alias("retry"))
 
 
 def queue_state(messages: DataFrame, receipts: DataFrame, now: float, visibility: float = 180.0) -> DataFrame:
     """The queue's order now: messages (message_id, sent_at) without deletion; those in flight longer than the visibility timeout go to the head.
 
-    receipts: message_id, action (receive, extend, delete), at.
+    receipts: message_id, action (receive, extend, delete), at_s.
     """
-    last = receipts.groupBy("message_id").agg(F.max("at").alias("seen"), F.bool_or(F.col("action") == "delete").alias("deleted"))
+    last = receipts.groupBy("message_id").agg(F.max("at_s").alias("seen"), F.bool_or(F.col("action") == "delete").alias("deleted"))
     rows = messages.join(last, "message_id", "left").where(~F.coalesce("deleted", F.lit(False)))
     flying = F.col("seen").isNotNull() & (F.lit(now) - F.col("seen") < visibility)
     return rows.select("message_id", "sent_at", F.when(flying, "in_flight").when(F.col("seen").isNotNull(), "returned").otherwise("waiting").alias("state"))
