@@ -122,13 +122,13 @@ def curve(df: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = ()) -
 def f1_threshold(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The point of largest F1, the lowest threshold among equals."""
     best = F.min_by(F.struct("threshold", "precision", "recall", "f1"), F.struct(-F.col("f1"), F.col("threshold"))).alias("b")
-    return points.groupBy(*by).agg(best).select(*by, "b.*")
+    return points.groupBy(*by).agg(best).where("b is not null").select(*by, "b.*")
 
 
 def fpr_threshold(points: DataFrame, limit: float = FPR_LIMIT, by: tuple[str, ...] = ()) -> DataFrame:
     """The point of largest recall with a false-positive rate up to the limit, the highest threshold among equals; no row if none."""
     best = F.min_by(F.struct("threshold", "precision", "recall", "fpr"), F.struct(-F.col("recall"), -F.col("threshold"))).alias("b")
-    return points.where(F.col("fpr") <= limit).groupBy(*by).agg(best).select(*by, "b.*")
+    return points.where(F.col("fpr") <= limit).groupBy(*by).agg(best).where("b is not null").select(*by, "b.*")
 
 
 def at_thresholds(df: DataFrame, thresholds: list[float], y: str = "y", p: str = "p") -> DataFrame:

@@ -136,6 +136,6 @@ def alarm_rates(flows: DataFrame, time: str, y: str, yhat: str, window: str = "1
     """False-positive rate in tumbling windows, for batches and streams; late rows count up to the watermark."""
     rows = flows.where(F.col(y) != 1)
     if rows.isStreaming:
-        rows = rows.withWatermark(time, late)
+        rows = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)  # watermarks need an instant
     counts = rows.groupBy(F.window(time, window).alias("w")).agg(F.count("*").alias("n"), F.sum((F.col(yhat) == 1).cast("long")).alias("fp"))
     return counts.select(F.col("w.start").alias("start"), "n", "fp", (F.col("fp") / F.col("n")).alias("rate"))
