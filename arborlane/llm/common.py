@@ -72,6 +72,18 @@ def chunked(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = CHUNK
             yield [x[start:] for x in lists]
 
 
+def pieces(many: list[str], limit: int = CHUNK_BYTES // 2) -> Iterator[slice]:
+    """Slices of a list of texts, each of about `limit` characters; one at least."""
+    start = size = 0
+    for i, text in enumerate(many):
+        size += len(text) + 8
+        if size >= limit:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(many) or not many:
+        yield slice(start, len(many))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of SplitMix64: every bit of the result depends on every bit of x."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, chunked, compacted, grams, mix, read, sum_by, texts
+from .common import U64, chunked, compacted, grams, mix, pieces, read, sum_by, texts
 
 #: Sizes of the n-grams, places of each size's hash table, added to each count.
 SIZES, PLACES, SMOOTHING = (2, 4), 1 << 16, 0.5
@@ -175,7 +175,8 @@ def keep_selected(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> D
 
     @F.arrow_udf("boolean")
     def chosen(ids: pa.Array, text: pa.Array) -> pa.Array:
-        return pa.array(sampler.selected(sampler.keys(ids.to_pylist(), [x or "" for x in text.to_pylist()])[1]))
+        own, many = ids.to_pylist(), [x or "" for x in text.to_pylist()]
+        return pa.array(np.concatenate([sampler.selected(sampler.keys(own[part], many[part])[1]) for part in pieces(many)]))
 
     return docs.where(chosen(F.col("doc_id").cast("long"), F.col("text")))
 
