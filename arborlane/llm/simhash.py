@@ -34,9 +34,9 @@ SEED, RADIUS = 42, 2
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Query-node pairs that a task may have at once.
 _FRONTIER = 2_000_000
-#: The pipeline's stage: words of a shingle, similarity, anchors, rows of its sketch, the radius of its trees, and the estimate that stands for the similarity.
-SHINGLE, SIMILARITY, ANCHORS, ROWS, WIDE_RADIUS = 5, 0.8, 10, 64, 22
-ESTIMATE = SIMILARITY - 0.08
+#: The pipeline's stage: words of a shingle, similarity, anchors (two lowest hashes each), bins of its sketch, the radius of its trees, and the estimate that stands for the similarity.
+SHINGLE, SIMILARITY, ANCHORS, BINS, WIDE_RADIUS = 5, 0.8, 10, 256, 22
+ESTIMATE = SIMILARITY - 0.015
 
 
 def shingle_digests(text: str, words: int) -> list[bytes]:
@@ -232,9 +232,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def bins(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(text, bin): eight bits of the lowest hash of each bin that a text's shingles fall into, from 1; 0 for none."""
+    low = np.full((len(sizes), BINS), np.iinfo(U64).max, U64)
+    mixed = mix(hashes ^ U64(0x5851F42D4C957F2D))
+    np.minimum.at(low.ravel(), np.repeat(np.arange(len(sizes)), sizes) * BINS + (mixed & U64(BINS - 1)).astype(np.int64), mixed >> U64(8))
+    return np.where(low == np.iinfo(U64).max, 0, low % U64(255) + U64(1)).astype(np.uint8)
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimated Jaccard similarity of the shingle sets behind rows of bins: equal ones of those that either fills."""
+    some = np.maximum((a | b).astype(bool).sum(axis=1), 1)
+    return ((a == b) & (a > 0)).sum(axis=1) / some
+
+
 def _sketches(rows: DataFrame) -> DataFrame:
-    """Of rows (doc_id, hash, text): id (a hash of the text's words, A-Z lower-cased), the SimHash of its shingles, and a sketch of how many shingles texts share: the lowest hash under each of 64 seeds, 32 bits of it."""
-    seeds = mix(np.arange(1, ROWS + 1, dtype=U64) * U64(0xA0761D6478BD642F))
+    """Of rows (doc_id, hash, text): id (a hash of the text's words, A-Z lower-cased), the SimHash of its shingles, the keys of its anchors and its bins."""
+    seeds = mix(np.arange(1, 2 * ANCHORS + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hashes, many in chunked(batches, "doc_id", "hash", "text", limit=1 << 19):
@@ -244,31 +258,31 @@ def _sketches(rows: DataFrame) -> DataFrame:
             sizes = np.array([max(1, len(x)) for x in digests])
             flat = np.frombuffer(b"".join(b"".join(x) or bytes(8) for x in digests), ">u8").astype(U64)
             start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            lowest = np.stack([np.minimum.reduceat(mix(flat ^ s), start) >> U64(32) for s in seeds], axis=1).astype("<u4")
-            columns = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(same.view(np.int64)), pa.array(fps.view(np.int64)), pa.array([r.tobytes() for r in lowest], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "id", "fp", "sketch"])
+            lowest = [np.minimum.reduceat(mix(flat ^ s), start) for s in seeds]
+            keys = np.stack([mix(lowest[2 * k] ^ mix(lowest[2 * k + 1]) + U64(k)) for k in range(ANCHORS)], axis=1)
+            columns = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(same.view(np.int64)), pa.array(fps.view(np.int64)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([b.tobytes() for b in bins(flat, sizes)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "id", "fp", "anchors", "bins"])
 
-    return rows.mapInArrow(run, "doc_id long, hash long, id long, fp long, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, hash long, id long, fp long, anchors binary, bins binary")
 
 
 def _wide_links(sketches: DataFrame) -> DataFrame:
-    """Links between texts that share an anchor (two rows of the sketch), are close in a BK-tree and share about `SIMILARITY` of their shingles."""
+    """Links between texts that share an anchor, are close in a BK-tree and share about `SIMILARITY` of their shingles."""
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").reshape(-1, ROWS)
+            keys = np.frombuffer(b"".join(b.column(2).to_pylist()), "<i8").reshape(-1, ANCHORS)
             for k in range(ANCHORS):
-                key = mix((rows[:, 2 * k].astype(U64) << U64(32) | rows[:, 2 * k + 1].astype(U64)) + U64(k))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), b.column(1), b.column(2)], ["key", "id", "fp", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, k].copy()), b.column(0), b.column(1), b.column(3)], ["key", "id", "fp", "bins"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(b.column(3).to_pylist()), "<u4").reshape(-1, ROWS)) for b in batches if b.num_rows]
+        own = [(*(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, BINS)) for b in batches if b.num_rows]
         if own:
-            keys, ids, fps, rows = (np.concatenate(x) for x in zip(*own, strict=True))
-            a, b = _links_in(keys, fps.view(U64), ids, WIDE_RADIUS, lambda x, y: (rows[x] == rows[y]).mean(axis=1) >= ESTIMATE)
+            keys, ids, fps, filled = (np.concatenate(x) for x in zip(*own, strict=True))
+            a, b = _links_in(keys, fps.view(U64), ids, WIDE_RADIUS, lambda x, y: shared(filled[x], filled[y]) >= ESTIMATE)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return sketches.mapInArrow(anchored, "key long, id long, fp long, sketch binary").repartition("key").mapInArrow(run, "a long, b long")
+    return sketches.mapInArrow(anchored, "key long, id long, fp long, bins binary").repartition("key").mapInArrow(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -279,17 +293,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     far beyond what blocks of bits can find; so texts meet that have the same
     lowest shingle hashes under two of twenty seeds (a pair at 0.8 is missed
     once in 30,000), BK-trees over SimHashes find the neighbours in each such
-    group, and a 64-row sketch must confirm the similarity, with a margin for
-    its error.  Exact copies, null or empty texts among them, count once
+    group, and a sketch of 256 bins must confirm the similarity (its error is
+    about 0.02).  Exact copies, null or empty texts among them, count once
     beforehand.  Texts without words are copies of each other.  Rows repeated
     with their doc_id leave one.
     """
     marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     rows = marked.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("hash"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    classes = _sketches(rows).groupBy("id").agg(F.min(F.struct("doc_id", "hash")).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    classes = _sketches(rows).groupBy("id").agg(F.min(F.struct("doc_id", "hash")).alias("least"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), F.first("bins").alias("bins"))
     files = max(1, scan_partitions(rows) // 4)
     classes = checkpointed(classes.coalesce(files))
-    roots = components(_wide_links(classes.select("id", "fp", "sketch")), files)
+    roots = components(_wide_links(classes.select("id", "fp", "anchors", "bins")), files)
     rooted = classes.select("id", "least").join(roots, classes.id == roots.node, "left").select("least", F.coalesce("root", "id").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.hash").alias("__hash"))
     kept = marked.join(keepers, ["__id", "__hash"], "left_semi")

@@ -112,3 +112,14 @@ def test_keep_one_edge_rows(spark):
     assert kept.columns == edge(spark).columns
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 1, 4, 5, 6, 7]
     assert sh.keep_one(empty(spark)).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(4)
+    for n in (12, 120, 5000):
+        for share in (0.5, 0.8, 0.95):
+            both = int(n * share)
+            own = [rng.integers(0, 2**63, n - both, dtype=np.uint64) for _ in range(2)]
+            common = rng.integers(0, 2**63, both, dtype=np.uint64)
+            a, b = (sh.bins(np.concatenate([common, x]), np.array([n])) for x in own)
+            assert abs(sh.shared(a, b)[0] - both / (2 * n - both)) < 0.1
