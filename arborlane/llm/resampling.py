@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> tuple[Sampl
 
 
 def sample(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """doc_id, log_weight, gumbel_key and selected of every row.
+    """doc_id, log_weight, gumbel_key and kept (selected) of every row.
 
     A null text is empty.  Repeated rows draw the same noise and go together;
     keys equal to the k-th are all selected.  Without labels all weights are 0
@@ -166,7 +166,7 @@ def sample(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFram
     """
     sampler, scores = fit(docs, labels, floor)
     chosen = F.lit(False) if sampler.threshold is None else F.col("key") >= sampler.threshold
-    return scores.select("doc_id", "log_weight", "gumbel_key", chosen.alias("selected"))
+    return scores.select("doc_id", "log_weight", "gumbel_key", chosen.alias("kept"))
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFrame:

@@ -37,7 +37,7 @@ def test_order_and_columns(stages, spark, sf):
 
 def test_classifier_and_rules_keep_what_their_operators_select(stages, spark, sf):
     docs, result = stages["quality_classifier"]
-    want = {r.doc_id for r in resampling.sample(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("selected").collect()}
+    want = {r.doc_id for r in resampling.sample(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("kept").collect()}
     assert set(rows(result)) == want
     docs, result = stages["quality_rules"]
     assert set(rows(result)) == {r.doc_id for r in quality.rules(docs).where("kept").collect()}

@@ -50,16 +50,16 @@ def test_top_k_has_k_rows(spark, sf):
     docs, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     rows = rs.sample(docs, lab).collect()
     k = sum(r.log_weight >= rs.FLOOR for r in rows)
-    chosen = [r for r in rows if r.selected]
+    chosen = [r for r in rows if r.kept]
     assert len(rows) == docs.count() and len(chosen) == k
-    assert min(r.gumbel_key for r in chosen) > max((r.gumbel_key for r in rows if not r.selected), default=-np.inf)
+    assert min(r.gumbel_key for r in chosen) > max((r.gumbel_key for r in rows if not r.kept), default=-np.inf)
     kept = rs.keep_selected(docs, lab)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in chosen}
 
 
 def test_keeps_good_and_rejects_junk(spark, sf):
     docs, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    got = rs.sample(docs, lab).join(lab, "doc_id").groupBy("quality").agg(F.avg(F.col("selected").cast("int")).alias("share"))
+    got = rs.sample(docs, lab).join(lab, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share"))
     share = {r.quality: r.share for r in got.collect()}
     assert share[1] >= 0.99 and share[0] <= 0.4
 
@@ -71,8 +71,8 @@ def test_bound_on_labels(spark):
 
 def test_edge_rows(spark):
     rows = rs.sample(edge(spark), labels(spark)).collect()
-    assert len(rows) == len(EDGE) and len({(r.log_weight, r.gumbel_key, r.selected) for r in rows if r.doc_id == 4}) == 1
-    assert all(r.selected and r.log_weight == 0 for r in rs.sample(edge(spark), labels(spark).limit(0)).collect())
+    assert len(rows) == len(EDGE) and len({(r.log_weight, r.gumbel_key, r.kept) for r in rows if r.doc_id == 4}) == 1
+    assert all(r.kept and r.log_weight == 0 for r in rs.sample(edge(spark), labels(spark).limit(0)).collect())
     kept = rs.keep_selected(edge(spark), labels(spark))
-    assert kept.columns == edge(spark).columns and kept.count() == sum(r.selected for r in rows)
+    assert kept.columns == edge(spark).columns and kept.count() == sum(r.kept for r in rows)
     assert rs.sample(empty(spark), labels(spark)).count() == 0 and rs.keep_selected(empty(spark), labels(spark)).count() == 0
