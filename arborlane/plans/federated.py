@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forest, metrics, sampling, voting
 from ..schemas import Hyperparameters
+from ..sources import files
 
 
 @dataclass
@@ -41,6 +42,25 @@ def prepare_shards(df: DataFrame, key: str, shard: str, target: str, ratio: floa
     return ranked.where(keep).drop("__s", "__ones", "__zeros", "__t", "__a", "__b", "__r", "__n")
 
 
+def provision(df: DataFrame, path: str, key: str, workers: int, strategy: str = "iid", day: str | None = None, target: str = "Label", force: bool = False, seed: int = 123) -> dict:
+    """Shards with a train and a test part each, as Parquet by split and shard, and their manifest, which is written last.
+
+    strategy: `iid`, or `by_day` with a day column.  Provisioned folders are
+    left as they are unless `force`; their manifest comes back.
+    """
+    spark = df.sparkSession
+    if not force and files.exists(spark, f"{path}/manifest"):
+        return files.read_json(spark, f"{path}/manifest")
+    if strategy == "by_day" and not day:
+        raise ValueError("by_day needs a day column")
+    shards = sampling.shard_by_day(df, day, workers) if strategy == "by_day" else sampling.shard_iid(df, key, workers, seed)
+    parts = sampling.split_by_rank(shards, key, ("shard_id", target), sampling.TEST_SHARE, seed)
+    files.write_shards(parts, f"{path}/shards")
+    manifest = {"partition_strategy": strategy, "day_column": day, "num_workers": workers}
+    files.write_json(spark, f"{path}/manifest", manifest)
+    return manifest
+
+
 def train_shards(df: DataFrame, request: Hyperparameters, features: list[str], key: str, shard: str, seed: int = 123, equal: bool = False) -> ShardForest:
     """A forest in which each shard grows its quota of trees on its own rows; quotas follow shard sizes.
 

@@ -60,6 +60,12 @@ def scaling(series: DataFrame) -> DataFrame:
     return rows.select("run", "workers", "seconds", speedup.alias("speedup"), (speedup / F.col("workers") * F.col("n0")).alias("efficiency"), (F.col("t0") * F.col("n0") / F.col("workers")).alias("ideal_seconds"))
 
 
+def ideal_throughput(series: DataFrame, rate: str) -> DataFrame:
+    """run, workers, rate and the rate that the fewest workers' would grow to in proportion."""
+    base = W.partitionBy("run").orderBy("workers")
+    return series.select("run", "workers", rate, (F.first(rate).over(base) * F.col("workers") / F.first("workers").over(base)).alias("ideal"))
+
+
 def single_node_speedup(series: DataFrame, baseline: DataFrame) -> DataFrame:
     """Against the single node's time of the same load; null if it wasn't measured.  Only training time is compared."""
     return series.join(baseline, "load", "left").select("run", "workers", F.try_divide("single_seconds", "seconds").alias("speedup_single"))

@@ -176,6 +176,12 @@ def single_node_speedup(spark, sf):
     return reports.single_node_speedup(series, spark.createDataFrame([(100, 240.0)], "load long, single_seconds double"))
 
 
+def ideal_throughput(spark, sf):
+    rows = spark.createDataFrame(SERIES, "run string, workers long, seconds double, trees long").withColumn("rate", F.col("trees") / F.col("seconds"))
+    out = reports.ideal_throughput(rows, "rate")
+    return out.withColumns({c: F.round(c, 6) for c in ("rate", "ideal")})
+
+
 def throughput(spark, sf):
     rows = spark.createDataFrame([("a", 100, 5000, 20.0), ("b", 10, 70, 0.0)], "run string, trees long, samples long, seconds double")
     return reports.throughput(rows)
@@ -273,6 +279,7 @@ QUERIES = {
     "first_metrics": (first_metrics, "WITH m AS " + _sql(METRICS, "run scenario workers value", "VARCHAR VARCHAR BIGINT DOUBLE") + " SELECT run, scenario, workers, value FROM m WHERE value IS NOT NULL AND scenario IN ('performance', 'scaling') QUALIFY row_number() OVER (PARTITION BY run ORDER BY scenario, workers DESC) = 1"),
     "scaling_speedup": (scaling_speedup, f"WITH {_SERIES}, b AS (SELECT *, first_value(seconds) OVER w AS t0, first_value(workers) OVER w AS n0 FROM series WINDOW w AS (PARTITION BY run ORDER BY workers)) SELECT run, workers, seconds, round(t0 / seconds, 6) AS speedup, round(t0 / seconds / workers * n0, 6) AS efficiency, round(t0 * n0 / workers, 6) AS ideal_seconds FROM b"),
     "single_node_speedup": (single_node_speedup, f"WITH {_SERIES} SELECT run, workers, CASE WHEN trees = 100 THEN 240.0::DOUBLE / seconds END AS speedup_single FROM series"),
+    "ideal_throughput": (ideal_throughput, f"WITH {_SERIES}, r AS (SELECT run, workers, trees / seconds AS rate FROM series) SELECT run, workers, round(rate, 6) AS rate, round(first_value(r.rate) OVER w * workers / first_value(workers) OVER w, 6) AS ideal FROM r WINDOW w AS (PARTITION BY run ORDER BY workers)"),
     "throughput": (throughput, "SELECT run, trees, samples, seconds, coalesce(trees / nullif(seconds, 0), 0) AS trees_per_s, coalesce(samples / nullif(seconds, 0), 0) AS samples_per_s FROM (VALUES ('a', 100::BIGINT, 5000::BIGINT, 20.0::DOUBLE), ('b', 10, 70, 0.0)) AS t(run, trees, samples, seconds)"),
     "time_breakdown": (
         time_breakdown,

@@ -88,6 +88,11 @@ def count_rows(spark: SparkSession, sources: list[str]) -> DataFrame:
     return files
 
 
+def count_parquet(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet table: the scan reads no column, only the row counts in its footers."""
+    return spark.read.parquet(path).count()
+
+
 def cached_counts(spark: SparkSession, sources: list[str], cache: str) -> dict[str, int]:
     """Rows of each source from a JSON table; only sources that it lacks are counted, and added."""
     known = {r.source: r.n for r in spark.read.schema("source string, n long").json(cache).collect()} if exists(spark, cache) else {}

@@ -136,3 +136,15 @@ def test_synthetic_tables_hang_on_seed_alone(spark):
     df = synthetic.classification(spark, 4000, 10)
     assert 0.07 < df.agg(F.avg("Label")).first()[0] < 0.14 and len(df.columns) == 12
     assert synthetic.worker_shard(spark, 2, 50).where("split = 'test'").count() == 10
+
+
+def test_provision(spark, tmp_path):
+    df = planted(spark, 200).withColumn("day", F.concat(F.lit("d"), F.col("id") % 5))
+    path = str(tmp_path / "p")
+    made = federated.provision(df, path, "id", 3, "by_day", "day")
+    assert made == {"partition_strategy": "by_day", "day_column": "day", "num_workers": 3} == federated.provision(df.limit(0), path, "id", 9)
+    got = spark.read.parquet(f"{path}/shards")
+    assert got.count() == 200 and got.select("day", "shard_id").distinct().count() == 5 and {r.split for r in got.select("split").distinct().collect()} == {"train", "test"}
+    assert federated.provision(df, path, "id", 4, force=True)["num_workers"] == 4
+    with pytest.raises(ValueError):
+        federated.provision(df, str(tmp_path / "q"), "id", 3, "by_day")
