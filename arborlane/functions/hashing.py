@@ -32,15 +32,17 @@ def exact_rank(df: DataFrame, seed: int | str, key: str, by: tuple[str, ...] = (
     size is ranked by many tasks: ranks within buckets plus the sizes of the
     buckets before.  Null groups are groups of their own.
     """
-    hashed = df.withColumn("__h", hash32(seed, key)).withColumn("__b", F.shiftright("__h", 22) if buckets == 1024 else F.floor(F.col("__h") / F.lit((1 << 32) / buckets)))
-    keys = [F.col(f"`{c}`") for c in by]
-    counts = hashed.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
-    group = W.partitionBy(*keys) if by else W.partitionBy(F.lit(0))  # at most `buckets` rows for each group
-    counts = counts.withColumn("__before", F.sum("__n").over(group.orderBy("__b")) - F.col("__n")).withColumn("__size", F.sum("__n").over(group)).drop("__n")
-    right = counts.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(by)], F.col("__b").alias("__kb"), "__before", "__size")
-    same = hashed["__b"] == right["__kb"]
-    for i, c in enumerate(by):
-        same = same & hashed[f"`{c}`"].eqNullSafe(right[f"__k{i}"])
-    local = F.row_number().over(W.partitionBy(*keys, "__b").orderBy("__h", F.col(f"`{key}`")))
-    out = hashed.join(right, same).withColumn(rank, F.col("__before") + local).withColumn(size, F.col("__size"))
-    return out.drop("__h", "__b", "__kb", "__before", "__size", *[f"__k{i}" for i in range(len(by))])
+    bucket = F.shiftright("__h", 22) if buckets == 1024 else F.floor(F.col("__h") / F.lit((1 << 32) / buckets))
+    hashed = df.withColumn("__h", hash32(seed, key)).withColumn("__b", bucket).withColumn("__g", group_key(by))
+    counts = hashed.groupBy("__g", "__b").agg(F.count("*").alias("__n"))
+    group = W.partitionBy("__g")  # at most `buckets` rows for each group
+    counts = counts.select("__g", "__b", (F.sum("__n").over(group.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(group).alias("__size"))
+    # Ranks first, then the join: both need the rows by group and bucket, so they shuffle once.
+    ranked = hashed.withColumn("__local", F.row_number().over(W.partitionBy("__g", "__b").orderBy("__h", F.col(f"`{key}`"))))
+    out = ranked.join(counts, ["__g", "__b"]).withColumn(rank, F.col("__before") + F.col("__local")).withColumn(size, F.col("__size"))
+    return out.drop("__h", "__b", "__g", "__local", "__before", "__size")
+
+
+def group_key(by: tuple[str, ...]) -> Column:
+    """The values of the columns as one string that is never null; a null value is unlike any other."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in by])) if by else F.lit("")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .hashing import group_key
+
 #: Ranges of values that are summed apart.
 RANGES = 64
 
@@ -19,22 +21,20 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str], by: tuple[str,
     """
     bounds = sorted(set(df.stat.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.005))) if ranges > 1 else []
     part = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
-    dealt = df.withColumn("__p", part.cast("int"))
+    dealt = df.withColumn("__p", part.cast("int")).withColumn("__g", group_key(by))
     direction = F.desc if descending else F.asc
-    keys = [F.col(f"`{c}`") for c in by]
     names = list(sums)
-    totals = dealt.groupBy(*keys, "__p").agg(*[F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums.values())])
-    whole = W.partitionBy(*keys) if by else W.partitionBy(F.lit(0))
-    before = whole.orderBy(direction("__p")).rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(by)], F.col("__p").alias("__kp"), *[F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).alias(f"__b{i}") for i in range(len(names))])
-    same = dealt["__p"] == totals["__kp"]
-    for i, c in enumerate(by):
-        same = same & dealt[f"`{c}`"].eqNullSafe(totals[f"__k{i}"])
-    local = W.partitionBy(*keys, "__p").orderBy(direction(order)).rangeBetween(W.unboundedPreceding, 0)
-    out = dealt.join(totals, same)
-    for i, (name, column) in enumerate(sums.items()):
-        out = out.withColumn(name, F.col(f"__b{i}") + F.sum(column).over(local))
-    return out.drop("__p", "__kp", *[f"__b{i}" for i in range(len(names))], *[f"__k{i}" for i in range(len(by))])
+    totals = dealt.groupBy("__g", "__p").agg(*[F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums.values())])
+    before = W.partitionBy("__g").orderBy(direction("__p")).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("__g", "__p", *[F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).alias(f"__b{i}") for i in range(len(names))])
+    # Sums in ranges first, then the join: both need the rows by group and range, so they shuffle once.
+    local = W.partitionBy("__g", "__p").orderBy(direction(order)).rangeBetween(W.unboundedPreceding, 0)
+    for i, column in enumerate(sums.values()):
+        dealt = dealt.withColumn(f"__l{i}", F.sum(column).over(local))
+    out = dealt.join(totals, ["__g", "__p"])
+    for i, name in enumerate(names):
+        out = out.withColumn(name, F.col(f"__b{i}") + F.col(f"__l{i}"))
+    return out.drop("__p", "__g", *[f"__{k}{i}" for i in range(len(names)) for k in "bl"])
 
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
