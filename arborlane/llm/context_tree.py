@@ -30,7 +30,7 @@ from .common import LOWER, U64, Words, checkpointed, chunked, grams, mix, partit
 DEPTH = 5
 HELD_FOLD, FOLDS = 0, 10
 #: Bytes of text in a block; blocks for each shard, least and most shards.
-BLOCK_BYTES, BLOCKS_PER_SHARD, LEAST_SHARDS, MOST_SHARDS = 12 << 20, 4, 16, 1024
+BLOCK_BYTES, BLOCKS_PER_SHARD, LEAST_SHARDS, MOST_SHARDS = 12 << 20, 4, 16, 16_384
 #: Distinct keys that a task gathers before it passes them on.
 GATHERED = 3_000_000
 _NONE = -(2**63)
