@@ -191,7 +191,7 @@ def _parts(nodes: DataFrame) -> list[list]:
 
 
 def score(df: DataFrame, nodes: DataFrame, features: list[str], key: str) -> DataFrame:
-    """key, tree_id, support and dist of every row in every tree.  Rows stay where they are; the trees come to them."""
+    """key, tree_id, support and dist of every row in every tree.  Rows stay where they are; the trees come to them.  A null feature counts as 0."""
     out = None
     for trees in _parts(nodes):
         own = Trees(nodes.where(F.col("tree_id").isin(trees)).collect())
