@@ -34,9 +34,9 @@ SEED, RADIUS = 42, 2
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Query-node pairs that a task may have at once.
 _FRONTIER = 2_000_000
-#: The pipeline's stage: words of a shingle, similarity, anchors (two lowest hashes each), bins of its sketch, the radius of its trees, and the estimate that stands for the similarity.
+#: The pipeline's stage: words of a shingle, similarity, anchors (two lowest hashes each), bins of its sketch, the radius of its trees, and the estimate from which pairs are candidates (five deviations below the similarity).
 SHINGLE, SIMILARITY, ANCHORS, BINS, WIDE_RADIUS = 5, 0.8, 10, 256, 22
-ESTIMATE = SIMILARITY - 0.015
+ESTIMATE = SIMILARITY - 0.12
 
 
 def shingle_digests(text: str, words: int) -> list[bytes]:
@@ -267,7 +267,7 @@ def _sketches(rows: DataFrame) -> DataFrame:
 
 
 def _wide_links(sketches: DataFrame) -> DataFrame:
-    """Links between texts that share an anchor, are close in a BK-tree and share about `SIMILARITY` of their shingles."""
+    """Candidate links between texts that share an anchor, are close in a BK-tree and share `ESTIMATE` or more of their sketches."""
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,6 +285,55 @@ def _wide_links(sketches: DataFrame) -> DataFrame:
     return sketches.mapInArrow(anchored, "key long, id long, fp long, bins binary").repartition("key").mapInArrow(run, "a long, b long")
 
 
+def similar(sets: list[np.ndarray]) -> np.ndarray:
+    """The first of each set's component, sets being linked that share `SIMILARITY` or more of all their items (distinct, sorted).
+
+    A set is held against earlier ones in blocks, and never against one that is in its component already.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    items, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    percent = round(100 * SIMILARITY)
+    label, has = np.arange(len(sets)), np.zeros(len(items), bool)
+    for i in range(1, len(sets)):
+        own = flat[start[i] : start[i + 1]]
+        has[own] = True
+        rest = np.flatnonzero(100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i]))
+        block = 4
+        while len(rest):
+            now, rest = rest[:block], rest[block:]
+            many = np.concatenate([has[flat[start[j] : start[j + 1]]] for j in now])
+            both = np.add.reduceat(many, np.concatenate([[0], np.cumsum(sizes[now])[:-1]]), dtype=np.int64)
+            near = now[100 * both >= percent * (sizes[now] + sizes[i] - both)]
+            if len(near):
+                joined = np.unique(np.append(label[near], label[i]))
+                label[: i + 1][np.isin(label[: i + 1], joined)] = joined[0]
+                rest = rest[label[rest] != label[i]]
+            block = min(4 * block, 1024)
+        has[own] = False
+    return label
+
+
+def _confirmed(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """node, root: the components by whole shingle sets of members (id, root of the candidates' component, doc_id, hash), the texts fetched from rows (doc_id, hash, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, roots, many in chunked(batches, "id", "root", "text", limit=1 << 19):
+            sets = [np.unique(np.frombuffer(b"".join(shingle_digests(x, SHINGLE)) or bytes(8), "<u8")).tobytes() for x in many]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64()), pa.array(sets, pa.binary())], ["id", "root", "shingles"])
+
+    def cluster(one: pa.Table) -> pa.Table:
+        one = one.sort_by("id")
+        ids = one["id"].to_numpy()
+        label = similar([np.frombuffer(x, "<u8") for x in one["shingles"].to_pylist()])
+        linked = label != np.arange(len(ids))
+        return pa.table({"node": ids[linked], "root": ids[label[linked]]})
+
+    sets = rows.join(members, ["doc_id", "hash"]).select("id", "root", "text").mapInArrow(run, "id long, root long, shingles binary")
+    sets = sets.repartition("root").groupBy("root", "id").agg(F.first("shingles").alias("shingles"))
+    return sets.groupBy("root").applyInArrow(cluster, "node long, root long")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one of each group of near copies left, the one with the smallest doc_id.
 
@@ -293,8 +342,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     far beyond what blocks of bits can find; so texts meet that have the same
     lowest shingle hashes under two of twenty seeds (a pair at 0.8 is missed
     once in 30,000), BK-trees over SimHashes find the neighbours in each such
-    group, and a sketch of 256 bins must confirm the similarity (its error is
-    about 0.02).  Exact copies, null or empty texts among them, count once
+    group, and a sketch of 256 bins (its error is about 0.02) leaves out those
+    that share less than 0.68 by it.  What is left only names candidates: the
+    whole shingle sets of each component of candidates, fetched by id, meet in a
+    task, and only pairs that share 0.8 of them are linked.  Exact copies, null or empty texts among them, count once
     beforehand.  Texts without words are copies of each other.  Rows repeated
     with their doc_id leave one.
     """
@@ -304,7 +355,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     files = max(1, scan_partitions(rows) // 4)
     classes = checkpointed(classes.coalesce(files))
     roots = components(_wide_links(classes.select("id", "fp", "anchors", "bins")), files)
-    rooted = classes.select("id", "least").join(roots, classes.id == roots.node, "left").select("least", F.coalesce("root", "id").alias("root"))
+    near = roots.union(roots.select("root", "root").distinct())
+    members = classes.select("id", "least.doc_id", "least.hash").join(near, F.col("id") == F.col("node")).drop("node")
+    linked = _confirmed(rows, members)
+    rooted = classes.select("id", "least").join(linked, classes.id == linked.node, "left").select("least", F.coalesce("root", "id").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.hash").alias("__hash"))
     kept = marked.join(keepers, ["__id", "__hash"], "left_semi")
     one = W.partitionBy("__id", "__hash").orderBy(F.lit(0))

@@ -123,3 +123,33 @@ def test_sketches_estimate_similarity():
             common = rng.integers(0, 2**63, both, dtype=np.uint64)
             a, b = (sh.bins(np.concatenate([common, x]), np.array([n])) for x in own)
             assert abs(sh.shared(a, b)[0] - both / (2 * n - both)) < 0.1
+
+
+def test_similar_equals_all_pairs():
+    rng = np.random.default_rng(12)
+    pool = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[(k % 3) * 15 : (k % 3) * 15 + 22], rng.integers(14, 40))) for k in range(150)]
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    assert 3 < len(set(want)) < 140 and sh.similar(sets).tolist() == want
+
+
+def test_keep_one_links_from_0_8_on_exactly(spark):
+    """Pairs of 250 shingles in all: 200 shared are near copies, 199 (of 250) are not."""
+    rows, want = [], []
+    for g in range(60):
+        for shared in (200, 199):
+            word = lambda k, g=g, shared=shared: f"w{g}x{shared}y{k}"
+            first = [word(k) for k in range(shared + 4)]
+            extra = 250 - shared
+            a, b = first + [word(1000 + k) for k in range(extra // 2)], first + [word(2000 + k) for k in range(extra - extra // 2)]
+            assert (len(shingles(" ".join(a)) & shingles(" ".join(b))), len(shingles(" ".join(a)) | shingles(" ".join(b)))) == (shared, 250)
+            want += [len(rows)] if shared == 200 else [len(rows), len(rows) + 1]
+            rows += [(len(rows), " ".join(a), "en"), (len(rows) + 1, " ".join(b), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in sh.keep_one(df).collect()) == want
