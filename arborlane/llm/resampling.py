@@ -6,8 +6,11 @@ its n-grams' log ratios, tempered so that a longer text counts as `EVIDENCE`
 n-grams (else small differences between languages add up in long texts);
 documents are then sampled without replacement, with those weights, by Gumbel
 top-k: the k largest of log weight plus Gumbel noise.
-k is the number of documents whose log weight is above `FLOOR`, so that
-sampling rejects what the models tell apart and little else.
+k is the number of documents that weigh as much as good text does: their log
+weight is at most three deviations of the noise (`MARGIN`) below the `QUANTILE`
+of the weights of all documents labelled good.  Fewer than `LEAST_GOOD` of those
+don't tell such a quantile (and their own n-grams make up the target model, so
+they outweigh other good text by far); then k counts from `FLOOR` on.
 
 The raw model counts every document.  The target model takes at most
 `TARGET_LABELS` labelled documents (those with the smallest hashes), whose ids
@@ -33,8 +36,10 @@ from .common import U64, chunked, compacted, grams, mix, pieces, read, sum_by, t
 #: Sizes of the n-grams, places of each size's hash table, added to each count.
 SIZES, PLACES, SMOOTHING = (2, 4), 1 << 16, 0.5
 TARGET_LABELS = 20_000
-#: n-grams that a text counts for at the most; k counts the log weights from here on; seed of the noise.
+#: n-grams that a text counts for at the most; k counts no log weight below this; seed of the noise.
 EVIDENCE, FLOOR, SEED = 100, -30.0, 11
+#: Share of the good documents' weights that lies below the one k is taken from, the distance to it, and how many good documents that needs.
+QUANTILE, MARGIN, LEAST_GOOD = 0.01, 3 * math.pi / math.sqrt(6), 1000
 _ID = -(2**63)
 
 
@@ -105,6 +110,11 @@ def ordered(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, np.int64(-(2**63)) - bits - 1, bits)
 
 
+def unordered(key: int) -> float:
+    """The double that `ordered` made a long of."""
+    return float(np.array([key if key >= 0 else -(2**63) - key - 1], np.int64).view(np.float64)[0])
+
+
 def kth_largest(keys: DataFrame, k: int) -> int:
     """The k-th largest of the long column `key`, by its digits in base 4096 from the top."""
     low, width = -(2**63), 64
@@ -141,17 +151,27 @@ def _scored(rows: DataFrame, sampler: Sampler) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, many in chunked(batches, "doc_id", "text"):
             weight, key = sampler.keys(ids, many)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(weight), pa.array(key), pa.array(ordered(key))], ["doc_id", "log_weight", "gumbel_key", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(weight), pa.array(key), pa.array(ordered(key)), pa.array(ordered(weight))], ["doc_id", "log_weight", "gumbel_key", "key", "weight_key"])
+
+    return rows.mapInArrow(run, "doc_id long, log_weight double, gumbel_key double, key long, weight_key long")
+
 
-    return rows.mapInArrow(run, "doc_id long, log_weight double, gumbel_key double, key long")
+def good_floor(scores: DataFrame, labels: DataFrame, least: float = FLOOR) -> float:
+    """The log weight from which k counts: by the weights of all rows labelled good, `least` at least."""
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    keys = scores.join(good, "doc_id", "left_semi").select(F.col("weight_key").alias("key"))
+    n = keys.count()
+    if n < LEAST_GOOD:
+        return least
+    return max(least, unordered(kth_largest(keys, n - int(QUANTILE * n))) - MARGIN)
 
 
 def fit(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> tuple[Sampler, DataFrame]:
-    """The sampler, and the scores (checkpointed) of all rows."""
+    """The sampler, and the scores (checkpointed) of all rows; k never counts a log weight below `floor`."""
     rows = texts(docs)
     sampler = Sampler(ratios(count(rows, target_ids(labels))), None)
     scores = compacted(_scored(rows, sampler))
-    k = scores.where(F.col("log_weight") >= floor).count()
+    k = scores.where(F.col("log_weight") >= good_floor(scores, labels, floor)).count()
     if k:
         sampler.threshold = kth_largest(scores, k)
     return sampler, scores

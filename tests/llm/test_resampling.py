@@ -76,3 +76,19 @@ def test_edge_rows(spark):
     kept = rs.keep_selected(edge(spark), labels(spark))
     assert kept.columns == edge(spark).columns and kept.count() == sum(r.kept for r in rows)
     assert rs.sample(empty(spark), labels(spark)).count() == 0 and rs.keep_selected(empty(spark), labels(spark)).count() == 0
+
+
+def test_doubles_come_back():
+    for x in (-30.5, -0.25, 0.0, 1e-300, 7.75):
+        assert rs.unordered(int(rs.ordered(np.array([x]))[0])) == x
+
+
+def test_k_hangs_on_the_weights_of_good_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = rs.sample(docs, lab).join(lab, "doc_id", "left").select("log_weight", "kept", "quality").collect()
+    good = sorted(r.log_weight for r in rows if r.quality == 1)
+    floor = good[int(rs.QUANTILE * len(good))] - rs.MARGIN
+    assert floor > rs.FLOOR and sum(r.kept for r in rows) == sum(r.log_weight >= floor for r in rows)
+    share = {v: np.mean([r.kept for r in rows if r.quality == v]) for v in (0, 1)}
+    assert share[1] >= 0.99 and share[0] <= 0.1
