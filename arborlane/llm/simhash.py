@@ -1,24 +1,29 @@
 """Operator 3, SimHash near-duplicates: BK-trees over 64-bit fingerprints.
 
-Fingerprints at most two bits apart must agree in at least three of five blocks
-of bits, so each distinct fingerprint goes to ten groups, one for each choice
-of three blocks and their bits.  A task builds the BK-trees of all groups that
-it reads at once, level by level: the first fingerprint of a group is the root,
-the others fall to the child keyed by their Hamming distance to it, and so on.
-A query follows only the edges whose key differs from its own distance to the
-parent by no more than the radius.
+Fingerprints at most two bits apart agree in at least one of three blocks of
+bits, so each distinct fingerprint goes to three shards, one for each block and
+its bits.  A task builds the BK-trees of all shards that it reads at once, level
+by level: the first fingerprint of a shard is the root, the others fall to the
+child keyed by their Hamming distance to it, and so on.  A query follows only
+the edges whose key differs from its own distance to the parent by no more than
+the radius.
 
 Trees are built where their queries are, by that one shuffle of fingerprints,
 and not broadcast: a broadcast would grow with the corpus.  Copies share one
-fingerprint and count once.  Each group gives links to the smallest member of
-each of its components (never all pairs); the components of the whole graph
-follow by alternating large-star and small-star steps on tables.
+fingerprint and count once.  A shard gives a spanning forest of its links (never
+all pairs); the components of the whole graph follow by alternating large-star
+and small-star steps on tables.
+
+A shard of over `ROOM` members is dealt into parts of about that size, by hash,
+and each part has a tree.  Then the members that are outside the shard's largest
+component so far meet every part (`cells`), so no pair is missed: two members
+that never meet are in one component already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +32,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, checkpointed, chunked, compacted, mix, read, scan_partitions, texts
+from .common import LOWER, U64, checkpointed, chunked, compacted, mix, read, scan_partitions, texts, unused
 
 SEED, RADIUS = 42, 2
-#: Blocks of bits, three of which at least agree within the radius.
-_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Query-node pairs that a task may have at once.
-_FRONTIER = 2_000_000
-#: The pipeline's stage: words of a shingle, similarity, anchors (two lowest hashes each), bins of its sketch, the radius of its trees, and the estimate from which pairs are candidates (five deviations below the similarity).
+#: Blocks of bits (first bit, number), one of which at least agrees within the radius.
+_BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: Query-node pairs that a task may have at once, pairs whose sketches it compares at once, rows that it holds at once.
+_FRONTIER, _PIECE, _HELD = 1 << 18, 1 << 14, 1 << 16
+#: Members of a shard that meet in one tree; shards that may be dealt into parts (their list goes to all tasks).
+ROOM, MOST_DEALT = 4096, 100_000
+#: Shingles of the sets that a task compares with as many others, at once.
+SET_ROOM = 1 << 20
+#: Tasks to which the rows of one key may go in a join.
+SALTS = 1024
+#: The pipeline's stage: words of a shingle, similarity, anchors (two lowest hashes each), bins of its sketch, the radius of its trees.
 SHINGLE, SIMILARITY, ANCHORS, BINS, WIDE_RADIUS = 5, 0.8, 10, 256, 22
-ESTIMATE = SIMILARITY - 0.12
+#: Estimates from which pairs are candidates (five deviations below the similarity), and from which they are tried first.
+ESTIMATE, STRONG = SIMILARITY - 0.12, SIMILARITY + 0.06
 
 
 def shingle_digests(text: str, words: int) -> list[bytes]:
@@ -129,72 +141,190 @@ def search(group: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np
             query, node = np.repeat(query, count), child[ahead]
 
 
-def smallest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest item of each item's component."""
-    label = np.arange(n)
+class Forest:
+    """Components of items that grow by pairs; keeps the pairs that joined two of them."""
 
-    def root(x: np.ndarray) -> np.ndarray:
+    def __init__(self, labels: np.ndarray):
+        """Items of equal labels are joined already."""
+        self.up = np.unique(labels, return_index=True)[1][np.unique(labels, return_inverse=True)[1]]
+        self.joined: list[tuple[int, int]] = []
+
+    def root(self, x: np.ndarray) -> np.ndarray:
         while True:
-            up = label[x]
+            up = self.up[x]
             if (up == x).all():
                 return x
-            label[x] = label[up]
+            self.up[x] = self.up[up]
             x = up
 
-    for a, b in pairs:
-        while True:
-            a, b = root(a), root(b)
-            apart = a != b
-            if not apart.any():
-                break
-            a, b = a[apart], b[apart]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-    return root(np.arange(n))
-
-
-def _links_in(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int, confirm=None) -> tuple[np.ndarray, np.ndarray]:
-    """(item, smallest item of its component) by ids, for the items of groups of two or more."""
-    order = np.lexsort((ids, keys))
-    keys = keys[order]
-    first = _starts(keys)
-    size = np.repeat(np.diff(np.append(first, len(keys))), np.diff(np.append(first, len(keys))))
-    order, keys = order[size > 1], keys[size > 1]
-    fps, ids = fps[order], ids[order]
-    pairs = search(keys, fps, radius)
-    if confirm is not None:
-        pairs = ((a[ok], b[ok]) for a, b in pairs if (ok := confirm(order[a], order[b])).any())
-    label = smallest(len(ids), pairs)
-    linked = label != np.arange(len(ids))
-    return ids[linked], ids[label[linked]]
-
-
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) at most `radius` (up to 2) bits apart, enough to connect each component."""
-    if not 0 <= radius <= RADIUS:
-        raise ValueError("three of five blocks agree only within two bits")
-    choices = []
-    for k, chosen in enumerate(combinations(_BLOCKS, 3)):
-        mask = sum(((1 << n) - 1) << at for at, n in chosen)
-        choices.append(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+    def one(self, x: int) -> int:
+        while (up := int(self.up[x])) != x:
+            x = up
+        return x
+
+    def add(self, pairs: Iterator[tuple[np.ndarray, np.ndarray]], holds=None) -> None:
+        """Joins the pairs that `holds` lets pass; pairs inside a component are never tried, and few at a time are."""
+        for a, b in pairs:
+            at, step = 0, 256
+            while at < len(a):
+                x, y = a[at : at + step], b[at : at + step]
+                at, step = at + step, min(2 * step, _PIECE)
+                apart = self.root(x) != self.root(y)
+                x, y = x[apart], y[apart]
+                if holds is not None and len(x):
+                    ok = holds(x, y)
+                    x, y = x[ok], y[ok]
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    p, q = self.one(i), self.one(j)
+                    if p != q:
+                        self.up[max(p, q)] = min(p, q)
+                        self.joined.append((i, j))
+
+
+def tree_links(group: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int, filled: np.ndarray | None = None, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that connect the items of each group at most `radius` apart; with bins also so like that they're candidates, the likest first.
+
+    Items of equal labels count as connected.
+    """
+    fps, order = fps.view(U64), np.lexsort((ids, group))
+    group = group[order]
+    first = _starts(group)
+    size = np.repeat(np.diff(np.append(first, len(group))), np.diff(np.append(first, len(group))))
+    order, group = order[size > 1], group[size > 1]
+    forest = Forest(np.arange(len(order)) if labels is None else labels[order])
+    if filled is None:
+        forest.add(search(group, fps[order], radius))
+    else:
+        weak = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if own:
-            keys, fps = (np.concatenate(x) for x in zip(*own, strict=True))
-            a, b = _links_in(keys, fps.view(U64), fps, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        def strong(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            like = shared(filled[order[x]], filled[order[y]])
+            if not weak and ((like >= ESTIMATE) & (like < STRONG)).any():
+                weak.append(True)
+            return like >= STRONG
+
+        forest.add(search(group, fps[order], radius), strong)
+        if weak:
+            forest.add(search(group, fps[order], radius), lambda x, y: shared(filled[order[x]], filled[order[y]]) >= ESTIMATE)
+    a, b = np.array(forest.joined, np.int64).reshape(-1, 2).T
+    return ids[order[a]], ids[order[b]]
 
-    grouped = distinct.select(F.explode(F.array(*choices)).alias("key"), "fp").repartition("key")
-    return grouped.mapInArrow(run, "a long, b long")
+
+def _columns(batch: pa.RecordBatch | pa.Table, *names: str) -> list[np.ndarray]:
+    """Longs of the named columns; `bins` as rows of bytes."""
+    out = []
+    for c in names:
+        column = batch.column(batch.schema.get_field_index(c))
+        out.append(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS) if c == "bins" else column.to_numpy() if isinstance(batch, pa.Table) else column.to_numpy(zero_copy_only=False))
+    return out
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def salted_join(rows: DataFrame, other: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with other (a row for each key); a key's rows go to as many tasks as `by` has hashes among them, `SALTS` at most."""
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    spread = rows.select(key, "__salt").distinct().join(other, key)
+    return rows.join(spread, [key, "__salt"]).drop("__salt")
+
+
+def cells(members: DataFrame, room: int) -> DataFrame:
+    """Members (key, id, label, size, ...) in cells (column cell) of about 2 * room, so that any two of a key with different labels meet in one.
+
+    All but those of a key's largest label are queries: they meet each of the
+    key's parts.  So a key of one label gives no cells, and one with few others
+    few; what it takes grows with the queries times the parts.
+    """
+    by = members.groupBy("key", "label").agg(F.sum("size").alias("size"))
+    keys = by.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("most")).where(F.col("all") > F.col("most.size"))
+    number = lambda c: F.ceil(c / F.lit(room)).cast("long")
+    keys = keys.select("key", F.col("most.label").alias("__most"), number(F.col("all")).alias("__parts"), number(F.col("all") - F.col("most.size")).alias("__asks"))
+    dealt = salted_join(members, keys, "key", "id").withColumns({"__part": F.pmod(F.xxhash64(F.lit(1), "id"), "__parts"), "__ask": F.pmod(F.xxhash64(F.lit(2), "id"), "__asks")})
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = dealt.withColumn("__ask", each("__asks"))
+    asking = dealt.where(F.col("label") != F.col("__most")).withColumn("__held", F.col("__part")).withColumn("__part", each("__parts")).where("__part != __held").drop("__held")
+    names = [c for c in members.columns if c != "key"]
+    return held.unionByName(asking).select(F.xxhash64("key", "__part", "__ask").alias("cell"), *names)
+
+
+def meet(points: DataFrame, radius: int, sketched: bool = False, room: int = ROOM) -> DataFrame:
+    """a, b: links between points (id, fp, keys: the shards that an id belongs to, and bins if `sketched`) that connect all which meet in a shard and are near."""
+    names = ["id", "fp", *(["bins"] if sketched else [])]
+    ddl = "id long, fp long" + (", bins binary" if sketched else "")
+    counted = points.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > room)
+    total = points.agg(F.sum(F.size("keys"))).first()[0] or 0
+    large = sorted(map(tuple, counted.where(F.col("n") > max(room, total // MOST_DEALT)).collect()))  # so at most MOST_DEALT
+    hot, parts = (np.array([r[k] for r in large], np.int64) for k in (0, 1))
+    parts = -(-parts // room)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(b.schema.get_field_index("keys"))
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            ids = b.column(b.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                salt = mix(ids[row].view(U64) ^ mix(keys.view(U64))) % parts[at].astype(U64)
+                keys = np.where(hot[at] == keys, mix(keys.view(U64) + salt * U64(0x9E3779B97F4A7C15)).view(np.int64), keys)
+            for k in range(0, len(row), 10_000):
+                some = b.take(pa.array(row[k : k + 10_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 10_000]), *[some.column(some.schema.get_field_index(c)) for c in names]], ["key", *names])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def out(last: bool) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = len(columns[0]) if last else int(np.searchsorted(columns[0], columns[0][-1]))  # the last shard may go on
+            held[:] = [] if last else [[x[end:] for x in columns]]
+            if end:
+                yield _pairs(*tree_links(*[x[:end] for x in columns[:3]], radius, columns[3][:end] if sketched else None))
+
+        for b in batches:
+            if b.num_rows:
+                held.append(_columns(b, "key", *names))
+                size += b.num_rows
+                if size > _HELD:
+                    yield from out(False)
+                    size = len(held[0][0])
+        if held:
+            yield from out(True)
+
+    tasks = max(scan_partitions(points), total // 200_000)
+    found = points.select("keys", *names).mapInArrow(dealt, f"key long, {ddl}").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long").distinct()
+    if not len(hot):
+        return found
+    found = checkpointed(found)
+    again = points.select(F.explode("keys").alias("key"), *names).join(F.broadcast(points.sparkSession.createDataFrame([(k,) for k, _ in large], "key long")), "key")
+    labels = components(found)
+    members = again.join(labels, F.col("id") == F.col("node"), "left").select("key", *names, F.coalesce("root", "id").alias("label"), F.lit(1).alias("size"))
+
+    def rest(one: pa.Table) -> pa.Table:
+        ids, labels, fps, *filled = _columns(one, "id", "label", *names[1:])
+        return pa.Table.from_batches([_pairs(*tree_links(np.zeros(len(ids), np.int64), ids, fps, radius, filled[0] if sketched else None, labels))])
+
+    return found.union(cells(members, room).groupBy("cell").applyInArrow(rest, "a long, b long")).distinct()
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, room: int = ROOM) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) at most `radius` (up to 2) bits apart, enough to connect each component."""
+    if not 0 <= radius <= RADIUS:
+        raise ValueError("one of three blocks agrees only within two bits")
+    keys = [F.xxhash64(F.lit(k), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1))) for k, (at, n) in enumerate(_BLOCKS)]
+    return meet(distinct.select("fp", F.col("fp").alias("id"), F.array(*keys).alias("keys")), radius, room=room)
 
 
 def components(edges: DataFrame, files: int = 1) -> DataFrame:
     """node, root (the smallest node of its component) of every node of the edges (a, b) but the roots.
 
     Large-star and small-star steps in turn: each links a node's neighbours to
-    the smallest of them.  A node with many neighbours is one row of minima and
-    a plain join, which Spark may split.  The first table of edges goes to so
-    many files, later ones to one for each half million edges.
+    the smallest of them.  A node's minimum comes to its edges by a join that
+    deals the edges of one node to many tasks.  The first table of edges goes to
+    so many files, later ones to one for each half million edges.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().coalesce(files))
 
@@ -205,9 +335,9 @@ def components(edges: DataFrame, files: int = 1) -> DataFrame:
     while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = salted_join(both, low, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
+        small = salted_join(large, low, "a", "b").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
         edges = checkpointed(small.select("e.*").where("a != b").distinct().coalesce(1 + before[0] // 500_000))
         after = state(edges)
         if after == before:
@@ -242,8 +372,9 @@ def bins(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The estimated Jaccard similarity of the shingle sets behind rows of bins: equal ones of those that either fills."""
-    some = np.maximum((a | b).astype(bool).sum(axis=1), 1)
-    return ((a == b) & (a > 0)).sum(axis=1) / some
+    either = np.count_nonzero(a | b, axis=1)
+    same = np.count_nonzero((a == b) & (a != 0), axis=1)
+    return same / np.maximum(either, 1)
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
@@ -260,45 +391,34 @@ def _sketches(rows: DataFrame) -> DataFrame:
             start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             lowest = [np.minimum.reduceat(mix(flat ^ s), start) for s in seeds]
             keys = np.stack([mix(lowest[2 * k] ^ mix(lowest[2 * k + 1]) + U64(k)) for k in range(ANCHORS)], axis=1)
-            columns = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(same.view(np.int64)), pa.array(fps.view(np.int64)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([b.tobytes() for b in bins(flat, sizes)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "id", "fp", "anchors", "bins"])
+            columns = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(same.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(keys.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array([b.tobytes() for b in bins(flat, sizes)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "id", "fp", "keys", "bins"])
 
-    return rows.mapInArrow(run, "doc_id long, hash long, id long, fp long, anchors binary, bins binary")
-
-
-def _wide_links(sketches: DataFrame) -> DataFrame:
-    """Candidate links between texts that share an anchor, are close in a BK-tree and share `ESTIMATE` or more of their sketches."""
-
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = np.frombuffer(b"".join(b.column(2).to_pylist()), "<i8").reshape(-1, ANCHORS)
-            for k in range(ANCHORS):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, k].copy()), b.column(0), b.column(1), b.column(3)], ["key", "id", "fp", "bins"])
+    return rows.mapInArrow(run, "doc_id long, hash long, id long, fp long, keys array<long>, bins binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [(*(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, BINS)) for b in batches if b.num_rows]
-        if own:
-            keys, ids, fps, filled = (np.concatenate(x) for x in zip(*own, strict=True))
-            a, b = _links_in(keys, fps.view(U64), ids, WIDE_RADIUS, lambda x, y: shared(filled[x], filled[y]) >= ESTIMATE)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return sketches.mapInArrow(anchored, "key long, id long, fp long, bins binary").repartition("key").mapInArrow(run, "a long, b long")
+def _alike(own: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sets (distinct, sorted) share `SIMILARITY` or more of all their items."""
+    both = len(own) + len(other) - len(np.union1d(own, other))
+    return 100 * both >= round(100 * SIMILARITY) * (len(own) + len(other) - both)
 
 
-def similar(sets: list[np.ndarray]) -> np.ndarray:
+def similar(sets: list[np.ndarray], labels: np.ndarray | None = None) -> np.ndarray:
     """The first of each set's component, sets being linked that share `SIMILARITY` or more of all their items (distinct, sorted).
 
-    A set is held against earlier ones in blocks, and never against one that is in its component already.
+    A set is held against earlier ones in blocks, and never against one that is
+    in its component already, as sets of equal labels are from the start.
     """
     sizes = np.array([len(x) for x in sets], np.int64)
     items, flat = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.concatenate([[0], np.cumsum(sizes)])
     percent = round(100 * SIMILARITY)
-    label, has = np.arange(len(sets)), np.zeros(len(items), bool)
+    forest, has = Forest(np.arange(len(sets)) if labels is None else labels), np.zeros(len(items), bool)
     for i in range(1, len(sets)):
         own = flat[start[i] : start[i + 1]]
         has[own] = True
         rest = np.flatnonzero(100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i]))
+        rest = rest[forest.root(rest) != forest.one(i)]
         block = 4
         while len(rest):
             now, rest = rest[:block], rest[block:]
@@ -306,32 +426,58 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
             both = np.add.reduceat(many, np.concatenate([[0], np.cumsum(sizes[now])[:-1]]), dtype=np.int64)
             near = now[100 * both >= percent * (sizes[now] + sizes[i] - both)]
             if len(near):
-                joined = np.unique(np.append(label[near], label[i]))
-                label[: i + 1][np.isin(label[: i + 1], joined)] = joined[0]
-                rest = rest[label[rest] != label[i]]
+                forest.add(iter([(near, np.full(len(near), i))]))
+                rest = rest[forest.root(rest) != forest.one(i)]
             block = min(4 * block, 1024)
         has[own] = False
-    return label
+    return forest.root(np.arange(len(sets)))
 
 
-def _confirmed(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """node, root: the components by whole shingle sets of members (id, root of the candidates' component, doc_id, hash), the texts fetched from rows (doc_id, hash, text)."""
+def _sets(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, shingles (their hashes, distinct and sorted) of the nodes; one text of each class is fetched from rows (doc_id, hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, roots, many in chunked(batches, "id", "root", "text", limit=1 << 19):
+        for ids, many in chunked(batches, "id", "text", limit=1 << 19):
             sets = [np.unique(np.frombuffer(b"".join(shingle_digests(x, SHINGLE)) or bytes(8), "<u8")).tobytes() for x in many]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64()), pa.array(sets, pa.binary())], ["id", "root", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    members = classes.join(nodes, "id", "left_semi").select("id", "least.doc_id", "least.hash")
+    return rows.join(members, ["doc_id", "hash"]).select("id", "text").dropDuplicates(["id"]).mapInArrow(run, "id long, shingles binary")
+
 
-    def cluster(one: pa.Table) -> pa.Table:
+def confirmed(edges: DataFrame, sets: DataFrame, room: int = SET_ROOM) -> DataFrame:
+    """node, root: components of the sets (id, shingles) that share `SIMILARITY`; edges (a, b) name the candidates.
+
+    Each edge is tried.  Where one fails, other pairs of its candidates' component
+    may hold, so the members of such a component that no true edge connects meet
+    in cells of bounded size, and are tried against each other.
+    """
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, other = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("own", "other"))
+            ok = [_alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(own, other, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("a")), b.column(b.schema.get_field_index("b")), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    def rest(one: pa.Table) -> pa.Table:
         one = one.sort_by("id")
         ids = one["id"].to_numpy()
-        label = similar([np.frombuffer(x, "<u8") for x in one["shingles"].to_pylist()])
-        linked = label != np.arange(len(ids))
-        return pa.table({"node": ids[linked], "root": ids[label[linked]]})
-
-    sets = rows.join(members, ["doc_id", "hash"]).select("id", "root", "text").mapInArrow(run, "id long, root long, shingles binary")
-    sets = sets.repartition("root").groupBy("root", "id").agg(F.first("shingles").alias("shingles"))
-    return sets.groupBy("root").applyInArrow(cluster, "node long, root long")
+        return pa.Table.from_batches([_pairs(ids, ids[similar([np.frombuffer(x, "<u8") for x in one["shingles"].to_pylist()], one["label"].to_numpy())])])
+
+    left = salted_join(edges, sets.select(F.col("id").alias("a"), F.col("shingles").alias("own")), "a", "b")
+    both = salted_join(left, sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b", "a")
+    verdicts = checkpointed(both.mapInArrow(tried, "a long, b long, ok boolean").coalesce(scan_partitions(edges)))
+    true, failed = verdicts.where("ok").select("a", "b"), verdicts.where("not ok").select("a", "b")
+    roots = components(true)
+    if not failed.limit(1).count():
+        return roots
+    groups = components(edges)
+    mixed = failed.join(groups, F.col("a") == F.col("node"), "left").select(F.coalesce("root", "a").alias("key")).distinct()
+    nodes = groups.select("node", F.col("root").alias("key")).union(groups.select("root", "root").distinct()).join(mixed, "key", "left_semi")
+    named = nodes.join(roots, "node", "left").select("key", F.col("node").alias("id"), F.coalesce("root", "node").alias("label"))
+    members = named.join(sets, "id").select("key", "id", "label", F.expr("octet_length(shingles) div 8").alias("size"), "shingles")
+    more = cells(members, room).groupBy("cell").applyInArrow(rest, "a long, b long")
+    return components(true.union(more))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -342,27 +488,27 @@ def keep_one(docs: DataFrame) -> DataFrame:
     far beyond what blocks of bits can find; so texts meet that have the same
     lowest shingle hashes under two of twenty seeds (a pair at 0.8 is missed
     once in 30,000), BK-trees over SimHashes find the neighbours in each such
-    group, and a sketch of 256 bins (its error is about 0.02) leaves out those
-    that share less than 0.68 by it.  What is left only names candidates: the
-    whole shingle sets of each component of candidates, fetched by id, meet in a
-    task, and only pairs that share 0.8 of them are linked.  Exact copies, null or empty texts among them, count once
-    beforehand.  Texts without words are copies of each other.  Rows repeated
-    with their doc_id leave one.
+    shard, and a sketch of 256 bins (its error is about 0.02) leaves out those
+    that share less than 0.68 by it.  What is left only names candidates: their
+    whole shingle sets are fetched by id, and only pairs that share 0.8 of them
+    are linked (`confirmed`).  Exact copies, null or empty texts among them,
+    count once beforehand.  Texts without words are copies of each other.  Rows
+    repeated with their doc_id leave one.  An empty table stays empty.
     """
-    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    rows = marked.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("hash"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    classes = _sketches(rows).groupBy("id").agg(F.min(F.struct("doc_id", "hash")).alias("least"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), F.first("bins").alias("bins"))
+    key, hashed, number = unused(docs, "id", "hash", "number")
+    marked = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), hashed: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    rows = marked.select(F.col(key).alias("doc_id"), F.col(hashed).alias("hash"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    first = [F.first(c).alias(c) for c in ("fp", "keys", "bins")]
     files = max(1, scan_partitions(rows) // 4)
-    classes = checkpointed(classes.coalesce(files))
-    roots = components(_wide_links(classes.select("id", "fp", "anchors", "bins")), files)
-    near = roots.union(roots.select("root", "root").distinct())
-    members = classes.select("id", "least.doc_id", "least.hash").join(near, F.col("id") == F.col("node")).drop("node")
-    linked = _confirmed(rows, members)
+    classes = checkpointed(_sketches(rows).groupBy("id").agg(F.min(F.struct("doc_id", "hash")).alias("least"), *first).coalesce(files))
+    edges = checkpointed(meet(classes.select("id", "fp", "keys", "bins"), WIDE_RADIUS, True).coalesce(files))
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+    linked = confirmed(edges, checkpointed(_sets(rows, classes, nodes).coalesce(files)))
     rooted = classes.select("id", "least").join(linked, classes.id == linked.node, "left").select("least", F.coalesce("root", "id").alias("root"))
-    keepers = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.hash").alias("__hash"))
-    kept = marked.join(keepers, ["__id", "__hash"], "left_semi")
-    one = W.partitionBy("__id", "__hash").orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keepers = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias(key), F.col("least.hash").alias(hashed))
+    kept = marked.join(keepers, [key, hashed], "left_semi")
+    one = W.partitionBy(key, hashed).orderBy(F.lit(0))
+    return kept.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,3 +153,64 @@ def test_keep_one_links_from_0_8_on_exactly(spark):
             rows += [(len(rows), " ".join(a), "en"), (len(rows) + 1, " ".join(b), "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in sh.keep_one(df).collect()) == want
+
+
+def _labels(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    return label
+
+
+def test_shards_in_parts_lose_no_link(spark):
+    """One bit block is the same for all: each shard of it is dealt into many small parts."""
+    rng = random.Random(5)
+    fps = {(rng.getrandbits(42) << 22 | 77) for _ in range(40)}
+    for f in list(fps):
+        for _ in range(6):
+            f ^= 1 << rng.randrange(22, 64)
+            fps.add(f)
+    fps = sorted(f - 2**64 if f >> 63 else f for f in fps)
+    found = {r.node: r.root for r in sh.components(sh.links(spark.createDataFrame([(f,) for f in fps], "fp long"), room=10)).collect()}
+    near = [(i, j) for i, a in enumerate(fps) for j, b in enumerate(fps[:i]) if bin((a ^ b) & (2**64 - 1)).count("1") <= 2]
+    assert [found.get(f, f) for f in fps] == [fps[k] for k in _labels(len(fps), near)]
+
+
+def test_cells_bring_all_unlike_members_together(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(3), k, rng.choice([1, 1, 1, 1, 2, 3, k]), rng.randrange(1, 4)) for k in range(300)]
+    own = {k: (key, label) for key, k, label, _ in rows}
+    together = {}
+    for r in sh.cells(spark.createDataFrame(rows, "key long, id long, label long, size long"), 40).collect():
+        together.setdefault(r.cell, []).append(r.id)
+    met = {(a, b) for x in together.values() for a in x for b in x}
+    assert max(map(len, together.values())) < 100 and all(len(set(x)) == len(x) for x in together.values())
+    assert not [(a, b) for a in own for b in own if own[a][0] == own[b][0] and own[a][1] != own[b][1] and (a, b) not in met]
+    assert sh.cells(spark.createDataFrame([(1, 1, 9, 5), (1, 2, 9, 5)], "key long, id long, label long, size long"), 4).count() == 0
+
+
+def test_confirmed_tries_other_pairs_where_an_edge_fails(spark):
+    """A chain of sets, of which the candidates' edges name only some and wrong ones."""
+    sets = [np.arange(k, k + 40, dtype="<u8") for k in range(0, 12, 4)] + [np.arange(100 + k, 140 + k, dtype="<u8") for k in (0, 30, 4)]
+    df = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "id long, shingles binary")
+    edges = spark.createDataFrame([(0, 2), (1, 2), (3, 4), (4, 5)], "a long, b long")
+    for room in (1 << 20, 50):
+        assert {r.node: r.root for r in sh.confirmed(edges, df, room).collect()} == {1: 0, 2: 0, 5: 3}
+
+
+def test_keep_one_of_a_group_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(sh, "ROOM", 16)
+    monkeypatch.setattr(sh, "MOST_DEALT", 1000)
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    rows = []
+    for k in range(200):
+        text = list(base)
+        text[rng.randrange(120)] = word()
+        rows.append((k, " ".join(text if k % 20 else [word() for _ in range(60)]), k))
+    df = spark.createDataFrame(rows, "doc_id long, text string, id long").selectExpr("*", "'x' AS `_id`", "'y' AS number", "'z' AS hash")
+    kept = sh.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.id, r._id) for r in kept.collect()) == sorted([(1, 1, "x"), *[(k, k, "x") for k in range(0, 200, 20)]])
