@@ -23,6 +23,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 U64 = np.uint64
 #: Texts are handled in chunks of about so many bytes.
 CHUNK_BYTES = 2 << 20
+#: Tasks to which the rows of one key may go in a join.
+SALTS = 1024
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,15 +51,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the folder that the cluster shares."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where driver and executors are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint")
+    return folder
+
+
 def compacted(df: DataFrame) -> DataFrame:
     """df, of small rows from a scan, checkpointed in a sixteenth of the scan's partitions: fewer, larger files."""
     return checkpointed(df.repartition(max(1, scan_partitions(df) // 16)))
 
 
+def salted_join(rows: DataFrame, other: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with other (a row for each key); a key's rows go to as many tasks as `by` has hashes among them, `SALTS` at most."""
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    spread = rows.select(key, "__salt").distinct().join(other, key)
+    return rows.join(spread, [key, "__salt"]).drop("__salt")
+
+
 def scan_partitions(df: DataFrame) -> int:
     """How many tasks a scan of df has; it grows with the input."""
     return max(1, df.rdd.getNumPartitions())

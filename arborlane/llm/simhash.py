@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, checkpointed, chunked, compacted, mix, read, scan_partitions, texts, unused
+from .common import LOWER, U64, checkpointed, chunked, compacted, mix, read, salted_join, scan_partitions, texts, unused
 
 SEED, RADIUS = 42, 2
 #: Blocks of bits (first bit, number), one of which at least agrees within the radius.
@@ -43,8 +43,6 @@ _FRONTIER, _PIECE, _HELD = 1 << 18, 1 << 14, 1 << 16
 ROOM, MOST_DEALT = 4096, 100_000
 #: Shingles of the sets that a task compares with as many others, at once.
 SET_ROOM = 1 << 20
-#: Tasks to which the rows of one key may go in a join.
-SALTS = 1024
 #: The pipeline's stage: words of a shingle, similarity, anchors (two lowest hashes each), bins of its sketch, the radius of its trees.
 SHINGLE, SIMILARITY, ANCHORS, BINS, WIDE_RADIUS = 5, 0.8, 10, 256, 22
 #: Estimates from which pairs are candidates (five deviations below the similarity), and from which they are tried first.
@@ -223,13 +221,6 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def salted_join(rows: DataFrame, other: DataFrame, key: str, by: str) -> DataFrame:
-    """rows joined with other (a row for each key); a key's rows go to as many tasks as `by` has hashes among them, `SALTS` at most."""
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    spread = rows.select(key, "__salt").distinct().join(other, key)
-    return rows.join(spread, [key, "__salt"]).drop("__salt")
-
-
 def cells(members: DataFrame, room: int) -> DataFrame:
     """Members (key, id, label, size, ...) in cells (column cell) of about 2 * room, so that any two of a key with different labels meet in one.
 

@@ -15,7 +15,7 @@ EDGE = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
 #: Names of results, which the inputs may have too.
-CLASHES = ["fingerprint", "spans", "part", "copy", "hash", "bucket", "score", "kept", "h", "n_words", "slot", "shard", "component_id", "count", "key", "block", "ids"]
+CLASHES = ["fingerprint", "spans", "part", "copy", "hash", "bucket", "score", "kept", "h", "n_words", "slot", "shard", "component_id", "count", "key", "block", "ids", "id", "_id", "number", "live", "place", "own", "middle", "below", "above", "__salt", "__h", "label", "root", "fp", "keys", "bins", "digest", "copies", "tokens", "judged", "repositories", "owners", "value"]
 
 
 def edge(spark):
