@@ -6,7 +6,7 @@ its n-grams' log ratios, tempered so that a longer text counts as `EVIDENCE`
 n-grams (else small differences between languages add up in long texts);
 documents are then sampled without replacement, with those weights, by Gumbel
 top-k: the k largest of log weight plus Gumbel noise.
-k is the number of documents that weigh as much as good text does: their log
+k may be given.  Else it is the number of documents that weigh as much as good text does: their log
 weight is at most three deviations of the noise (`MARGIN`) below the `QUANTILE`
 of the weights of all documents labelled good.  Fewer than `LEAST_GOOD` of those
 don't tell such a quantile (and their own n-grams make up the target model, so
@@ -98,9 +98,9 @@ def _weights(many: list[str], table: np.ndarray) -> np.ndarray:
     return total * np.minimum(1.0, EVIDENCE / np.maximum(size, 1)) if encoded else total
 
 
-def gumbel(ids: list[int | None], many: list[str]) -> np.ndarray:
-    """Noise that hangs on doc_id and text alone."""
-    u = np.array([xxhash.xxh64_intdigest(f"{_ID if i is None else i}:{xxhash.xxh64_hexdigest(t)}", SEED) for i, t in zip(ids, many, strict=True)], U64)
+def gumbel(ids: list[int | None], many: list[str], seed: int = SEED) -> np.ndarray:
+    """Noise that hangs on seed, doc_id and text alone."""
+    u = np.array([xxhash.xxh64_intdigest(f"{_ID if i is None else i}:{xxhash.xxh64_hexdigest(t)}", seed) for i, t in zip(ids, many, strict=True)], U64)
     return -np.log(-np.log(((u >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53))
 
 
@@ -136,12 +136,12 @@ def kth_largest(keys: DataFrame, k: int) -> int:
 class Sampler:
     """The fitted models and the threshold that Gumbel top-k comes to."""
 
-    def __init__(self, table: np.ndarray, threshold: int | None):
-        self.table, self.threshold = table, threshold
+    def __init__(self, table: np.ndarray, threshold: int | None, seed: int = SEED):
+        self.table, self.threshold, self.seed = table, threshold, seed
 
     def keys(self, ids: list, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
         weight = _weights(many, self.table)
-        return weight, weight + gumbel(ids, many)
+        return weight, weight + gumbel(ids, many, self.seed)
 
     def selected(self, keys: np.ndarray) -> np.ndarray:
         return np.zeros(len(keys), bool) if self.threshold is None else ordered(keys) >= self.threshold
@@ -166,32 +166,38 @@ def good_floor(scores: DataFrame, labels: DataFrame, least: float = FLOOR) -> fl
     return max(least, unordered(kth_largest(keys, n - int(QUANTILE * n))) - MARGIN)
 
 
-def fit(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> tuple[Sampler, DataFrame]:
-    """The sampler, and the scores (checkpointed) of all rows; k never counts a log weight below `floor`."""
+def fit(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, k: int | None = None, seed: int = SEED) -> tuple[Sampler, DataFrame]:
+    """The sampler, and the scores (checkpointed) of all rows; a k that isn't given never counts a log weight below `floor`."""
     rows = texts(docs)
-    sampler = Sampler(ratios(count(rows, target_ids(labels))), None)
+    sampler = Sampler(ratios(count(rows, target_ids(labels))), None, seed)
     scores = compacted(_scored(rows, sampler))
-    k = scores.where(F.col("log_weight") >= good_floor(scores, labels, floor)).count()
-    if k:
-        sampler.threshold = kth_largest(scores, k)
+    total = scores.count()
+    if k is None:
+        k = scores.where(F.col("log_weight") >= good_floor(scores, labels, floor)).count()
+    if min(k, total) > 0:
+        sampler.threshold = kth_largest(scores, min(k, total))
     return sampler, scores
 
 
-def sample(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, k: int | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight, gumbel_key and kept (selected) of every row.
 
     A null text is empty.  Repeated rows draw the same noise and go together;
     keys equal to the k-th are all selected.  Without labels all weights are 0
-    and all rows are selected; an empty table gives an empty result.
+    and all rows are selected unless k is given; an empty table gives an empty
+    result.
     """
-    sampler, scores = fit(docs, labels, floor)
+    sampler, scores = fit(docs, labels, floor, k, seed)
     chosen = F.lit(False) if sampler.threshold is None else F.col("key") >= sampler.threshold
     return scores.select("doc_id", "log_weight", "gumbel_key", chosen.alias("kept"))
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """The documents that are selected, all their columns unchanged; nothing shuffles but counts."""
-    sampler, _ = fit(docs, labels, floor)
+def keep_selected(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The documents that are selected, all their columns unchanged; nothing shuffles but counts.
+
+    Null texts are empty, repeated rows go together, an empty table stays empty.
+    """
+    sampler, _ = fit(docs, labels, floor, k, seed)
 
     @F.arrow_udf("boolean")
     def chosen(ids: pa.Array, text: pa.Array) -> pa.Array:

@@ -92,3 +92,24 @@ def test_k_hangs_on_the_weights_of_good_labels(spark):
     assert floor > rs.FLOOR and sum(r.kept for r in rows) == sum(r.log_weight >= floor for r in rows)
     share = {v: np.mean([r.kept for r in rows if r.quality == v]) for v in (0, 1)}
     assert share[1] >= 0.99 and share[0] <= 0.1
+
+
+def test_top_k_samples_and_is_no_threshold(spark):
+    """For a given k, kept rows are the k largest of weight plus noise, and each row's share over seeds is that of brute-force draws."""
+    rows = [(k, ["aa", "ab", "ba", "bb", "c"][k % 5]) for k in range(60)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, [(k, 1, 0) for k in range(60) if k % 5 < 2 or k % 7 == 0])
+    got = {r.doc_id: r for r in rs.sample(df, lab, k=20, seed=3).collect()}
+    weight = np.array([got[k].log_weight for k in range(60)])
+    key = weight + rs.gumbel(list(range(60)), [t for _, t in rows], 3)
+    assert {k for k in got if got[k].kept} == set(np.argsort(-key)[:20].tolist())
+    assert {k for k in got if got[k].kept} != set(np.argsort(-weight)[:20].tolist())
+    assert {r.doc_id for r in rs.keep_selected(df, lab, k=20, seed=3).collect()} == {k for k in got if got[k].kept}
+    share, want, rng = np.zeros(60), np.zeros(60), np.random.default_rng(1)
+    for seed in range(2000):
+        share[np.argsort(-(weight + rs.gumbel(list(range(60)), [t for _, t in rows], seed)))[:20]] += 1 / 2000
+        left, p = list(range(60)), np.exp(weight - weight.max())
+        for _ in range(20):  # without replacement, one after the other
+            drawn = rng.choice(len(left), p=p[left] / p[left].sum())
+            want[left.pop(drawn)] += 1 / 2000
+    assert np.abs(share - want).max() < 0.07 and ((share > 0.02) & (share < 0.98)).sum() > 20
+    assert all(r.kept for r in rs.sample(df, lab, k=1000).collect()) and not any(r.kept for r in rs.sample(df, lab, k=0).collect())
