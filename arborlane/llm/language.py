@@ -24,8 +24,10 @@ from .common import LOWER, U64, Words, chunked, grams, mix, read
 
 #: n-gram sizes, places of each size's hash table, added to each count.
 SIZES, PLACES, SMOOTHING = (2, 3, 4), 1 << 15, 0.5
-#: What a switch of languages costs, in nats; least share of a language's letters for a script to be its own; cost of a script that isn't.
-SWITCH, SCRIPT_SHARE, FOREIGN = 12.0, 0.01, 60.0
+#: What a switch of languages costs, in nats; least share of a language's letters for a script to be its own.
+SWITCH, SCRIPT_SHARE = 12.0, 0.01
+#: Languages that a model may have at the most: their tables are collected and broadcast (400 KB each).
+MOST_LANGUAGES = 256
 #: First code points of script ranges, and the scripts (0: others).
 _RANGES = [
     (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0780, "other"), (0x0900, "Devanagari"),
@@ -82,21 +84,26 @@ class Model:
         self.languages, self.table, self.scripts, self.switch = languages, table, scripts, switch
 
     def word_scores(self, chunk: Chunk) -> np.ndarray:
-        """(word, language): the mean over sizes of the sums of log probabilities of the n-grams that end in the word or right after it; 0 for words without letters."""
-        n_words, n = len(chunk.words.start), len(self.languages)
-        out = np.zeros((n_words, n))
-        if not n_words:
+        """(word, language): the mean over sizes of the sums of log probabilities of the n-grams that end in the word or right after it.
+
+        A word is scored in the languages that use its script only (in all if
+        none does) and can't be in the others; words without letters have 0.
+        """
+        words, n = chunk.words, len(self.languages)
+        out = np.zeros((len(words.start), n))
+        if not len(words.start):
             return out
-        for k, size in enumerate(SIZES):
-            where, _ = chunk.places(size)  # one for each byte and one after each text, as in chunk.words.bytes
-            for j in range(n):
-                total = np.concatenate([[0.0], np.cumsum(self.table[j, k][where], dtype=np.float64)])
-                out[:, j] += total[chunk.words.end + 1] - total[chunk.words.start]
-        out /= len(SIZES)
-        allowed = self.scripts[:, chunk.script].T
-        known = allowed.any(axis=1)
-        out[known] -= FOREIGN * ~allowed[known]
-        out[chunk.letters == 0] = 0.0
+        candidate = self.scripts[:, chunk.script]
+        candidate = candidate | ~candidate.any(axis=0) | (chunk.letters == 0)
+        size = words.end + 1 - words.start  # n-gram places: one for each byte and one after each text, as in words.bytes
+        where = [chunk.places(k)[0] for k in SIZES]
+        for j in range(n):
+            own = np.flatnonzero(candidate[j] & (chunk.letters > 0))
+            out[~candidate[j], j] = -np.inf
+            if len(own):
+                first = np.concatenate([[0], np.cumsum(size[own])[:-1]])
+                at = np.repeat(words.start[own] - first, size[own]) + np.arange(int(size[own].sum()))
+                out[own, j] = sum(np.add.reduceat(self.table[j, k][where[k][at]], first, dtype=np.float64) for k in range(len(SIZES))) / len(SIZES)
         return out
 
     def label(self, chunk: Chunk) -> np.ndarray:
@@ -164,6 +171,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     """Learns from the rows with a lang; a null text is empty."""
     rows = docs.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     width = len(SIZES) * PLACES
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -193,7 +202,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, held_out (the row is in the fold kept from training), lang_pred, score, n_spans and spans of every row.
 
     `und` with score 0 for a null text, one without letters, and if nothing was
-    learned.  Ties go to the first language in order.  Repeated rows each give
+    learned; without letters there are no spans.  Ties go to the first language in order.  Repeated rows each give
     a row; an empty table gives an empty result.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (fold(id_col) == TRAIN_FOLD).alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -214,4 +223,5 @@ def fold(id_col: str = "doc_id"):
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return identify(docs, train(docs.where(fold() != TRAIN_FOLD))).drop("spans")
+    found = identify(docs, train(docs.where(fold() != TRAIN_FOLD)))
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"), s.lang)), ","))

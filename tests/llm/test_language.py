@@ -67,3 +67,28 @@ def test_predictions_do_not_see_lang_or_source(spark, model):
     other = plain.withColumns({"lang": F.lit("zz"), "source": F.lit("zz")})
     read = lambda df: sorted((str(r.doc_id), r.lang_pred, r.score) for r in lg.identify(df, model).collect())
     assert read(plain) == read(other)
+
+
+def test_scripts_narrow_before_words_are_scored(model):
+    """A Cyrillic word has scores in Cyrillic's languages alone, whatever n-grams say; one without letters or of an unknown script in all."""
+    chunk = lg.Chunk(["дом house 12 日本語"])
+    score = model.word_scores(chunk)
+    cyrillic = model.scripts[:, lg.SCRIPTS.index("Cyrillic")]
+    assert np.isfinite(score[0]).tolist() == cyrillic.tolist() and np.isfinite(score[1]).tolist() == (~cyrillic).tolist()
+    assert (score[2] == 0).all() and np.isfinite(score[3]).all()
+    places = [chunk.places(n)[0] for n in lg.SIZES]
+    brute = sum(float(model.table[1, k, places[k][at]]) for k in range(len(lg.SIZES)) for at in range(chunk.words.start[1], chunk.words.end[1] + 1)) / len(lg.SIZES)
+    assert np.isclose(score[1, 1], brute)
+
+
+def test_query_shows_spans(spark, sf):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in lg.query(spark, sf).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert len(spans) == r.n_spans and [int(a) for a, *_ in spans[1:]] == [int(b) for _, b, _ in spans[:-1]]
+        assert not spans or (int(spans[0][0]), int(spans[-1][1])) == (0, len(docs[r.doc_id].encode().split()))
+
+
+def test_refuses_too_many_languages(spark):
+    with pytest.raises(ValueError):
+        lg.train(spark.createDataFrame([("word", f"l{k}") for k in range(lg.MOST_LANGUAGES + 1)], "text string, lang string"))
