@@ -240,7 +240,7 @@ def train(texts: DataFrame, shards: int) -> DataFrame:
 
 
 def top_levels(model: DataFrame) -> Top:
-    """From at most 65,280 sums, whatever the corpus."""
+    """From at most 65,280 sums, whatever the corpus; decimals, so that the order of adding up doesn't matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,7 +249,7 @@ def top_levels(model: DataFrame) -> Top:
                 # `above` are contexts of one byte: the sums over the depth-2 nodes below them
                 yield pa.RecordBatch.from_arrays([pa.array(own.above.astype(np.int64)), pa.array(own.log_w), pa.array(own.zeros.astype(np.int64)), pa.array(own.ones.astype(np.int64))], ["node", "log_w", "zeros", "ones"])
 
-    sums = model.select("grams", "gram_counts").mapInArrow(run, "node long, log_w double, zeros long, ones long").groupBy("node").agg(F.sum("log_w").alias("log_w"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+    sums = model.select("grams", "gram_counts").mapInArrow(run, "node long, log_w double, zeros long, ones long").groupBy("node").agg(F.sum(F.col("log_w").cast("decimal(38,12)")).cast("double").alias("log_w"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
     return Top(*(sums[c].to_numpy() for c in ("node", "log_w", "zeros", "ones")))
 
 
@@ -314,12 +314,12 @@ def _answers(top: Top):
                     known = keys[at] == asked
                     p[known] = logs[at[known]]
                 p[~known] = trees.log10(asked[~known], top)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), _binary([c], "<i8"), _binary([p], "<f4")], ["block", "shard", "counts", "logs"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), _binary([c], "<i8"), _binary([p], "<f8")], ["block", "shard", "counts", "logs"])
 
     return run
 
 
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
 def _scored(shards: int, n_words: int, n_docs: int, distinct: int):
@@ -341,7 +341,7 @@ def _scored(shards: int, n_words: int, n_docs: int, distinct: int):
                 chunks.append((words.n_words, words.doc, w, w_at.astype(np.int32), g, g_at.astype(np.int32), start))
                 size, begin = 0, i + 1
         tables = []
-        for k, where, kind, part in ((2, word_shard, "<i8", 0), (4, gram_shard, "<f4", 1)):
+        for k, where, kind, part in ((2, word_shard, "<i8", 0), (4, gram_shard, "<f8", 1)):
             keys = merged([c[k] for c in chunks])
             values = np.zeros(len(keys))
             for shard, at in enumerate(by_shard(keys, where(keys, shards), shards)):
@@ -359,7 +359,7 @@ def _scored(shards: int, n_words: int, n_docs: int, distinct: int):
         n, known, base, score, n_bytes = (np.concatenate(x) if x else np.zeros(0) for x in out)
         whole = lambda x: pa.array(x.astype(np.int64))
         ids = pa.array([None if i == _NONE else i for i in ids], pa.int64())
-        return pa.Table.from_arrays([ids, pa.array(held, pa.bool_()), whole(n), whole(known), whole(np.full(len(n), tokens)), pa.array(base - n * per_token), pa.array(score), whole(n_bytes)], [c.split()[0] for c in SCHEMA.split(", ")])
+        return pa.Table.from_arrays([ids, pa.array(held, pa.bool_()), whole(n), whole(known), whole(np.full(len(n), tokens)), pa.array(base - n * per_token), pa.array(score), whole(n_bytes), pa.array(-score / np.log10(2) / np.maximum(n_bytes, 1))], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return run
 
@@ -374,7 +374,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     doc_id, held_out, n_tokens (words and an end), n_known (tokens that occur
     in training text), train_tokens, base_score (log10, unigrams), score (log10
     of the model's probability of the text), n_bytes (what the score codes:
-    bytes and an end).  A null text is empty and has the end alone; repeated
+    bytes and an end) and bits_per_byte (its code length by that).  A null text is empty and has the end alone; repeated
     rows each give a row (and count each in training); without training rows
     every decision is even; an empty table gives an empty result.
     """

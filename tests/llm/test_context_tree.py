@@ -140,3 +140,9 @@ def test_query_learns(spark, sf):
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     out = [r for r in rows if r.held_out]
     assert sum(-r.score for r in out) / sum(r.n_bytes for r in out) / math.log10(2) < 3
+
+
+def test_scores_do_not_hang_on_how_rows_are_dealt(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    one, other = ({r.doc_id: (r.score, r.base_score, r.bits_per_byte) for r in ct.score(df).collect()} for df in (docs, docs.repartition(5)))
+    assert one == other
