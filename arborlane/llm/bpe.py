@@ -4,6 +4,9 @@ A long text is halved, down to leaves; the leaves of all texts at hand are
 encoded together; then, level by level, two neighbours are joined: a window of
 tokens around the seam is encoded anew and grows until its outer tokens agree
 with both sides, which makes the joined tokens exactly those of the whole.
+The halves of a text of over `LONG` code points, down to that size, are rows that
+go to several tasks; the seams between them are joined where the text's tokens
+come together.
 
 Why agreement is enough: a sequence of byte-pair tokens is the encoding of its
 text if and only if each adjacent pair is the encoding of its own text.  Inside
@@ -24,11 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import chunked, read, texts
+from .common import chunked, read, scan_partitions, texts
 
 #: Code points of a leaf; tokens on each side of the first window; tokens that must agree, without and with a sure boundary.
 LEAF, WINDOW, AGREE, SURE = 2048, 8, 16, 2
+#: Code points from which on a text's halves are encoded by several tasks.
+LONG = 1 << 16
 #: Units (a word with the white space before it) whose tokens a worker keeps.
 UNITS = 300_000
 #: White space of the splitting pattern.
@@ -48,6 +54,15 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def halves(text: str, most: int) -> list[str]:
+    """The text's halves, quarters and so on, none of over `most` code points."""
+    count = 1
+    while len(text) > count * most:
+        count *= 2
+    cut = [len(text) * k // count for k in range(count + 1)]
+    return [text[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+
 class TreeEncoder:
     """Encodes and decodes as the tokenizers library does with this byte-level vocabulary file."""
 
@@ -114,22 +129,16 @@ class TreeEncoder:
                 return np.concatenate([left[: len(left) - a], ids, right[b:]])
             w *= 2
 
+    def joined(self, level: list[np.ndarray]) -> np.ndarray:
+        """The tokens of the text whose halves, quarters and so on have these."""
+        while len(level) > 1:
+            level = [self.join(level[k], level[k + 1]) for k in range(0, len(level), 2)]
+        return level[0]
+
     def encode_batch(self, many: list[str]) -> list[np.ndarray]:
-        parts = []
-        for x in many:
-            count = 1
-            while len(x) > count * self.leaf:
-                count *= 2
-            cut = [len(x) * k // count for k in range(count + 1)]
-            parts.append([x[cut[k] : cut[k + 1]] for k in range(count)])
+        parts = [halves(x, self.leaf) for x in many]
         flat = iter(self.leaves([p for x in parts for p in x]))
-        out = []
-        for x in parts:
-            level = [next(flat) for _ in x]
-            while len(level) > 1:
-                level = [self.join(level[k], level[k + 1]) for k in range(0, len(level), 2)]
-            out.append(level[0])
-        return out
+        return [self.joined([next(flat) for _ in x]) for x in parts]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -150,37 +159,60 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
-    """doc_id, ids (array of int) and decoded (string) of every row; a null text is empty and has no ids, each of repeated rows gives a row."""
+def _encoded(rows: DataFrame, path: str, leaf: int, long: int, made, ddl: str) -> DataFrame:
+    """made(encoder, ids, tokens of each) of all rows (doc_id, text), in batches of the schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, leaf)
         for ids, many in chunked(batches, "doc_id", "text"):
-            tokens = [x.tolist() for x in own.encode_batch(many)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array([own.decode(x) for x in tokens], pa.string())], ["doc_id", "ids", "decoded"])
+            yield made(own, ids, own.encode_batch(many))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, digests, copies, many in chunked(batches, "doc_id", "digest", "copies", "text"):
+            for i, digest, n, text in zip(ids, digests, copies, many, strict=True):
+                parts = halves(text, long)
+                same = lambda x, kind, size=len(parts): pa.array([x] * size, kind)
+                yield pa.RecordBatch.from_arrays([same(i, pa.int64()), same(digest, pa.string()), same(n, pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.string())], ["doc_id", "digest", "copies", "part", "text"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path, leaf)
+        for ids, digests, copies, part, many in chunked(batches, "doc_id", "digest", "copies", "part", "text"):
+            tokens = [x.astype("<u4").tobytes() for x in own.encode_batch(many)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(copies, pa.int64()), pa.array(part, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "digest", "copies", "part", "tokens"])
 
+    def whole(one: pa.Table) -> pa.Table:
+        own, one = encoder(path, leaf), one.sort_by("part")
+        tokens = own.joined([np.frombuffer(x, "<u4") for x in one["tokens"].to_pylist()])
+        batch = made(own, [one["doc_id"][0].as_py()], [tokens])
+        return pa.Table.from_batches([batch] * one["copies"][0].as_py())
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
-    """Like `encode`, with digests in place of ids and decoded text."""
+    short = rows.where(F.length("text") <= long).mapInArrow(run, ddl)
+    longer = rows.where(F.length("text") > long).groupBy("doc_id", F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    dealt = longer.mapInArrow(cut, "doc_id long, digest string, copies long, part long, text string").repartition(2 * scan_partitions(rows), "doc_id", "digest", "part")
+    parts = dealt.mapInArrow(each, "doc_id long, digest string, copies long, part long, tokens binary")
+    return short.union(parts.groupBy("doc_id", "digest").applyInArrow(whole, ddl))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, leaf)
-        name = own.text_of.__getitem__
-        for ids, many in chunked(batches, "doc_id", "text"):
-            tokens = [x.tolist() for x in own.encode_batch(many)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([len(x) for x in tokens], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(name, x)).encode()).hexdigest() for x in tokens], pa.string()),
-                    pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in tokens], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return texts(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, long: int = LONG) -> DataFrame:
+    """doc_id, ids (array of int) and decoded (string) of every row; a null text is empty and has no ids, each of repeated rows gives a row, an empty table gives an empty result."""
+
+    def made(own: TreeEncoder, ids: list, many: list[np.ndarray]) -> pa.RecordBatch:
+        tokens = [x.tolist() for x in many]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array([own.decode(x) for x in tokens], pa.string())], ["doc_id", "ids", "decoded"])
+
+    return _encoded(texts(docs, id_col, text_col), path, leaf, long, made, "doc_id long, ids array<int>, decoded string")
+
+
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, long: int = LONG) -> DataFrame:
+    """Like `encode`, for nulls, empty texts, repeated rows and empty tables too, with digests in place of ids and decoded text."""
+
+    def made(own: TreeEncoder, ids: list, many: list[np.ndarray]) -> pa.RecordBatch:
+        name, tokens = own.text_of.__getitem__, [x.tolist() for x in many]
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        columns = [pa.array(ids, pa.int64()), pa.array([len(x) for x in tokens], pa.int64()), pa.array([sha(",".join(map(name, x))) for x in tokens], pa.string()), pa.array([sha(own.decode(x)) for x in tokens], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _encoded(texts(docs, id_col, text_col), path, leaf, long, made, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

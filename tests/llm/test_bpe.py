@@ -58,3 +58,14 @@ def test_query_equals_the_library_on_whole_texts(spark, sf, library):
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
         ids = library.encode(r.text, add_special_tokens=False).ids
         assert got[r.doc_id] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_halves_of_long_texts_go_to_several_tasks(spark, library):
+    """Texts of over 50 code points are cut for several tasks; repeated rows, null ids and extra columns too."""
+    many = [*list(texts())[::2], "word " * 200, "word " * 200, "é日本 x" * 99, None, ""]
+    rows = [(None if k % 5 == 4 else k // 2, t, "x") for k, t in enumerate(many)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    got = sorted(((r.doc_id, r.ids, r.decoded) for r in bpe.encode(df, PATH, leaf=16, long=50).collect()), key=str)
+    assert got == sorted(((d, library.encode(t or "", add_special_tokens=False).ids, t or "") for d, t, _ in rows), key=str)
+    short = sorted(map(tuple, bpe.digests(df, PATH).collect()), key=str)
+    assert short == sorted(map(tuple, bpe.digests(df, PATH, long=50).collect()), key=str)
