@@ -104,7 +104,7 @@ class Packer:
         whole = len(ids) // self.capacity * self.capacity
         for start in range(0, whole, self.capacity):
             self._emit([(doc, start, ids[start : start + self.capacity], len(ids))])
-        self._wait((doc, whole, ids[whole:], len(ids)))
+        self._wait((doc, whole, ids[whole:].copy(), len(ids)))  # not a view, which would keep the whole text's ids
         if self.tokens >= self.pool:
             self._fill(max(self.pool // 2, self.capacity))
 
