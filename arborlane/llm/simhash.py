@@ -43,6 +43,8 @@ _FRONTIER, _PIECE, _HELD = 1 << 18, 1 << 14, 1 << 16
 ROOM, MOST_DEALT = 4096, 100_000
 #: Shingles of the sets that a task compares with as many others, at once.
 SET_ROOM = 1 << 20
+#: Edges of a node from which on a join deals them to many tasks.
+HOT = 100_000
 #: The pipeline's stage: words of a shingle, similarity, anchors (two lowest hashes each), bins of its sketch, the radius of its trees.
 SHINGLE, SIMILARITY, ANCHORS, BINS, WIDE_RADIUS = 5, 0.8, 10, 256, 22
 #: Estimates from which pairs are candidates (five deviations below the similarity), and from which they are tried first.
@@ -309,29 +311,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, room: int = ROOM) -> DataFr
     return meet(distinct.select("fp", F.col("fp").alias("id"), F.array(*keys).alias("keys")), radius, room=room)
 
 
-def components(edges: DataFrame, files: int = 1) -> DataFrame:
+def components(edges: DataFrame, files: int = 1, hot: int = HOT) -> DataFrame:
     """node, root (the smallest node of its component) of every node of the edges (a, b) but the roots.
 
     Large-star and small-star steps in turn: each links a node's neighbours to
-    the smallest of them.  A node's minimum comes to its edges by a join that
-    deals the edges of one node to many tasks.  The first table of edges goes to
-    so many files, later ones to one for each half million edges.
+    the smallest of them.  Once a node has over `hot` edges, minima come to the
+    edges by a join that deals the edges of one node to many tasks.  The first
+    table of edges goes to so many files, later ones to one for each half
+    million edges.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().coalesce(files))
 
     def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        """Edges, a sum of their hashes, the most edges of a node."""
+        ends = df.select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64("a", "b").cast("decimal(20,0)").alias("hash"))
+        each = ends.groupBy("node").agg(F.count("*").alias("n"), F.sum("hash").alias("hash"))
+        return tuple(each.agg(F.coalesce(F.sum("n"), F.lit(0)) / 2, F.sum("hash"), F.max("n")).first())
+
+    def lowest(df: DataFrame, low: DataFrame, most: int) -> DataFrame:
+        return salted_join(df, low, "a", "b") if most > hot else df.join(low, "a")
 
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = salted_join(both, low, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = lowest(both, low, before[2]).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = salted_join(large, low, "a", "b").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
-        edges = checkpointed(small.select("e.*").where("a != b").distinct().coalesce(1 + before[0] // 500_000))
+        small = lowest(large, low, before[2]).select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
+        edges = checkpointed(small.select("e.*").where("a != b").distinct().coalesce(1 + int(before[0]) // 500_000))
         after = state(edges)
-        if after == before:
+        if after[:2] == before[:2]:
             break
         before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -440,8 +449,9 @@ def confirmed(edges: DataFrame, sets: DataFrame, room: int = SET_ROOM) -> DataFr
     """node, root: components of the sets (id, shingles) that share `SIMILARITY`; edges (a, b) name the candidates.
 
     Each edge is tried.  Where one fails, other pairs of its candidates' component
-    may hold, so the members of such a component that no true edge connects meet
-    in cells of bounded size, and are tried against each other.
+    may hold; so if true edges don't connect its ends, the members on both sides
+    meet in cells of bounded size, and those that no true edge connects are tried
+    against each other.
     """
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,24 +461,27 @@ def confirmed(edges: DataFrame, sets: DataFrame, room: int = SET_ROOM) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("a")), b.column(b.schema.get_field_index("b")), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     def rest(one: pa.Table) -> pa.Table:
-        one = one.sort_by("id")
-        ids = one["id"].to_numpy()
-        return pa.Table.from_batches([_pairs(ids, ids[similar([np.frombuffer(x, "<u8") for x in one["shingles"].to_pylist()], one["label"].to_numpy())])])
+        labels = one["label"].to_numpy()
+        first = similar([np.frombuffer(x, "<u8") for x in one["shingles"].to_pylist()], labels)
+        return pa.Table.from_batches([_pairs(labels, labels[first])])
 
-    left = salted_join(edges, sets.select(F.col("id").alias("a"), F.col("shingles").alias("own")), "a", "b")
-    both = salted_join(left, sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b", "a")
+    left = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("own")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b")
     verdicts = checkpointed(both.mapInArrow(tried, "a long, b long, ok boolean").coalesce(scan_partitions(edges)))
-    true, failed = verdicts.where("ok").select("a", "b"), verdicts.where("not ok").select("a", "b")
-    roots = components(true)
-    if not failed.limit(1).count():
+    roots = components(verdicts.where("ok").select("a", "b"))
+    label = lambda name, node: roots.select(F.col("node").alias(node), F.col("root").alias(name))
+    open_ = verdicts.where("not ok").join(label("x", "a"), "a", "left").join(label("y", "b"), "b", "left")
+    open_ = checkpointed(open_.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a != b").distinct().coalesce(1))
+    if not open_.limit(1).count():
         return roots
-    groups = components(edges)
-    mixed = failed.join(groups, F.col("a") == F.col("node"), "left").select(F.coalesce("root", "a").alias("key")).distinct()
-    nodes = groups.select("node", F.col("root").alias("key")).union(groups.select("root", "root").distinct()).join(mixed, "key", "left_semi")
-    named = nodes.join(roots, "node", "left").select("key", F.col("node").alias("id"), F.coalesce("root", "node").alias("label"))
-    members = named.join(sets, "id").select("key", "id", "label", F.expr("octet_length(shingles) div 8").alias("size"), "shingles")
-    more = cells(members, room).groupBy("cell").applyInArrow(rest, "a long, b long")
-    return components(true.union(more))
+    groups = components(open_)
+    groups = groups.select(F.col("node").alias("label"), F.col("root").alias("key")).union(groups.select("root", "root").distinct())
+    nodes = groups.join(roots, groups.label == roots.root).select("key", "label", F.col("node").alias("id")).union(groups.select("key", "label", F.col("label").alias("id")))
+    members = nodes.join(sets, "id").select("key", "id", "label", F.expr("octet_length(shingles) div 8").alias("size"), "shingles")
+    more = components(cells(members, room).groupBy("cell").applyInArrow(rest, "a long, b long"))
+    more = more.select(F.col("node").alias("root"), F.col("root").alias("final"))
+    moved = roots.join(more, "root", "left").select("node", F.coalesce("final", "root").alias("root"))
+    return moved.union(more.select(F.col("root").alias("node"), F.col("final").alias("root")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

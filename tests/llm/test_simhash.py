@@ -73,6 +73,8 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(200).selectExpr("id a", "id + 1 b")
     assert {r.root for r in sh.components(edges).collect()} == {0}
     assert sh.components(edges.limit(0)).count() == 0
+    star = edges.union(spark.range(300).selectExpr("id * 2 + 1000 a", "5 b"))
+    assert {r.root for r in sh.components(star, hot=10).collect()} == {0} and sh.components(star, hot=10).count() == 500
 
 
 def test_edge_rows(spark):
