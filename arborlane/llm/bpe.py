@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunked, read, scan_partitions, texts
+from .common import chunked, kept, read, scan_partitions, texts
 
 #: Code points of a leaf; tokens on each side of the first window; tokens that must agree, without and with a sure boundary.
 LEAF, WINDOW, AGREE, SURE = 2048, 8, 16, 2
@@ -144,13 +144,8 @@ class TreeEncoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_encoders: dict[tuple, TreeEncoder] = {}
-
-
 def encoder(path: str, leaf: int = LEAF) -> TreeEncoder:
-    if (path, leaf) not in _encoders:
-        _encoders[path, leaf] = TreeEncoder(path, leaf)
-    return _encoders[path, leaf]
+    return kept(("bytes", path, leaf), lambda: TreeEncoder(path, leaf))
 
 
 def vocabulary(name: str) -> str:
@@ -164,7 +159,7 @@ def _encoded(rows: DataFrame, path: str, leaf: int, long: int, made, ddl: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, leaf)
-        for ids, many in chunked(batches, "doc_id", "text"):
+        for ids, many in chunked(batches, "doc_id", "text", keep=True):
             yield made(own, ids, own.encode_batch(many))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +171,7 @@ def _encoded(rows: DataFrame, path: str, leaf: int, long: int, made, ddl: str) -
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, leaf)
-        for ids, digests, copies, part, many in chunked(batches, "doc_id", "digest", "copies", "part", "text"):
+        for ids, digests, copies, part, many in chunked(batches, "doc_id", "digest", "copies", "part", "text", keep=True):
             tokens = [x.astype("<u4").tobytes() for x in own.encode_batch(many)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(copies, pa.int64()), pa.array(part, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "digest", "copies", "part", "tokens"])
 

@@ -6,6 +6,7 @@ price of a Python call per chunk of texts and not per word.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 U64 = np.uint64
 #: Texts are handled in chunks of about so many bytes.
 CHUNK_BYTES = 2 << 20
+#: Gives free heap memory back to the system, where the C library can.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Tasks to which the rows of one key may go in a join.
 SALTS = 1024
 
@@ -88,9 +91,31 @@ def partitions_by_bytes(df: DataFrame, each: int, column: str = "text") -> int:
     return max(1, math.ceil(total / each))
 
 
-def chunked(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = CHUNK_BYTES) -> Iterator[list[list]]:
+#: What a Python worker keeps between tasks, by name: one thing at a time, as workers serve all operators in turn.
+_kept: dict[tuple, object] = {}
+
+
+def kept(name: tuple, make):
+    """What make() gives, kept in this worker until a task of another kind runs."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def released(batches: Iterator[pa.RecordBatch], keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches; drops what other kinds of tasks kept, and at the end gives freed memory back, which an idle worker would hold."""
+    if not keep:
+        _kept.clear()
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def chunked(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = CHUNK_BYTES, keep: bool = False) -> Iterator[list[list]]:
     """Lists of the named columns, the last of which is the text, in chunks of about `limit` characters."""
-    for batch in batches:
+    for batch in released(batches, keep):
         lists = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
         start = size = 0
         for i, text in enumerate(lists[-1]):

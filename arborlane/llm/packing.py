@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import vocabulary
-from .common import chunked, read, texts
+from .common import chunked, kept, read, texts
 
 CAPACITY = 4096
 #: Tokens in the pool when packing begins, and of which it leaves half for a better choice later.
@@ -187,13 +187,8 @@ class WordTokens:
         return [np.frombuffer(b"".join(map(of, x)) + tail, "<u4") for x in split]
 
 
-_tokenizers: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokens(path)
-    return _tokenizers[path]
+    return kept(("words", path), lambda: WordTokens(path))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: tuple[int, ...] = (2,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +209,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: tuple[int, .
             packer.out.clear()
             return batch
 
-        for ids, many in chunked(batches, "doc_id", "text"):
+        for ids, many in chunked(batches, "doc_id", "text", keep=True):
             for doc, tokens in zip(ids, own.encode_batch(many, end), strict=True):
                 packer.add(doc, tokens)
             if packer.out:

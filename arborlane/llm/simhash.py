@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, checkpointed, chunked, compacted, mix, read, salted_join, scan_partitions, texts, unused
+from .common import LOWER, U64, checkpointed, chunked, compacted, mix, read, released, salted_join, scan_partitions, texts, unused
 
 SEED, RADIUS = 42, 2
 #: Blocks of bits (first bit, number), one of which at least agrees within the radius.
@@ -253,7 +253,7 @@ def meet(points: DataFrame, radius: int, sketched: bool = False, room: int = ROO
     parts = -(-parts // room)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in released(batches):
             lists = b.column(b.schema.get_field_index("keys"))
             keys = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -277,7 +277,7 @@ def meet(points: DataFrame, radius: int, sketched: bool = False, room: int = ROO
             if end:
                 yield _pairs(*tree_links(*[x[:end] for x in columns[:3]], radius, columns[3][:end] if sketched else None))
 
-        for b in batches:
+        for b in released(batches):
             if b.num_rows:
                 held.append(_columns(b, "key", *names))
                 size += b.num_rows
@@ -287,7 +287,7 @@ def meet(points: DataFrame, radius: int, sketched: bool = False, room: int = ROO
         if held:
             yield from out(True)
 
-    tasks = max(scan_partitions(points), total // 200_000)
+    tasks = max(scan_partitions(points), total // 50_000)
     found = points.select("keys", *names).mapInArrow(dealt, f"key long, {ddl}").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long").distinct()
     if not len(hot):
         return found
@@ -397,12 +397,6 @@ def _sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, hash long, id long, fp long, keys array<long>, bins binary")
 
 
-def _alike(own: np.ndarray, other: np.ndarray) -> bool:
-    """Whether two sets (distinct, sorted) share `SIMILARITY` or more of all their items."""
-    both = len(own) + len(other) - len(np.union1d(own, other))
-    return 100 * both >= round(100 * SIMILARITY) * (len(own) + len(other) - both)
-
-
 def similar(sets: list[np.ndarray], labels: np.ndarray | None = None) -> np.ndarray:
     """The first of each set's component, sets being linked that share `SIMILARITY` or more of all their items (distinct, sorted).
 
@@ -438,11 +432,11 @@ def _sets(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, many in chunked(batches, "id", "text", limit=1 << 19):
-            sets = [np.unique(np.frombuffer(b"".join(shingle_digests(x, SHINGLE)) or bytes(8), "<u8")).tobytes() for x in many]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
+            sets = [np.unique(np.frombuffer(b"".join(shingle_digests(x, SHINGLE)) or bytes(8), "<i8")) for x in many]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
     members = classes.join(nodes, "id", "left_semi").select("id", "least.doc_id", "least.hash")
-    return rows.join(members, ["doc_id", "hash"]).select("id", "text").dropDuplicates(["id"]).mapInArrow(run, "id long, shingles binary")
+    return rows.join(members, ["doc_id", "hash"]).select("id", "text").dropDuplicates(["id"]).mapInArrow(run, "id long, shingles array<long>")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, room: int = SET_ROOM) -> DataFrame:
@@ -454,20 +448,16 @@ def confirmed(edges: DataFrame, sets: DataFrame, room: int = SET_ROOM) -> DataFr
     against each other.
     """
 
-    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own, other = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("own", "other"))
-            ok = [_alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(own, other, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("a")), b.column(b.schema.get_field_index("b")), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
     def rest(one: pa.Table) -> pa.Table:
         labels = one["label"].to_numpy()
-        first = similar([np.frombuffer(x, "<u8") for x in one["shingles"].to_pylist()], labels)
+        first = similar([x.values.to_numpy(zero_copy_only=False) for x in one["shingles"]], labels)
         return pa.Table.from_batches([_pairs(labels, labels[first])])
 
     left = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("own")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b")
-    verdicts = checkpointed(both.mapInArrow(tried, "a long, b long, ok boolean").coalesce(scan_partitions(edges)))
+    same = F.size(F.array_intersect("own", "other"))
+    ok = 100 * same >= round(100 * SIMILARITY) * (F.size("own") + F.size("other") - same)
+    verdicts = checkpointed(both.select("a", "b", ok.alias("ok")).coalesce(scan_partitions(edges)))
     roots = components(verdicts.where("ok").select("a", "b"))
     label = lambda name, node: roots.select(F.col("node").alias(node), F.col("root").alias(name))
     open_ = verdicts.where("not ok").join(label("x", "a"), "a", "left").join(label("y", "b"), "b", "left")
@@ -477,7 +467,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, room: int = SET_ROOM) -> DataFr
     groups = components(open_)
     groups = groups.select(F.col("node").alias("label"), F.col("root").alias("key")).union(groups.select("root", "root").distinct())
     nodes = groups.join(roots, groups.label == roots.root).select("key", "label", F.col("node").alias("id")).union(groups.select("key", "label", F.col("label").alias("id")))
-    members = nodes.join(sets, "id").select("key", "id", "label", F.expr("octet_length(shingles) div 8").alias("size"), "shingles")
+    members = nodes.join(sets, "id").select("key", "id", "label", F.size("shingles").alias("size"), "shingles")
     more = components(cells(members, room).groupBy("cell").applyInArrow(rest, "a long, b long"))
     more = more.select(F.col("node").alias("root"), F.col("root").alias("final"))
     moved = roots.join(more, "root", "left").select("node", F.coalesce("final", "root").alias("root"))

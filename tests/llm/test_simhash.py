@@ -195,7 +195,7 @@ def test_cells_bring_all_unlike_members_together(spark):
 def test_confirmed_tries_other_pairs_where_an_edge_fails(spark):
     """A chain of sets, of which the candidates' edges name only some and wrong ones."""
     sets = [np.arange(k, k + 40, dtype="<u8") for k in range(0, 12, 4)] + [np.arange(100 + k, 140 + k, dtype="<u8") for k in (0, 30, 4)]
-    df = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "id long, shingles binary")
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(sets)], "id long, shingles array<long>")
     edges = spark.createDataFrame([(0, 2), (1, 2), (3, 4), (4, 5)], "a long, b long")
     for room in (1 << 20, 50):
         assert {r.node: r.root for r in sh.confirmed(edges, df, room).collect()} == {1: 0, 2: 0, 5: 3}
