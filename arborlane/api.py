@@ -1,7 +1,9 @@
 """Jobs by name: submit, train, infer, status, details, export, result, baseline, history.
 
 Everything lies in one folder of any store that Spark reads: `jobs` (events,
-append only), `models/<job>` (node tables, manifest last), `results/<id>`.
+append only), `tables/<job>` (numbered rows), `models/<job>` (data, node tables
+by round or shard, manifest last), `results/<id>`.  A job that was lost goes on
+from the last part that is complete.
 """
 
 from __future__ import annotations
@@ -69,8 +71,13 @@ class Engine:
         else:
             df = files.load_flows(self.spark, request.dataset_path)
             df = df.withColumn("Label", clean.binarise("Label")) if "Label" in df.columns else df
-            df = clean.process(df.drop(clean.DAY))
-        return df if "row_id" in df.columns else df.withColumn("row_id", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+            df = clean.process(df if request.partition_strategy == "by_day" else df.drop(clean.DAY))
+        if "row_id" in df.columns:
+            return df
+        table = self._path("tables", request.job_id)  # numbered once; a scan's numbers hold only for itself
+        if not files.exists(self.spark, f"{table}/_SUCCESS"):
+            df.withColumn("row_id", F.monotonically_increasing_id()).write.mode("overwrite").parquet(table)
+        return self.spark.read.parquet(table)
 
     def train(self, request: TrainingRequest, ratio: float = 1.0, shard: str | None = None) -> dict:
         """Runs a job to its manifest; a job whose manifest is there isn't run again."""
@@ -89,25 +96,31 @@ class Engine:
 
     def _train(self, request: TrainingRequest, base: str, ratio: float, shard: str | None) -> dict:
         h, key = request.hyperparameters, "row_id"
+        spread = request.mode == "federated"
         df = self.load(request)
-        features = [c for c, k in df.dtypes if c not in (key, h.target, shard) and k in ("double", "float", "int", "bigint", "smallint", "tinyint")]
-        threshold = None
-        if h.tree_type == "regressor":
-            parts = sampling.random_split(df, key, seed=request.seed).withColumnRenamed("split", "part")
-        else:
-            parts = training.prepare(df, key, h.target, ratio, request.seed)
-        parts.write.mode("overwrite").parquet(f"{base}/data")  # prepared once; later steps read it
+        features = [c for c, k in df.dtypes if c not in (key, h.target, shard, "shard_id") and k in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+        if not files.exists(self.spark, f"{base}/data/_SUCCESS"):  # prepared once; later steps, and a job that goes on, read it
+            if spread:
+                pieces = max(8, df.rdd.getNumPartitions() // request.num_workers)
+                files.write_shards(federated.prepare_job(df, request, key, ratio, shard), f"{base}/data", "shard_id", "part", pieces)
+            elif h.tree_type == "regressor":
+                sampling.random_split(df, key, seed=request.seed).withColumnRenamed("split", "part").write.mode("overwrite").parquet(f"{base}/data")
+            else:
+                training.prepare(df, key, h.target, ratio, request.seed).write.mode("overwrite").parquet(f"{base}/data")
         parts = self.spark.read.parquet(f"{base}/data")
-        rows = parts.where("part = 'train'")
-        if request.mode == "federated":
-            rows = rows if shard else sampling.shard_iid(rows, key, 4, request.seed)
-            nodes = federated.train_shards(rows, h, features, key, shard or "shard_id", request.seed, request.tree_allocation_strategy == "equal").nodes
+        rows, threshold = parts.where("part = 'train'"), None
+        if spread:
+            nodes = federated.train_shards(rows, h, features, key, "shard_id", request.seed, request.tree_allocation_strategy == "equal", f"{base}/nodes").nodes
         else:
-            nodes = forest.node_table(forest.train(rows, h, features, request.seed), folder=f"{base}/mllib")
-        files.append_part(nodes, f"{base}/nodes", 0)
-        nodes = self.spark.read.parquet(f"{base}/nodes/part=0")
+            nodes = training.train_rounds(rows, h, features, request.num_workers, request.seed, f"{base}/nodes")
         if h.tree_type == "classifier":
-            best = metrics.f1_threshold(metrics.curve(training.scores(parts.where("part = 'validation'"), nodes, features, key, h.target))).first()
+            held = parts.where("part = 'validation'")
+            if spread:
+                found, pooled = federated.thresholds(held, nodes, features, key, "shard_id", h.target)
+                found.write.mode("overwrite").parquet(f"{base}/thresholds")
+                best = pooled.first()
+            else:
+                best = metrics.f1_threshold(metrics.curve(training.scores(held, nodes, features, key, h.target))).first()
             threshold = best["threshold"] if best else None
         manifest = {"job_id": request.job_id, "n_estimators": h.n_estimators, "features": features, "target": h.target, "tree_type": h.tree_type, "threshold": threshold, "mode": request.mode}
         files.write_json(self.spark, f"{base}/manifest", manifest)  # last: its presence means complete
@@ -116,16 +129,26 @@ class Engine:
     def model(self, job_id: str) -> training.Trained:
         base = self._path("models", job_id)
         m = files.read_json(self.spark, f"{base}/manifest")
-        return training.Trained(self.spark.read.parquet(f"{base}/nodes/part=0"), m["features"], m["target"], m["threshold"], m["tree_type"])
+        return training.Trained(self.spark.read.parquet(f"{base}/nodes"), m["features"], m["target"], m["threshold"], m["tree_type"], m["mode"] == "federated")
 
     def infer(self, request: InferenceRequest) -> dict:
-        """Scores the job's test part, or data_url, and saves predictions and metrics; done once for each inference_id."""
+        """Scores the job's test part, or data_url, and saves predictions and metrics; done once for each inference_id.
+
+        A federated job's trees vote by leaf support.  On its own test part each
+        shard's threshold decides (its own, else the pooled one, else the larger
+        class), and metrics come by shard and as their macro average too.
+        """
         out = self._path("results", request.inference_id)
         if files.exists(self.spark, f"{out}/metrics"):
             return files.read_json(self.spark, f"{out}/metrics")
         trained = self.model(request.job_id)
         df = self.spark.read.parquet(request.data_url) if request.data_url else self.spark.read.parquet(self._path("models", request.job_id, "data")).where("part = 'test'")
         rows = training.predict(df, trained, "row_id")
+        shards = trained.weighted and trained.task == "classifier" and "shard_id" in df.columns
+        if shards:
+            own = self.spark.read.parquet(self._path("models", request.job_id, "thresholds"))
+            found = metrics.resolved_thresholds(df.select("shard_id").distinct(), own, trained.threshold, None, "shard_id")
+            rows = federated.by_shard(rows.join(df.select("row_id", "shard_id"), "row_id"), found, "shard_id")
         if trained.target in df.columns:
             rows = rows.join(df.select("row_id", F.col(trained.target).cast("double" if trained.task == "regressor" else "long").alias("y")), "row_id")
         rows.write.mode("overwrite").parquet(f"{out}/predictions")
@@ -136,6 +159,10 @@ class Engine:
             found |= {k: v for k, v in m.asDict().items()}
             if trained.task == "classifier":
                 found["auc"] = metrics.auc(rows).first()["auc"]
+            if shards:
+                each = metrics.worker_metrics(rows, "shard_id")
+                found["shards"] = {str(r["shard_id"]): {k: r[k] for k in ("accuracy", "precision", "recall", "f1", "auc")} for r in each.collect()}
+                found["macro"] = metrics.macro_average(each, ["accuracy", "precision", "recall", "f1", "auc"], "smallest").first().asDict()
         files.write_json(self.spark, f"{out}/metrics", found)
         return found
 
@@ -145,7 +172,7 @@ class Engine:
     def export(self, job_id: str, path: str) -> None:
         """The model as one JSON table of nodes, and its manifest beside it."""
         base = self._path("models", job_id)
-        self.spark.read.parquet(f"{base}/nodes/part=0").write.mode("overwrite").json(f"{path}/nodes")
+        self.spark.read.parquet(f"{base}/nodes").drop("part").write.mode("overwrite").json(f"{path}/nodes")
         files.write_json(self.spark, f"{path}/manifest", files.read_json(self.spark, f"{base}/manifest"))
 
     def baseline(self, request: TrainingRequest, trials: int = 5, space: dict | None = None, depth: int | None = None) -> dict:

@@ -25,6 +25,18 @@ def uniform(seed: int | str | Column, *keys: Column | str) -> Column:
     return hash32(seed, *keys) / F.lit(float(1 << 32))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def exact_rank(df: DataFrame, seed: int | str, key: str, by: tuple[str, ...] = (), rank: str = "rank", size: str = "size", buckets: int = BUCKETS) -> DataFrame:
     """df with each row's rank (from 1) by hash and key among the rows with the same `by` columns, and their number.
 
@@ -32,15 +44,16 @@ def exact_rank(df: DataFrame, seed: int | str, key: str, by: tuple[str, ...] = (
     size is ranked by many tasks: ranks within buckets plus the sizes of the
     buckets before.  Null groups are groups of their own.
     """
-    bucket = F.shiftright("__h", 22) if buckets == 1024 else F.floor(F.col("__h") / F.lit((1 << 32) / buckets))
-    hashed = df.withColumn("__h", hash32(seed, key)).withColumn("__b", bucket).withColumn("__g", group_key(by))
-    counts = hashed.groupBy("__g", "__b").agg(F.count("*").alias("__n"))
-    group = W.partitionBy("__g")  # at most `buckets` rows for each group
-    counts = counts.select("__g", "__b", (F.sum("__n").over(group.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(group).alias("__size"))
+    h, b, g, n, local, before, total = unused(df, "__h", "__b", "__g", "__n", "__local", "__before", "__size")
+    bucket = F.shiftright(h, 22) if buckets == 1024 else F.floor(F.col(h) / F.lit((1 << 32) / buckets))
+    hashed = df.withColumn(h, hash32(seed, F.col(f"`{key}`"))).withColumn(b, bucket).withColumn(g, group_key(by))
+    counts = hashed.groupBy(g, b).agg(F.count("*").alias(n))
+    group = W.partitionBy(g)  # at most `buckets` rows for each group
+    counts = counts.select(g, b, (F.sum(n).over(group.orderBy(b)) - F.col(n)).alias(before), F.sum(n).over(group).alias(total))
     # Ranks first, then the join: both need the rows by group and bucket, so they shuffle once.
-    ranked = hashed.withColumn("__local", F.row_number().over(W.partitionBy("__g", "__b").orderBy("__h", F.col(f"`{key}`"))))
-    out = ranked.join(counts, ["__g", "__b"]).withColumn(rank, F.col("__before") + F.col("__local")).withColumn(size, F.col("__size"))
-    return out.drop("__h", "__b", "__g", "__local", "__before", "__size")
+    ranked = hashed.withColumn(local, F.row_number().over(W.partitionBy(g, b).orderBy(h, F.col(f"`{key}`"))))
+    out = ranked.join(counts, [g, b]).withColumn(rank, F.col(before) + F.col(local)).withColumn(size, F.col(total))
+    return out.drop(h, b, g, local, before, total)
 
 
 def group_key(by: tuple[str, ...]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .hashing import group_key
+from .hashing import group_key, unused
 
 #: Ranges of values that are summed apart.
 RANGES = 64
@@ -21,20 +21,22 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str], by: tuple[str,
     """
     bounds = sorted(set(df.stat.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.005))) if ranges > 1 else []
     part = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
-    dealt = df.withColumn("__p", part.cast("int")).withColumn("__g", group_key(by))
+    at, g = unused(df, "__p", "__g")
+    dealt = df.withColumn(at, part.cast("int")).withColumn(g, group_key(by))
     direction = F.desc if descending else F.asc
     names = list(sums)
-    totals = dealt.groupBy("__g", "__p").agg(*[F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums.values())])
-    before = W.partitionBy("__g").orderBy(direction("__p")).rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("__g", "__p", *[F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).alias(f"__b{i}") for i in range(len(names))])
+    of, to, up = (unused(df, *[f"__{k}{i}" for i in range(len(names))]) for k in "tbl")
+    totals = dealt.groupBy(g, at).agg(*[F.sum(c).alias(of[i]) for i, c in enumerate(sums.values())])
+    before = W.partitionBy(g).orderBy(direction(at)).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(g, at, *[F.coalesce(F.sum(of[i]).over(before), F.lit(0)).alias(to[i]) for i in range(len(names))])
     # Sums in ranges first, then the join: both need the rows by group and range, so they shuffle once.
-    local = W.partitionBy("__g", "__p").orderBy(direction(order)).rangeBetween(W.unboundedPreceding, 0)
+    local = W.partitionBy(g, at).orderBy(direction(order)).rangeBetween(W.unboundedPreceding, 0)
     for i, column in enumerate(sums.values()):
-        dealt = dealt.withColumn(f"__l{i}", F.sum(column).over(local))
-    out = dealt.join(totals, ["__g", "__p"])
+        dealt = dealt.withColumn(up[i], F.sum(column).over(local))
+    out = dealt.join(totals, [g, at])
     for i, name in enumerate(names):
-        out = out.withColumn(name, F.col(f"__b{i}") + F.col(f"__l{i}"))
-    return out.drop("__p", "__g", *[f"__{k}{i}" for i in range(len(names)) for k in "bl"])
+        out = out.withColumn(name, F.col(to[i]) + F.col(up[i]))
+    return out.drop(at, g, *to, *up)
 
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:

@@ -7,7 +7,6 @@ probabilities, or one value).  Rows go left where x <= threshold.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import exact_rank, hash32
 from ..schemas import Hyperparameters
+from ..session import shared_folder
 from .clean import separate
 
 NODES = "tree_id long, node_id long, feature long, threshold double, left long, right long, support long, dist array<double>"
@@ -127,7 +127,7 @@ def node_table(model, first_tree: int = 0, folder: str | None = None) -> DataFra
     from pyspark.sql import SparkSession
 
     spark = SparkSession.active()
-    folder = folder or f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='model')}/model-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
     model.write().overwrite().save(folder)
     data = spark.read.parquet(f"{folder}/data")
     n, split = F.col("nodeData"), F.col("nodeData.split")
@@ -211,6 +211,43 @@ def score(df: DataFrame, nodes: DataFrame, features: list[str], key: str) -> Dat
     return out
 
 
+def vote_sums(df: DataFrame, nodes: DataFrame, features: list[str], key: str, width: int, cap: int | None = None) -> DataFrame:
+    """key, trees, weight and sums (of dist, position by position) over all trees, for every row.
+
+    Rows are summed where they are scored, so nothing leaves Python but one row
+    for each, and nothing shuffles unless the trees come in several parts.
+    cap: trees weigh as much as their leaf's rows up to it; without it, one
+    each.  `key` is unique.
+    """
+    schema = f"`{key}` {dict(df.dtypes)[key]}, trees long, weight double, sums array<double>"
+    rows = df.select(F.col(f"`{key}`"), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(features)])
+    out, several = None, False
+    for trees in _parts(nodes):
+        own = Trees(nodes.where(F.col("tree_id").isin(trees)).collect())
+
+        def run(batches: Iterator[pa.RecordBatch], own: Trees = own) -> Iterator[pa.RecordBatch]:
+            most = min(width, own.dist.shape[1])
+            for b in batches:
+                x = np.column_stack([b.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(features))]) if features else np.zeros((b.num_rows, 0))
+                sums, weight = np.zeros((b.num_rows, width)), np.zeros(b.num_rows)
+                for tree in own.roots:
+                    at = own.leaf(tree, x)
+                    w = np.ones(len(at)) if cap is None else np.minimum(own.support[at], cap).astype(np.float64)
+                    weight += w
+                    sums[:, :most] += w[:, None] * own.dist[at, :most]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * width), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, len(own.roots))), pa.array(weight), lists], [key, "trees", "weight", "sums"])
+
+        part = rows.mapInArrow(run, schema)
+        several, out = out is not None, part if out is None else out.union(part)
+    if out is None:
+        raise ValueError("no trees")
+    if several:
+        each = [F.sum(F.get("sums", F.lit(k))) for k in range(width)]
+        out = out.groupBy(key).agg(F.sum("trees").alias("trees"), F.sum("weight").alias("weight"), F.array(*each).alias("sums"))
+    return out
+
+
 def oob_votes(votes: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """The votes of trees for rows that they didn't draw."""
     return votes.join(weights.where("weight = 0").select("tree_id", key), ["tree_id", key])

@@ -12,12 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import exact_rank, hash32
+from ..functions.hashing import exact_rank, unused, hash32
 
 #: Fixed values of the reference pipeline: share and seed of the test split, share of validation, rows kept of a day, shards of a classifier.
 TEST_SHARE, SEED, VALIDATION_SHARE, DAY_TARGET, CLASSIFIER_SHARDS = 0.2, 123, 0.15, 200_000, 20
 
 
+def ranked_by(df: DataFrame, key: str, by: tuple[str, ...], seed: int | str) -> tuple[DataFrame, str, str]:
+    """df ranked by hash within `by`, and the names of the rank's and the group size's columns, which df itself doesn't have."""
+    r, s = unused(df, "__r", "__s")
+    return exact_rank(df, seed, key, by, r, s), r, s
+
+
 def half_even(x: Column) -> Column:
     """Rounded to whole numbers, halves to even, as a long."""
     return F.bround(x.cast("double")).cast("long")
@@ -25,12 +31,14 @@ def half_even(x: Column) -> Column:
 
 def quota_sample(df: DataFrame, key: str, group: str, target: int, seed: int = SEED) -> DataFrame:
     """At most `target` rows of each group."""
-    return exact_rank(df, seed, key, (group,), "__r", "__s").where(F.col("__r") <= target).drop("__r", "__s")
+    ranked, r, s = ranked_by(df, key, (group,), seed)
+    return ranked.where(F.col(r) <= target).drop(r, s)
 
 
 def fraction_sample(df: DataFrame, key: str, group: str, fraction: float, seed: int = SEED) -> DataFrame:
     """The same share of each source, its number of rows rounded."""
-    return exact_rank(df, seed, key, (group,), "__r", "__s").where(F.col("__r") <= half_even(F.col("__s") * fraction)).drop("__r", "__s")
+    ranked, r, s = ranked_by(df, key, (group,), seed)
+    return ranked.where(F.col(r) <= half_even(F.col(s) * fraction)).drop(r, s)
 
 
 def day_fractions(df: DataFrame, group: str, target: int) -> DataFrame:
@@ -40,13 +48,15 @@ def day_fractions(df: DataFrame, group: str, target: int) -> DataFrame:
 
 def protected_rebalance(df: DataFrame, key: str, group: str, protected: list[str], is_benign: Column, target: int = DAY_TARGET, seed: int = SEED) -> DataFrame:
     """In protected groups all rows but benign ones stay, and benign ones up to the target; other groups keep up to the target of any."""
+    kind, g, others_n = unused(df, "__kind", "__group", "__others")
     mine = F.col(group).isin(protected)
-    rows = df.withColumn("__kind", F.when(~mine, F.lit(0)).when(is_benign, F.lit(1)).otherwise(F.lit(2)))
-    others = df.where(mine & ~is_benign).groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__others"))
-    ranked = exact_rank(rows, seed, key, (group, "__kind"), "__r", "__s").join(others, F.col(group) == F.col("__g"), "left")
-    room = F.greatest(F.lit(0), F.lit(target) - F.coalesce("__others", F.lit(0)))
-    keep = F.when(F.col("__kind") == 2, F.lit(True)).when(F.col("__kind") == 1, F.col("__r") <= room).otherwise(F.col("__r") <= target)
-    return ranked.where(keep).drop("__kind", "__r", "__s", "__g", "__others")
+    rows = df.withColumn(kind, F.when(~mine, F.lit(0)).when(is_benign, F.lit(1)).otherwise(F.lit(2)))
+    others = df.where(mine & ~is_benign).groupBy(F.col(group).alias(g)).agg(F.count("*").alias(others_n))
+    ranked, r, s = ranked_by(rows, key, (group, kind), seed)
+    ranked = ranked.join(others, F.col(group) == F.col(g), "left")
+    room = F.greatest(F.lit(0), F.lit(target) - F.coalesce(others_n, F.lit(0)))
+    keep = F.when(F.col(kind) == 2, F.lit(True)).when(F.col(kind) == 1, F.col(r) <= room).otherwise(F.col(r) <= target)
+    return ranked.where(keep).drop(kind, r, s, g, others_n)
 
 
 def distribution(df: DataFrame, group: str) -> DataFrame:
@@ -68,9 +78,9 @@ def stratified_split(df: DataFrame, key: str, target: str, share: float = TEST_S
 
 
 def split_by_rank(df: DataFrame, key: str, by: tuple[str, ...], share: float, seed: int | str, name: str = "split", held: str = "test", rest: str = "train") -> DataFrame:
-    ranked = exact_rank(df, seed, key, by, "__r", "__s")
-    chosen = (F.col("__s") > 1) & (F.col("__r") <= half_even(F.col("__s") * share))
-    return ranked.withColumn(name, F.when(chosen, held).otherwise(rest)).drop("__r", "__s")
+    ranked, r, s = ranked_by(df, key, by, seed)
+    chosen = (F.col(s) > 1) & (F.col(r) <= half_even(F.col(s) * share))
+    return ranked.withColumn(name, F.when(chosen, held).otherwise(rest)).drop(r, s)
 
 
 def random_split(df: DataFrame, key: str, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
@@ -99,22 +109,23 @@ def undersample(df: DataFrame, key: str, target: str, ratio: float, seed: int =
     if len(counts) < 2:
         raise ValueError("the minority is empty")
     major = max(counts, key=lambda k: (counts[k], -k))
-    ranked = exact_rank(df, seed, key, (target,), "__r", "__s")
+    ranked, r, s = ranked_by(df, key, (target,), seed)
     most = half_even(F.lit(float(counts[1 - major])) * ratio)
-    return ranked.where((F.col(target) != major) | (F.col("__r") <= most)).drop("__r", "__s")
+    return ranked.where((F.col(target) != major) | (F.col(r) <= most)).drop(r, s)
 
 
 def shard_iid(df: DataFrame, key: str, shards: int, seed: int = SEED) -> DataFrame:
     """Contiguous pieces of ceil(n / shards) rows; the last ones may be short or empty."""
-    ranked = exact_rank(df, seed, key, (), "__r", "__s")
-    return ranked.withColumn("shard_id", F.floor((F.col("__r") - 1) / F.ceil(F.col("__s") / F.lit(shards))).cast("long")).drop("__r", "__s")
+    ranked, r, s = ranked_by(df, key, (), seed)
+    return ranked.withColumn("shard_id", F.floor((F.col(r) - 1) / F.ceil(F.col(s) / F.lit(shards))).cast("long")).drop(r, s)
 
 
 def shard_by_day(df: DataFrame, day: str, shards: int) -> DataFrame:
     """Whole days in turn, in their text order."""
-    days = df.select(F.col(day).alias("__day")).distinct()
-    days = days.withColumn("shard_id", ((F.dense_rank().over(W.orderBy("__day")) - 1) % shards).cast("long"))  # a row for each day
-    return df.join(days, df[day].eqNullSafe(days["__day"])).drop("__day")
+    (own,) = unused(df, "__day")
+    days = df.select(F.col(day).alias(own)).distinct()
+    days = days.withColumn("shard_id", ((F.dense_rank().over(W.orderBy(own)) - 1) % shards).cast("long"))  # a row for each day
+    return df.join(days, df[day].eqNullSafe(days[own])).drop(own)
 
 
 def near_equal(rank: Column, size: Column, pieces: int) -> Column:
@@ -125,12 +136,14 @@ def near_equal(rank: Column, size: Column, pieces: int) -> Column:
 
 def shard_stratified(df: DataFrame, key: str, target: str, shards: int = CLASSIFIER_SHARDS, seed: int = SEED) -> DataFrame:
     """Near-equal pieces of each class."""
-    return exact_rank(df, seed, key, (target,), "__r", "__s").withColumn("shard_id", near_equal(F.col("__r"), F.col("__s"), shards)).drop("__r", "__s")
+    ranked, r, s = ranked_by(df, key, (target,), seed)
+    return ranked.withColumn("shard_id", near_equal(F.col(r), F.col(s), shards)).drop(r, s)
 
 
 def shard_plain(df: DataFrame, key: str, shards: int, seed: int = SEED) -> DataFrame:
     """Near-equal pieces of all rows, for regression."""
-    return exact_rank(df, seed, key, (), "__r", "__s").withColumn("shard_id", near_equal(F.col("__r"), F.col("__s"), shards)).drop("__r", "__s")
+    ranked, r, s = ranked_by(df, key, (), seed)
+    return ranked.withColumn("shard_id", near_equal(F.col(r), F.col(s), shards)).drop(r, s)
 
 
 def shard_count(tree_type: str, live_workers: int) -> int:
@@ -153,18 +166,20 @@ def absolute_sample(df: DataFrame, key: str, target: str, rows: int, seed: int =
     total = df.count()
     if total <= rows:
         return df
-    return exact_rank(df, seed, key, (target,), "__r", "__s").where(F.col("__r") <= half_even(F.col("__s") * (rows / total))).drop("__r", "__s")
+    ranked, r, s = ranked_by(df, key, (target,), seed)
+    return ranked.where(F.col(r) <= half_even(F.col(s) * (rows / total))).drop(r, s)
 
 
 def prediction_sample(df: DataFrame, key: str, rows: int = 5000, seed: int = 42) -> DataFrame:
     """At most so many rows, with sample_size and population_size."""
-    ranked = exact_rank(df, seed, key, (), "__r", "population_size").where(F.col("__r") <= rows)
-    return ranked.withColumn("sample_size", F.least("population_size", F.lit(rows).cast("long"))).drop("__r")
+    ranked, r, s = ranked_by(df, key, (), seed)
+    return ranked.where(F.col(r) <= rows).withColumns({"population_size": F.col(s), "sample_size": F.least(s, F.lit(rows).cast("long"))}).drop(r, s)
 
 
 def discard_surplus(trees: DataFrame, target: int, key: str = "tree_id", seed: int = SEED) -> DataFrame:
     """A random `target` of the trees (or workers, or any keys)."""
-    return exact_rank(trees, seed, key, (), "__r", "__s").where(F.col("__r") <= target).drop("__r", "__s")
+    ranked, r, s = ranked_by(trees, key, (), seed)
+    return ranked.where(F.col(r) <= target).drop(r, s)
 
 
 def usable_size(df: DataFrame, shard: str, target: str, ratio: float, train_share: float = 1 - VALIDATION_SHARE) -> DataFrame:

@@ -46,6 +46,17 @@ def leaf_weighted_vote(votes: DataFrame, key: str, classes: list, cap: int = SUP
     return _decided(_position_means(votes, key, F.least("support", F.lit(cap)).cast("double"), len(classes)), classes)
 
 
+def from_sums(sums: DataFrame, key: str, classes: list) -> DataFrame:
+    """The vote that `forest.vote_sums` already added up: key, trees, probs and yhat."""
+    base = F.when(F.col("weight") == 0, 1.0).otherwise(F.col("weight"))
+    return _decided(sums.select(key, "trees", F.transform("sums", lambda s: s / base).alias("probs")), classes)
+
+
+def mean_from_sums(sums: DataFrame, key: str) -> DataFrame:
+    """The same of regression trees: key, trees and yhat; 0 without any weight."""
+    return sums.select(key, "trees", F.coalesce(F.try_divide(F.element_at("sums", 1), F.col("weight")), F.lit(0.0)).alias("yhat"))
+
+
 def with_threshold(voted: DataFrame, threshold: float | Column, classes: list) -> DataFrame:
     """Binary only: the larger class where its probability reaches the threshold, else the smaller one."""
     if len(classes) != 2:

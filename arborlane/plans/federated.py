@@ -12,8 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import unused
 from ..operators import forest, metrics, sampling, voting
-from ..schemas import Hyperparameters
+from ..operators.clean import DAY
+from ..schemas import Hyperparameters, TrainingRequest
 from ..sources import files
 
 
@@ -30,16 +32,18 @@ def prepare_shards(df: DataFrame, key: str, shard: str, target: str, ratio: floa
     A shard without a minority, or with one too small to lose rows, keeps all
     its rows for training.
     """
-    counts = df.groupBy(F.col(shard).alias("__s")).agg(F.count_if(F.col(target) == 1).alias("__ones"), F.count_if(F.col(target) == 0).alias("__zeros"))
-    minor = F.least("__ones", "__zeros")
+    own, ones, zeros, kept_in, a, b = unused(df, "__shard", "__ones", "__zeros", "__in", "__a", "__b")
+    counts = df.groupBy(F.col(shard).alias(own)).agg(F.count_if(F.col(target) == 1).alias(ones), F.count_if(F.col(target) == 0).alias(zeros))
+    minor = F.least(ones, zeros)
     rows = sampling.split_by_rank(df, key, (shard, target), sampling.VALIDATION_SHARE, f"{seed}-val", "part", "validation", "train")
-    rows = rows.join(counts, rows[shard].eqNullSafe(counts["__s"])).withColumn("part", F.when(minor < 2, "train").otherwise(F.col("part")))
-    kept = rows.where("part = 'train'").groupBy(F.col(shard).alias("__t")).agg(F.count_if(F.col(target) == 1).alias("__a"), F.count_if(F.col(target) == 0).alias("__b"))
-    most = sampling.half_even(F.least("__a", "__b") * ratio)
-    ranked = sampling.exact_rank(rows, seed, key, (shard, target, "part"), "__r", "__n").join(kept, F.col(shard).eqNullSafe(F.col("__t")), "left")
-    major = F.when(F.col("__a") > F.col("__b"), 1).otherwise(0)
-    keep = (F.col("part") == "validation") | (minor == 0) | (F.least("__a", "__b") == 0) | (F.col(target) != major) | (F.col("__r") <= most)
-    return ranked.where(keep).drop("__s", "__ones", "__zeros", "__t", "__a", "__b", "__r", "__n")
+    rows = rows.join(counts, F.col(shard).eqNullSafe(F.col(own))).withColumn("part", F.when(minor < 2, "train").otherwise(F.col("part")))
+    kept = rows.where("part = 'train'").groupBy(F.col(shard).alias(kept_in)).agg(F.count_if(F.col(target) == 1).alias(a), F.count_if(F.col(target) == 0).alias(b))
+    most = sampling.half_even(F.least(a, b) * ratio)
+    ranked, r, s = sampling.ranked_by(rows, key, (shard, target, "part"), seed)
+    ranked = ranked.join(kept, F.col(shard).eqNullSafe(F.col(kept_in)), "left")
+    major = F.when(F.col(a) > F.col(b), 1).otherwise(0)
+    keep = (F.col("part") == "validation") | (minor == 0) | (F.least(a, b) == 0) | (F.col(target) != major) | (F.col(r) <= most)
+    return ranked.where(keep).drop(own, ones, zeros, kept_in, a, b, r, s)
 
 
 def provision(df: DataFrame, path: str, key: str, workers: int, strategy: str = "iid", day: str | None = None, target: str = "Label", force: bool = False, seed: int = 123) -> dict:
@@ -61,32 +65,79 @@ def provision(df: DataFrame, path: str, key: str, workers: int, strategy: str =
     return manifest
 
 
-def train_shards(df: DataFrame, request: Hyperparameters, features: list[str], key: str, shard: str, seed: int = 123, equal: bool = False) -> ShardForest:
+def train_shards(df: DataFrame, request: Hyperparameters, features: list[str], key: str, shard: str, seed: int = 123, equal: bool = False, table: str | None = None) -> ShardForest:
     """A forest in which each shard grows its quota of trees on its own rows; quotas follow shard sizes.
 
-    One MLlib job a shard; MLlib spreads each over the cluster.
+    One MLlib job a shard; MLlib spreads each over the cluster.  table: a
+    folder that takes each shard's trees as a part when they are grown; parts
+    that are complete there aren't grown again.
     """
     sizes = df.groupBy(shard).agg(F.count("*").alias("size"))
     quotas = {r[0]: r[1] for r in sampling.tree_quotas(sizes, request.n_estimators, shard, "size", equal).collect()}
+    spark = df.sparkSession
+    done = set(files.complete_parts(spark, table)) if table else set()
+    kind = dict(df.dtypes)[shard]
     parts, first = [], 0
-    for k, name in enumerate(sorted(quotas, key=str)):
+    for k, name in enumerate(sorted(quotas, key=lambda x: (x is None, str(x)))):
         if quotas[name]:
-            model = forest.train(df.where(F.col(shard) == name), replace(request, n_estimators=quotas[name]), features, sampling.tree_seed(seed, 0, k))
-            parts.append(forest.node_table(model, first).withColumn(shard, F.lit(name)))
+            if k not in done:
+                model = forest.train(df.where(F.col(shard).eqNullSafe(F.lit(name))), replace(request, n_estimators=quotas[name]), features, sampling.tree_seed(seed, 0, k))
+                grown = forest.node_table(model, first).withColumn(shard, F.lit(name).cast(kind))
+                if table:
+                    files.append_part(grown, table, k)
+            parts.append(spark.read.parquet(f"{table}/part={k}") if table else grown)
             first += quotas[name]
+    if table:
+        files.purge_parts(spark, table, len(quotas))
     classes = sorted(r[0] for r in df.select(request.target).distinct().collect()) if request.tree_type == "classifier" else []
     return ShardForest(reduce(DataFrame.unionByName, parts), quotas, classes or [0, 1])
 
 
+def prepare_job(df: DataFrame, request: TrainingRequest, key: str, ratio: float = 1.0, shard: str | None = None) -> DataFrame:
+    """df with `shard_id` and `part` (test, validation, train), by the request's strategy; each shard is split, carved and cut by itself.
+
+    shard: a column that names the shards already.  Raises KeyError for
+    `by_day` without a day column.
+    """
+    h = request.hyperparameters
+    if shard:
+        rows = df.withColumnRenamed(shard, "shard_id")
+    elif request.partition_strategy == "by_day":
+        if DAY not in df.columns:
+            raise KeyError(DAY)
+        rows = sampling.shard_by_day(df, DAY, request.num_workers)
+    else:
+        rows = sampling.shard_iid(df, key, request.num_workers, request.seed)
+    if h.tree_type == "regressor":
+        return sampling.split_by_rank(rows, key, ("shard_id",), sampling.TEST_SHARE, request.seed, "part")
+    rows = sampling.split_by_rank(rows, key, ("shard_id", h.target), sampling.TEST_SHARE, request.seed)
+    rest = prepare_shards(rows.where("split = 'train'"), key, "shard_id", h.target, ratio, request.seed)
+    return rows.where("split = 'test'").withColumn("part", F.lit("test")).unionByName(rest).drop("split")
+
+
+def thresholds(held: DataFrame, nodes: DataFrame, features: list[str], key: str, shard: str, target: str) -> tuple[DataFrame, DataFrame]:
+    """(each shard's threshold, the pooled one) on validation rows, by the leaf-weighted vote."""
+    voted = voting.from_sums(forest.vote_sums(held, nodes, features, key, 2, voting.SUPPORT_CAP), key, [0, 1])
+    rows = voted.select(key, F.element_at("probs", 2).alias("p")).join(held.select(key, shard, F.col(target).cast("long").alias("y")), key)
+    return metrics.worker_thresholds(rows, shard), metrics.pooled_threshold(rows)
+
+
+def by_shard(rows: DataFrame, found: DataFrame, shard: str) -> DataFrame:
+    """rows (p, yhat) decided anew by their shard's threshold, where it has one."""
+    at = found.select(F.col(shard).alias("__of"), F.col("threshold").alias("__t"))
+    rows = rows.join(at, F.col(shard).eqNullSafe(F.col("__of")), "left")
+    return rows.withColumn("yhat", F.coalesce((F.col("p") >= F.col("__t")).cast("long"), F.col("yhat"))).drop("__of", "__t")
+
+
 def evaluate_shards(df: DataFrame, nodes: DataFrame, features: list[str], key: str, shard: str, target: str, thresholds: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(predictions, metrics of each shard, their macro average) of the global forest on every shard's rows.
 
     Votes are weighted by leaf support.  thresholds: shard and threshold; a
     missing one means the class of larger probability.
     """
-    voted = voting.leaf_weighted_vote(forest.score(df, nodes, features, key), key, [0, 1]).withColumn("p", F.element_at("probs", 2))
+    voted = voting.from_sums(forest.vote_sums(df, nodes, features, key, 2, voting.SUPPORT_CAP), key, [0, 1]).withColumn("p", F.element_at("probs", 2))
     rows = voted.join(df.select(key, shard, F.col(target).cast("long").alias("y")), key)
     if thresholds is not None:
-        rows = rows.join(thresholds.select(F.col(shard), F.col("threshold")), shard, "left").withColumn("yhat", F.when(F.col("threshold").isNull(), F.col("yhat")).otherwise((F.col("p") >= F.col("threshold")).cast("int")))
+        rows = rows.join(thresholds.select(F.col(shard).alias("__of"), F.col("threshold")), F.col(shard).eqNullSafe(F.col("__of")), "left").drop("__of").withColumn("yhat", F.when(F.col("threshold").isNull(), F.col("yhat")).otherwise((F.col("p") >= F.col("threshold")).cast("int")))
     each = metrics.worker_metrics(rows, shard)
     return rows, each, metrics.macro_average(each, ["accuracy", "precision", "recall", "f1", "auc"], "smallest")

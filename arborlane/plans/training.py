@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import forest, metrics, sampling, voting
 from ..schemas import Hyperparameters
+from ..sources import files
 
 
 @dataclass
@@ -18,6 +19,7 @@ class Trained:
     target: str
     threshold: float | None
     task: str
+    weighted: bool = False  # trees vote by their leaves' support
 
 
 def prepare(df: DataFrame, key: str, target: str, ratio: float = 1.0, seed: int = sampling.SEED) -> DataFrame:
@@ -29,9 +31,22 @@ def prepare(df: DataFrame, key: str, target: str, ratio: float = 1.0, seed: int
     return split.where("split = 'test'").withColumn("part", F.lit("test")).select(names).unionByName(rest.where("part = 'validation'").select(names)).unionByName(train.select(names))
 
 
+def train_rounds(rows: DataFrame, request: Hyperparameters, features: list[str], workers: int, seed: int, table: str) -> DataFrame:
+    """The node table of a forest grown in rounds, each a part of `table`; rounds that are complete there aren't grown again."""
+    spark = rows.sparkSession
+    rounds = sampling.round_steps(request.n_estimators, workers)
+    done = set(files.complete_parts(spark, table))
+    for k, (start, end) in enumerate(rounds):
+        if k not in done:
+            model = forest.train(rows, replace(request, n_estimators=end - start), features, sampling.tree_seed(seed, start))
+            files.append_part(forest.node_table(model, start), table, k)
+    files.purge_parts(spark, table, len(rounds))
+    return spark.read.parquet(table)
+
+
 def scores(df: DataFrame, nodes: DataFrame, features: list[str], key: str, target: str) -> DataFrame:
     """key, y, p and yhat of every row."""
-    voted = voting.soft_vote(forest.score(df, nodes, features, key), key, [0, 1])
+    voted = voting.from_sums(forest.vote_sums(df, nodes, features, key, 2), key, [0, 1])
     return voted.select(key, F.element_at("probs", 2).alias("p"), F.col("yhat").cast("long").alias("yhat")).join(df.select(key, F.col(target).cast("long").alias("y")), key)
 
 
@@ -45,10 +60,10 @@ def train_classifier(parts: DataFrame, request: Hyperparameters, features: list[
 
 def predict(df: DataFrame, trained: Trained, key: str) -> DataFrame:
     """key, p, yhat (by the calibrated threshold), or key and yhat of a regressor."""
-    votes = forest.score(df, trained.nodes, trained.features, key)
+    cap = voting.SUPPORT_CAP if trained.weighted else None
     if trained.task == "regressor":
-        return voting.regression_mean(votes, key)
-    out = voting.soft_vote(votes, key, [0, 1])
+        return voting.mean_from_sums(forest.vote_sums(df, trained.nodes, trained.features, key, 1, cap), key)
+    out = voting.from_sums(forest.vote_sums(df, trained.nodes, trained.features, key, 2, cap), key, [0, 1])
     if trained.threshold is not None:
         out = voting.with_threshold(out, trained.threshold, [0, 1])
     return out.select(key, F.element_at("probs", 2).alias("p"), F.col("yhat").cast("long").alias("yhat"))

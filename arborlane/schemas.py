@@ -72,6 +72,7 @@ class TrainingRequest:
     seed: int = 123
     partition_strategy: str = "iid"
     tree_allocation_strategy: str = "proportional"
+    num_workers: int = 4
 
     def __post_init__(self) -> None:
         _one_of("environment", self.environment, ENVIRONMENTS)
@@ -79,6 +80,8 @@ class TrainingRequest:
         _one_of("dataset_type", self.dataset_type, DATASETS)
         _one_of("partition_strategy", self.partition_strategy, PARTITIONS)
         _one_of("tree_allocation_strategy", self.tree_allocation_strategy, ALLOCATIONS)
+        if self.num_workers < 1:
+            raise ValueError("num_workers must be 1 or more")
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution re-plans joins and splits skewed ones; Arrow carries batches; times are UTC.
@@ -14,6 +16,16 @@ SETTINGS = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where driver and executors are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="shared")
+
+
 def session(name: str = "arborlane", master: str | None = None, **settings: str) -> SparkSession:
     """The running session or a new one; settings override SETTINGS."""
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | settings)

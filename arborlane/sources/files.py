@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash32
+from ..functions.hashing import hash32, unused
 from ..operators.clean import drop_header_rows, rename_target, tag_day, trim_columns
 from ..operators.sampling import half_even
 
@@ -72,14 +74,29 @@ def load_flows(spark: SparkSession, where: str | list[str], tag: bool = True) ->
     return out
 
 
+def numbered_csv(spark: SparkSession, sources: str | list[str], source: str = "source", row: str = "row") -> DataFrame:
+    """`scan_csv` with each row's file and its number in it, from 0.
+
+    Rows count within the blocks that files are read by; the rows of a file's
+    blocks before are added, so no task holds more than a block.
+    """
+    rows = scan_csv(spark, sources)
+    at, order, n = unused(rows, "__at", "__order", "__n")
+    rows = rows.select("*", F.col("_metadata.file_path").alias(source), F.col("_metadata.file_block_start").alias(at), F.monotonically_increasing_id().alias(order))
+    blocks = rows.groupBy(source, at).agg(F.count("*").alias(n))
+    before = W.partitionBy(source).orderBy(at)  # a row for each block of a file
+    blocks = blocks.select(source, at, (F.sum(n).over(before) - F.col(n)).alias(n))
+    local = F.row_number().over(W.partitionBy(source, at).orderBy(order)) - 1
+    return rows.withColumn(row, local.cast("long")).join(blocks, [source, at]).withColumn(row, F.col(row) + F.col(n)).drop(at, order, n)
+
+
 def chunk_sample(df: DataFrame, source: str, row: str, fraction: float, seed: int = 0, chunk: int = CHUNK_ROWS) -> DataFrame:
     """The same whole number of rows of every chunk of 50,000 rows of a source; `row` numbers a source's rows from 0."""
-    from pyspark.sql import Window as W
-
-    rows = df.withColumn("__c", F.floor(F.col(row) / chunk))
-    w = W.partitionBy(source, "__c")  # a chunk has 50,000 rows at the most
-    ranked = rows.withColumn("__r", F.row_number().over(w.orderBy(hash32(F.col("__c") + seed, source, row), row))).withColumn("__n", F.count("*").over(w))
-    return ranked.where(F.col("__r") <= half_even(F.col("__n") * fraction)).drop("__c", "__r", "__n")
+    c, r, n = unused(df, "__c", "__r", "__n")
+    rows = df.withColumn(c, F.floor(F.col(row) / chunk))
+    w = W.partitionBy(source, c)  # a chunk has 50,000 rows at the most
+    ranked = rows.withColumn(r, F.row_number().over(w.orderBy(hash32(F.col(c) + seed, source, row), row))).withColumn(n, F.count("*").over(w))
+    return ranked.where(F.col(r) <= half_even(F.col(n) * fraction)).drop(c, r, n)
 
 
 def count_rows(spark: SparkSession, sources: list[str]) -> DataFrame:
@@ -110,10 +127,22 @@ def row_summary(counts: DataFrame) -> DataFrame:
 
 
 def mirrored(spark: SparkSession, sources: list[str], mirror: str) -> DataFrame:
-    """CSV sources as Parquet, written the first time; a mirror counts only when its write is complete."""
-    if not exists(spark, f"{mirror}/_SUCCESS"):
-        load_flows(spark, sources).write.mode("overwrite").parquet(mirror)
-    return spark.read.parquet(mirror)
+    """CSV sources as Parquet, written the first time; a mirror counts only when its write is complete.
+
+    It holds one table for each set of sources as they are: a source that
+    changes (its size or time) is mirrored anew.
+    """
+    state = []
+    for source in sorted(sources):
+        fs, p = _fs(spark, source)
+        if not fs.exists(p):
+            raise FileNotFoundError(source)
+        status = fs.getFileStatus(p)
+        state.append([source, status.getLen(), status.getModificationTime()])
+    table = f"{mirror}/{hashlib.sha256(json.dumps(state).encode()).hexdigest()[:32]}"
+    if not exists(spark, f"{table}/_SUCCESS"):
+        load_flows(spark, sources).write.mode("overwrite").parquet(table)
+    return spark.read.parquet(table)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
@@ -134,8 +163,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard_id", split: str = "split", files: int = 8) -> None:
-    """Parquet in folders by split and shard; a large shard goes to several files."""
-    df.withColumn("__f", F.floor(F.rand(7) * files).cast("int")).repartition(split, shard, "__f").drop("__f").write.mode("overwrite").partitionBy(split, shard).parquet(path)
+    """Parquet in folders by split and shard; a large shard goes to several files, a row's file by its hash, so a retried task deals alike."""
+    (part,) = unused(df, "__f")
+    row = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files)).cast("int")
+    df.withColumn(part, row).repartition(split, shard, part).drop(part).write.mode("overwrite").partitionBy(split, shard).parquet(path)
 
 
 def append_part(df: DataFrame, table: str, part: int) -> None:

@@ -52,7 +52,12 @@ def test_files(spark, csv_folder, tmp_path):
     assert sorted(files.cached_counts(spark, found, cache).values()) == [41, 61] == sorted(files.cached_counts(spark, found, cache).values())
     assert sorted(r.n for r in files.count_rows(spark, found).collect()) == [41, 61]
     mirror = str(tmp_path / "mirror")
-    assert files.mirrored(spark, found, mirror).count() == 100 == files.mirrored(spark, ["gone"], mirror).count()
+    assert files.mirrored(spark, found, mirror).count() == 100 == files.mirrored(spark, found, mirror).count()
+    assert {files.mirrored(spark, [f], mirror).count() for f in found} == {40, 60}  # other sources, another table
+    with pytest.raises(FileNotFoundError):
+        files.mirrored(spark, ["gone"], mirror)
+    numbers = files.numbered_csv(spark, found).groupBy("source").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.countDistinct("row").alias("n")).collect()
+    assert sorted((r.a, r.b, r.n) for r in numbers) == [(0, 40, 41), (0, 60, 61)]
     files.write_json(spark, str(tmp_path / "doc"), {"a": [1]})
     assert files.read_json(spark, str(tmp_path / "doc")) == {"a": [1]}
     with pytest.raises(FileNotFoundError):
@@ -98,6 +103,45 @@ def test_job_to_result(spark, csv_folder, tmp_path, mode):
     assert spark.read.json(str(tmp_path / "out" / "nodes")).count() > 0
 
 
+def test_federated_job_by_day(spark, csv_folder, tmp_path):
+    engine = Engine(spark, str(tmp_path / "home"))
+    request = TrainingRequest(str(csv_folder), Hyperparameters(n_estimators=5, max_depth=4), mode="federated", partition_strategy="by_day", num_workers=2)
+    engine.train(request)
+    data = spark.read.parquet(str(tmp_path / "home" / "models" / request.job_id / "data"))
+    days = {(r[0], r[1]) for r in data.select("shard_id", "_capture_day").distinct().collect()}
+    assert len(days) == 2 == len({d for _, d in days}) == len({s for s, _ in days})
+    assert {r[0] for r in data.select("part").distinct().collect()} == {"train", "validation", "test"}
+    assert data.select("row_id").distinct().count() == data.count()  # repeated flow rows have keys of their own
+    nodes = engine.model(request.job_id).nodes
+    assert {r[0]: r[1] for r in nodes.groupBy("shard_id").agg(F.countDistinct("tree_id")).collect()} == {0: 2, 1: 3}
+    found = engine.infer(InferenceRequest(request.job_id))
+    assert set(found["shards"]) == {"0", "1"} and found["rows"] == data.where("part = 'test'").count()
+
+
+def test_jobs_go_on_after_a_loss(spark, csv_folder, tmp_path, monkeypatch):
+    """A driver lost after the first round: the job ends with the trees of that round as they were."""
+    from arborlane.operators import forest
+
+    engine = Engine(spark, str(tmp_path / "home"))
+    request = TrainingRequest(str(csv_folder), Hyperparameters(n_estimators=45, max_depth=2), num_workers=1)
+    whole, calls = forest.train, []
+
+    def dies(rows, h, *rest, **more):
+        calls.append(h.n_estimators)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        return whole(rows, h, *rest, **more)
+
+    monkeypatch.setattr(forest, "train", dies)
+    with pytest.raises(KeyboardInterrupt):
+        engine.train(request)
+    part = str(tmp_path / "home" / "models" / request.job_id / "nodes" / "part=0")
+    before = sorted(spark.read.parquet(part).collect())
+    engine.train(request)
+    assert calls == [20, 20, 20, 5] and sorted(spark.read.parquet(part).collect()) == before
+    assert engine.model(request.job_id).nodes.select("tree_id").distinct().count() == 45
+
+
 def test_failed_jobs_say_so(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "home"))
     request = TrainingRequest(str(tmp_path / "none"))
