@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from arborlane.queries import control, evaluate, forests, prep
+from arborlane.queries import control, evaluate, forests, io, prep
 
-QUERIES = prep.QUERIES | evaluate.QUERIES | forests.QUERIES | control.QUERIES
+QUERIES = prep.QUERIES | evaluate.QUERIES | forests.QUERIES | control.QUERIES | io.QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
