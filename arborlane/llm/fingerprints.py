@@ -16,14 +16,17 @@ A vector has two parts:
   likeness (not equality) loses its meaning if one run occurs over 32767 times.
 
 The next document, in descending doc_id, comes by one shuffle into ranges of
-doc_id; the first rows of a range are also sent to the range before it, so
-neighbours always meet without any global window.
+doc_id, each a task; the first row of a range is also sent to the range before
+it, so neighbours always meet without any global window.  An id that many rows
+share (null is one) is cut into ranges by how its texts begin.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,40 +104,88 @@ def likeness(one: str, other: str) -> float:
     return float(likenesses(*(tuple(p[None] for p in unpack(x)) for x in (one, other)))[0])
 
 
-def _ranges(ids: DataFrame, n: int) -> tuple[list[int], dict[int, tuple[int, int]]]:
-    """Bounds of about n ranges of doc_id; for each range its largest id and the range that comes before it (around the end, too)."""
-    bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
-    at = np.array(bounds, np.int64)
-    where = F.arrow_udf(lambda x: pa.array(np.searchsorted(at, x.to_numpy(zero_copy_only=False), "right").astype(np.int32)), "int")
-    tops = sorted((r[0], r[1]) for r in ids.groupBy(where("doc_id").alias("part")).agg(F.max("doc_id")).collect())
-    return bounds, {part: (top, tops[(k + 1) % len(tops)][0]) for k, (part, top) in enumerate(tops)}
+def _prefixes(many: list[str | None]) -> np.ndarray:
+    """The first eight UTF-8 bytes of each text as a number: numbers in the texts' order, if not strictly; 0 for null."""
+    return np.frombuffer(b"".join((x or "")[:8].encode("utf-8", "surrogatepass")[:8].ljust(8, b"\0") for x in many), ">u8").astype(U64).view(np.int64) ^ np.int64(_NONE)
+
+
+class Ranges:
+    """Ranges of documents in descending doc_id.  An id that fills ranges of its own is cut further, by how its texts begin.
+
+    `bounds` are pairs (~doc_id, prefix) in that order; `heads` gives each range
+    that has rows its first key and the range before it (around the end, too).
+    """
+
+    def __init__(self, own: DataFrame, n: int):
+        quantiles = Counter(int(x) for x in own.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)) if n > 1 else Counter()
+        self.hot = {x for x, times in quantiles.items() if times > 1}
+        bounds = {(~x, _NONE) for x in quantiles}
+        key = self.key(own)
+        if self.hot:
+            parts = max(quantiles.values()) + 1
+            cuts = key.where(F.col("doc_id").isin(*self.hot)).groupBy("doc_id").agg(F.percentile_approx("prefix", [k / parts for k in range(1, parts)], 100 * parts)).collect()
+            bounds |= {(~x, cut) for x, found in cuts for cut in found}
+            # what follows a hot id begins a range too
+            bounds |= {(~x + 1, _NONE) for x in self.hot if x != _NONE}
+        self.bounds = sorted(bounds)
+        self.first = np.array([k for k, _ in self.bounds], np.int64)
+        where = F.arrow_udf(lambda ids, prefix: pa.array(self.of(ids.to_numpy(zero_copy_only=False), prefix.to_numpy(zero_copy_only=False))), "int")
+        tops = sorted((part, (top[0], top[1])) for part, top in key.groupBy(where("doc_id", "prefix").alias("part")).agg(F.min(F.struct(F.bitwise_not("doc_id"), "prefix"))).collect())
+        self.heads = {part: (top, tops[k - 1][0]) for k, (part, top) in enumerate(tops)}
+
+    def key(self, own: DataFrame) -> DataFrame:
+        """doc_id and prefix; texts are read for hot ids only."""
+        if not self.hot:
+            return own.select("doc_id", F.lit(_NONE).cast("long").alias("prefix"))
+        prefix = F.arrow_udf(lambda text: pa.array(_prefixes(text.to_pylist())), "long")
+        hot = F.col("doc_id").isin(*self.hot)
+        return own.select("doc_id", F.when(hot, prefix(F.when(hot, F.col("text")))).otherwise(F.lit(_NONE)).alias("prefix"))
+
+    def prefixes(self, ids: np.ndarray, many: pa.Array) -> np.ndarray:
+        out = np.full(len(ids), _NONE, np.int64)
+        at = np.flatnonzero(np.isin(ids, list(self.hot))) if self.hot else []
+        if len(at):
+            out[at] = _prefixes(many.take(pa.array(at)).to_pylist())
+        return out
+
+    def of(self, ids: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        part = np.searchsorted(self.first, ~ids, "right").astype(np.int32)
+        for i in np.flatnonzero(prefix != _NONE):
+            part[i] = bisect.bisect_right(self.bounds, (~int(ids[i]), int(prefix[i])))
+        for i in np.flatnonzero((prefix == _NONE) & np.isin(ids, list(self.hot))) if self.hot else ():
+            part[i] = bisect.bisect_right(self.bounds, (~int(ids[i]), _NONE))
+        return part
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """Rows (part, doc_id, text, copy) of which, in each part sorted as here, the next row holds the next document's text.
 
-    Equal ids follow each other by text, null ids come last.
+    Equal ids follow each other by text, null ids come last.  A part has one
+    task; only rows that are equal in id and in how their texts begin (eight
+    bytes) can't be parted.  Each task sends one head row of a part at most.
     """
     own = texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NONE)))
-    tasks = 2 * scan_partitions(own)
-    bounds, tops = _ranges(own.select("doc_id"), 4 * tasks)
-    at = np.array(bounds, np.int64)
-    size = max(tops, default=0) + 1
-    top, before = np.full(size, _NONE), np.zeros(size, np.int32)
-    for part, (largest, to) in tops.items():
-        top[part], before[part] = largest, to
+    ranges = Ranges(own, 2 * scan_partitions(own))
+    names = ["part", "doc_id", "text", "copy"]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: dict[int, tuple[int, str]] = {}
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(at, ids, "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), b.column(1), pa.array(np.zeros(len(ids), bool))], ["part", "doc_id", "text", "copy"])
-            if (head := np.flatnonzero(ids == top[part])).size:
-                some = b.take(pa.array(head))
-                yield pa.RecordBatch.from_arrays([pa.array(before[part[head]]), some.column(0), some.column(1), pa.array(np.ones(len(head), bool))], ["part", "doc_id", "text", "copy"])
+            prefix = ranges.prefixes(ids, b.column(1))
+            part = ranges.of(ids, prefix)
+            yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), b.column(1), pa.array(np.zeros(len(ids), bool))], names)
+            top = np.array([ranges.heads[p][0] for p in part.tolist()], np.int64).reshape(-1, 2)
+            for i in np.flatnonzero((top[:, 0] == ~ids) & (top[:, 1] == prefix)).tolist():
+                p, text = int(part[i]), b.column(1)[i].as_py()
+                if p not in head or text < head[p][1]:
+                    head[p] = (int(ids[i]), text)
+        for p, (i, text) in head.items():
+            yield pa.RecordBatch.from_arrays([pa.array([ranges.heads[p][1]], pa.int32()), pa.array([i], pa.int64()), pa.array([text], b.schema.field(1).type), pa.array([True])], names)
 
     rows = own.mapInArrow(dealt, "part int, doc_id long, text string, copy boolean")
-    return rows.repartition(tasks, "part").sortWithinPartitions("part", "copy", F.desc("doc_id"), "text"), tasks
+    tasks = len(ranges.bounds) + 1
+    return rows.repartitionById(tasks, F.col("part")).sortWithinPartitions("part", "copy", F.desc("doc_id"), "text"), tasks
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

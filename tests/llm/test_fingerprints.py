@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -57,3 +58,16 @@ def test_query_against_brute_force(spark, sf):
     rows = fp.query(spark, sf).collect()
     check(rows, docs)
     assert np.mean([r.near_edited > r.near_next for r in rows]) > 0.9
+
+
+def test_hot_ids_are_cut_by_their_texts(spark):
+    """A third of all rows without an id, a third of one id, some of them equal."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcé日") for _ in range(rng.randint(0, 12)))
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(word() for _ in range(3)) if k % 5 else None) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    check(fp.fingerprints(df).collect(), rows)
+    parts, n = fp.with_next(df)
+    sizes = Counter(r.part for r in parts.where("not copy").collect())
+    assert n > 6 and sum(sizes.values()) == 600 and max(sizes.values()) < 200
+    assert parts.where("copy").count() <= 6 * n
