@@ -15,7 +15,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import clean, forest, metrics, sampling
+from .operators import clean, forest, metrics, sampling, selection
 from .plans import federated, training
 from .schemas import JOB_EVENTS, InferenceRequest, TrainingRequest, to_dict
 from .sources import files, synthetic
@@ -99,6 +99,8 @@ class Engine:
         spread = request.mode == "federated"
         df = self.load(request)
         features = [c for c, k in df.dtypes if c not in (key, h.target, shard, "shard_id") and k in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+        if files.exists(self.spark, tuned := self._path("baseline", request.job_id)):
+            features = [c for c in files.read_json(self.spark, tuned)["features"] if c in features]
         if not files.exists(self.spark, f"{base}/data/_SUCCESS"):  # prepared once; later steps, and a job that goes on, read it
             if spread:
                 pieces = max(8, df.rdd.getNumPartitions() // request.num_workers)
@@ -175,12 +177,18 @@ class Engine:
         self.spark.read.parquet(f"{base}/nodes").drop("part").write.mode("overwrite").json(f"{path}/nodes")
         files.write_json(self.spark, f"{path}/manifest", files.read_json(self.spark, f"{base}/manifest"))
 
-    def baseline(self, request: TrainingRequest, trials: int = 5, space: dict | None = None, depth: int | None = None) -> dict:
-        """Tunes on the request's table and saves the settings that other jobs start from."""
+    def baseline(self, request: TrainingRequest, trials: int = 5, space: dict | None = None, depth: int | None = None, select: bool = False) -> dict:
+        """Tunes on the request's table, out of bag; a job of the same id trains on the features kept.
+
+        select: each max_features has features of its own, chosen by out-of-bag
+        permutation importance, which scores all rows once for each feature.
+        """
         df = self.load(request)
         h = request.hyperparameters
         features = [c for c, k in df.dtypes if c not in ("row_id", h.target) and k in ("double", "float", "int", "bigint")]
-        ranked = forest.search(df, features, "row_id", h.target, trials, request.seed, space, depth)
-        manifest = {"hyperparameters": ranked[0][1], "f1": ranked[0][0], "features": features}
+        chooser = selection.Selector() if select else None
+        ranked = forest.search(df, features, "row_id", h.target, trials, request.seed, space, depth, chooser)
+        found = chooser.cache[ranked[0][1].get("max_features", "sqrt")] if chooser else None
+        manifest = {"hyperparameters": ranked[0][1], "f1": ranked[0][0], "features": (found and found["kept"]) or features, "selection": found}
         files.write_json(self.spark, self._path("baseline", request.job_id), manifest)
         return manifest

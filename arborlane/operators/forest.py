@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import exact_rank, hash32
+from ..functions.hashing import exact_rank, hash32, uniform, unused
 from ..schemas import Hyperparameters
 from ..session import shared_folder
 from .clean import separate
@@ -26,6 +27,8 @@ from .clean import separate
 NODES = "tree_id long, node_id long, feature long, threshold double, left long, right long, support long, dist array<double>"
 #: MLlib's own bound on depth; nodes that go to the executors at once.
 DEEPEST, NODES_AT_ONCE = 30, 2_000_000
+#: Bootstrap samples of a forest in bags, trees of the forest that ranks features, draws of one row at most.
+BAGS, PRELIMINARY, MOST_DRAWS = 10, 20, 16
 
 
 def bootstrap_weights(df: DataFrame, key: str, trees: int, max_samples: float = 1.0, seed: int = 123) -> DataFrame:
@@ -291,24 +294,89 @@ SEARCH = {
 REGRESSOR = {"tree_type": "regressor", "max_depth": None, "min_samples_split": 2, "max_samples": 0.3, "max_features": "onethird"}
 
 
-def search(df: DataFrame, features: list[str], key: str, target: str, trials: int = 60, seed: int = 123, space: dict | None = None, depth: int | None = None) -> list[tuple[float, dict]]:
-    """Random search: (validation F1, settings), the best first; settings are drawn by hash and each is fitted once."""
+def drawn(rate: float, seed: int | str, key: str) -> Column:
+    """How often a bag draws the row: a Poisson number of mean `rate` by the hash of seed and key.  The scan draws, nothing is joined."""
+    steps, below, term = [], 0.0, float(np.exp(-rate))
+    for k in range(1, MOST_DRAWS + 1):
+        below += term
+        steps.append(below)
+        term *= rate / k
+    # the hash is bound by a lambda, so that it is taken once
+    return F.element_at(F.transform(F.array(uniform(seed, key)), lambda u: sum(((u >= x).cast("int") for x in steps), F.lit(0))), 1)
+
+
+def grow_bags(df: DataFrame, request: Hyperparameters, features: list[str], key: str, seed: int = 123, bags: int = BAGS) -> list[tuple[DataFrame, list[int], Column]]:
+    """A forest in bags: (nodes, tree ids, times drawn) of each.
+
+    The trees of a bag share one bootstrap sample and differ by the features
+    tried at each split; rows that a bag draws 0 times are out of its bag.
+    """
+    out, bags = [], min(bags, request.n_estimators)
+    for b in range(bags):
+        first, end = (b * request.n_estimators // bags, (b + 1) * request.n_estimators // bags)
+        times = drawn(float(request.max_samples), f"{seed}-bag{b}", key)
+        (name,) = unused(df, "drawn")
+        model = train(df.withColumn(name, times), replace(request, n_estimators=end - first, bootstrap=False, max_samples=1.0), features, seed + first, name)
+        out.append((node_table(model, first), list(range(first, end)), times))
+    return out
+
+
+def bag_weights(df: DataFrame, grown: list[tuple[DataFrame, list[int], Column]], key: str) -> DataFrame:
+    """tree_id, key and weight of every row for every tree, as bootstrap_weights gives."""
+    each = [F.struct(F.array(*[F.lit(t).cast("long") for t in trees]).alias("trees"), times.cast("long").alias("weight")) for _, trees, times in grown]
+    bags = df.select(key, F.explode(F.array(*each)).alias("bag"))
+    return bags.select(F.explode("bag.trees").alias("tree_id"), key, "bag.weight")
+
+
+def out_of_bag(df: DataFrame, grown: list[tuple[DataFrame, list[int], Column]], features: list[str], key: str, target: str) -> DataFrame:
+    """key, y, p and yhat of the rows that a bag at least left out, by the trees of those bags."""
+    from .voting import from_sums
+
+    out = None
+    for nodes, _, times in grown:
+        part = vote_sums(df.where(times == 0), nodes, features, key, 2)
+        out = part if out is None else out.union(part)
+    each = [F.sum(F.get("sums", F.lit(k))) for k in range(2)]
+    voted = from_sums(out.groupBy(key).agg(F.sum("trees").alias("trees"), F.sum("weight").alias("weight"), F.array(*each).alias("sums")), key, [0, 1])
+    return voted.select(key, F.element_at("probs", 2).alias("p"), F.col("yhat").cast("long").alias("yhat")).join(df.select(key, F.col(f"`{target}`").cast("long").alias("y")), key)
+
+
+def search(df: DataFrame, features: list[str], key: str, target: str, trials: int = 60, seed: int = 123, space: dict | None = None, depth: int | None = None, selector=None) -> list[tuple[float, dict]]:
+    """Random search: (out-of-bag F1, settings), the best first; settings are drawn by hash and each is fitted once, on all rows.
+
+    With a `selection.Selector` each value of max_features has features of its
+    own, chosen once by a preliminary forest's out-of-bag permutation
+    importance; its `cache` keeps the choices.
+    """
     from .metrics import binary_metrics
-    from .sampling import validation_carve
+    from .selection import permutation_importance
 
     space = space or SEARCH
     total = int(np.prod([len(v) for v in space.values()]))
     order = np.random.default_rng(seed).permutation(total)[:trials]
-    parts = validation_carve(df, key, target, seed=seed).persist()
-    fit_rows, check_rows = parts.where("part = 'train'"), parts.where("part = 'validation'")
+    df = df.select(*[F.col(f"`{c}`") for c in (key, *features, target)]).persist()
+
+    def chosen(max_features: str) -> list[str]:
+        if selector is None:
+            return features
+        if max_features not in selector.cache:
+            grown = grow_bags(df, Hyperparameters(n_estimators=PRELIMINARY, max_depth=depth, target_column=target, max_features=max_features), features, key, seed)
+            nodes = grown[0][0]
+            for more, *_ in grown[1:]:
+                nodes = nodes.union(more)
+            found = permutation_importance(df, nodes, bag_weights(df, grown, key), features, key, target, seed)
+            selector.fit(df, features, {r["feature"]: r["importance"] or 0.0 for r in found.collect()}, max_features)
+        return selector.cache[max_features]["kept"] or features
+
     out = []
     for k in order.tolist():
         setting = {}
         for name, values in space.items():
             k, at = divmod(k, len(values))
             setting[name] = values[at]
-        model = train(fit_rows, Hyperparameters(max_depth=depth, target_column=target, **setting), features, seed)
-        f1 = binary_metrics(model.transform(separate(check_rows, target, features)), "label", "prediction").first()["f1"]
+        own = chosen(setting.get("max_features", "sqrt"))
+        grown = grow_bags(df, Hyperparameters(max_depth=depth, target_column=target, **setting), own, key, seed)
+        f1 = binary_metrics(out_of_bag(df, grown, own, key, target)).first()["f1"]
         out.append((f1, setting))
-    parts.unpersist()
+    df.unpersist()
     return sorted(out, key=lambda x: (-x[0], str(x[1])))

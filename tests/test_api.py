@@ -155,8 +155,10 @@ def test_synthetic_regression_job_and_baseline(spark, tmp_path):
     request = TrainingRequest("-", Hyperparameters(tree_type="regressor", n_estimators=4, max_depth=5, n_samples=400, n_features=6), dataset_type="synthetic")
     assert engine.train(request)["threshold"] is None
     assert engine.infer(InferenceRequest(request.job_id))["r2"] > 0.2
-    tune = TrainingRequest("-", Hyperparameters(n_samples=400, n_features=6), dataset_type="synthetic")
+    tune = TrainingRequest("-", Hyperparameters(n_estimators=2, max_depth=3, n_samples=400, n_features=6), dataset_type="synthetic")
     assert engine.baseline(tune, 1, {"n_estimators": [2], "criterion": ["gini"]}, 3)["hyperparameters"] == {"n_estimators": 2, "criterion": "gini"}
+    kept = files.read_json(spark, str(tmp_path / "home" / "baseline" / tune.job_id))["features"]
+    assert kept and engine.train(tune)["features"] == kept
 
 
 def test_lock_safety(spark):

@@ -128,6 +128,29 @@ def test_search(spark):
     assert len(found) == 2 and found[0][0] >= found[1][0]
 
 
+def test_bags_and_their_outsiders(spark):
+    df = planted(spark, 2000)
+    times = df.select(forest.drawn(0.5, "s", "id").alias("n")).groupBy("n").count().collect()
+    share = {r.n: r["count"] / 2000 for r in times}
+    assert abs(share[0] - math.exp(-0.5)) < 0.04 and abs(share[1] - 0.5 * math.exp(-0.5)) < 0.04
+    grown = forest.grow_bags(df, Hyperparameters(n_estimators=5, max_depth=4), NAMES, "id", bags=3)
+    assert [t for _, trees, _ in grown for t in trees] == list(range(5)) == sorted(r[0] for n, *_ in grown for r in n.select("tree_id").distinct().collect())
+    weights = forest.bag_weights(df, grown, "id")
+    covered = {r[0] for r in weights.where("weight = 0").select("id").distinct().collect()}
+    rows = forest.out_of_bag(df, grown, NAMES, "id", "Label").collect()
+    assert {r.id for r in rows} == covered and len(rows) == len(covered) < 2000
+    assert sum(r.y == r.yhat for r in rows) > 0.8 * len(rows)
+
+
+def test_search_selects_features_for_each_max_features(spark):
+    df = planted(spark, 400).withColumn("same", F.lit(1.0))
+    chooser = selection.Selector()
+    forest.search(df, [*NAMES, "same"], "id", "Label", 2, space={"n_estimators": [4], "max_features": ["sqrt", "log2"]}, depth=3, selector=chooser)
+    assert set(chooser.cache) == {"sqrt", "log2"}
+    for found in chooser.cache.values():
+        assert found["constant"] == ["same"] and found["kept"] and not {"same"} & set(found["kept"])
+
+
 def test_synthetic_tables_hang_on_seed_alone(spark):
     a, b = (synthetic.friedman(spark.newSession(), 100, 6).orderBy("id").collect() for _ in range(2))
     assert a == b and a != synthetic.friedman(spark, 100, 6, seed=9).orderBy("id").collect()
