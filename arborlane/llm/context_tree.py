@@ -215,15 +215,16 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *columns, pa.array([totals[0]], pa.int64()), pa.array([totals[1]], pa.int64())], _COUNTS)
 
     for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if row[0] != now:
+        shard, n_words, n_docs = (b.column(k).to_pylist() for k in (0, 5, 6))
+        for i in range(b.num_rows):
+            if shard[i] != now:
                 if now is not None:
                     yield out()
-                now, held, totals, size = row[0], [[], [], [], []], [0, 0], 0
-            for k in range(4):
-                held[k].append(np.frombuffer(row[1 + k], "<u8" if k % 2 == 0 else "<i8"))
-            size += len(row[1]) + len(row[3])
-            totals = [totals[0] + row[5], totals[1] + row[6]]
+                now, held, totals, size = shard[i], [[], [], [], []], [0, 0], 0
+            for k in range(4):  # views of the batch, no copies
+                held[k].append(np.frombuffer(b.column(1 + k)[i].as_buffer(), "<u8" if k % 2 == 0 else "<i8"))
+            size += held[0][-1].nbytes + held[2][-1].nbytes
+            totals = [totals[0] + n_words[i], totals[1] + n_docs[i]]
             if size > 16 * GATHERED:
                 for k in (0, 2):
                     some, n = merged(held[k], held[k + 1])
@@ -234,9 +235,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(texts: DataFrame, shards: int) -> DataFrame:
-    """The counts of all rows (column text) in a row for each shard, checkpointed."""
+    """The counts of all rows (column text) in a row for each shard, checkpointed; a shard is a task."""
     partial = texts.mapInArrow(_partial_counts(shards), COUNTS)
-    return checkpointed(partial.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_summed, COUNTS))
+    return checkpointed(partial.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_summed, COUNTS))
 
 
 def top_levels(model: DataFrame) -> Top:
@@ -388,7 +389,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "held_out", "text").repartition(blocks, "block")
     asked = dealt.sortWithinPartitions("block").mapInArrow(_requests(shards), ASKED)
     kept = model.select("shard", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), "words", "word_counts", "grams", "gram_counts")
-    answers = kept.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "block").mapInArrow(_answers(top), "block long, shard int, counts binary, logs binary")
+    answers = kept.union(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "block").mapInArrow(_answers(top), "block long, shard int, counts binary, logs binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(shards, n_words, n_docs, distinct), SCHEMA)
 
 
