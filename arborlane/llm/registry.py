@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, context_tree, fingerprints, language, packing, quality, resampling, secrets, sharding, simhash
+from . import bpe, context_tree, fingerprints, language, packing, quality, resampling, secrets, sharding, simhash, urlfilter
 
 QUERIES = {
     "op1_secret_ownership": secrets.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minimum_bin_slack": packing.query,
     "op9_maglev_sharding": sharding.query,
     "op10_tree_bpe": bpe.query,
+    "op13_blocked_bloom_urls": urlfilter.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_blocked_bloom_urls": urlfilter.SQL}
