@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, context_tree, fingerprints, language, packing, quality, resampling, secrets, sharding, simhash, urlfilter
+from . import bpe, context_tree, fingerprints, infill, language, packing, quality, resampling, secrets, sharding, simhash, urlfilter
 
 QUERIES = {
     "op1_secret_ownership": secrets.query,
@@ -15,7 +15,11 @@ QUERIES = {
     "op8_minimum_bin_slack": packing.query,
     "op9_maglev_sharding": sharding.query,
     "op10_tree_bpe": bpe.query,
+    "op11_distinct_text_infill": infill.query,
     "op13_blocked_bloom_urls": urlfilter.query,
 }
 
-ORACLES: dict[str, str] = {"op13_blocked_bloom_urls": urlfilter.SQL}
+ORACLES: dict[str, str] = {
+    "op11_distinct_text_infill": infill.SQL,
+    "op13_blocked_bloom_urls": urlfilter.SQL,
+}
