@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, context_tree, fingerprints, infill, language, packing, quality, resampling, secrets, sharding, simhash, urlfilter
+from . import bpe, context_tree, fingerprints, infill, language, packing, quality, repair, resampling, secrets, sharding, simhash, urlfilter
 
 QUERIES = {
     "op1_secret_ownership": secrets.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_maglev_sharding": sharding.query,
     "op10_tree_bpe": bpe.query,
     "op11_distinct_text_infill": infill.query,
+    "op12_grammar_repair": repair.query,
     "op13_blocked_bloom_urls": urlfilter.query,
 }
 
 ORACLES: dict[str, str] = {
     "op11_distinct_text_infill": infill.SQL,
+    "op12_grammar_repair": repair.SQL,
     "op13_blocked_bloom_urls": urlfilter.SQL,
 }
