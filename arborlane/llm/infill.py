@@ -96,7 +96,8 @@ def dealt(docs: DataFrame) -> DataFrame:
     sizes = rows.select("digest", (F.octet_length("text").cast("long") + 64).alias("size")).groupBy("digest").agg(F.sum("size").alias("size"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
     heavy = [r[0] for r in sizes.where(F.col("size") > max(total // SHARE, 1)).select("digest").collect()]  # fewer than SHARE
-    salt = F.when(F.col("digest").isin(heavy), F.coalesce(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)), F.lit(0)).cast("int")).otherwise(0) if heavy else F.lit(0)
+    # without heavy contents too an expression and no literal, which Spark would drop from the keys of the group and the join but not of the shuffle
+    salt = F.when(F.col("digest").isin(heavy or [b""]), F.coalesce(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)), F.lit(0)).cast("int")).otherwise(0)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // EACH)
     return rows.withColumn("salt", salt).repartition(tasks, "digest", "salt")
 
@@ -106,7 +107,8 @@ def index(rows: DataFrame) -> DataFrame:
 
     The list is computed once for each group of identical texts that lies together.
     """
-    groups = rows.groupBy("digest", "salt").agg(F.count("doc_id").alias("ids"), F.count("*").alias("copies"), F.first("text").alias("text"))
+    # `least` has no reader: it keeps the rows' columns, so that the join below reads the same shuffle
+    groups = rows.groupBy("digest", "salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for digests, salts, copies, many in chunked(batches, "digest", "salt", "copies", "text"):
@@ -114,7 +116,7 @@ def index(rows: DataFrame) -> DataFrame:
             lists = [boundaries(x) for x in many]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(salts, pa.int32()), pa.array(copies, pa.int64()), pa.array(lists, pa.binary()), pa.array(kept, pa.string())], ["digest", "salt", "copies", "list", "kept"])
 
-    return groups.select("digest", "salt", "copies", "ids", "text").mapInArrow(run, "digest binary, salt int, copies long, list binary, kept string")
+    return groups.select("digest", "salt", "copies", "least", "text").mapInArrow(run, "digest binary, salt int, copies long, list binary, kept string")
 
 
 def cut(docs: DataFrame, seed: int = SEED, cut_rate: int = CUT_RATE, spm_rate: int = SPM_RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

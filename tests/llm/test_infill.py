@@ -98,3 +98,11 @@ def test_query_equals_sql_and_shuffles_texts_once(spark, sf):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.collect())
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in final and "ShuffledHashJoin" in final
+
+
+def test_texts_shuffle_once_without_hot_contents_too(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("a\n"), "id").alias("text"))
+    df = infill.cut(docs)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final and final.count("Exchange hashpartitioning") == 3  # the texts', again as reused, the index's
