@@ -15,9 +15,11 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.hashing import unused
 from .operators import clean, forest, metrics, sampling, selection
 from .plans import federated, training
 from .schemas import JOB_EVENTS, InferenceRequest, TrainingRequest, to_dict
+from .session import purge_scratch, scratch_mark
 from .sources import files, synthetic
 from .streaming import state
 
@@ -66,15 +68,32 @@ class Engine:
             if h.tree_type == "regressor":
                 options["noise"] = 0.5 if h.noise is None else h.noise
             return make(self.spark, **options).withColumnRenamed("id", "row_id")
-        if PurePosixPath(request.dataset_path).suffix == ".parquet":
-            df = self.spark.read.parquet(request.dataset_path)
-        else:
-            df = files.load_flows(self.spark, request.dataset_path)
-            df = df.withColumn("Label", clean.binarise("Label")) if "Label" in df.columns else df
-            df = clean.process(df if request.partition_strategy == "by_day" else df.drop(clean.DAY))
+        return self._numbered(self._read(request.dataset_path, request.partition_strategy == "by_day"), request.job_id)
+
+    def _read(self, path: str, days: bool = False) -> DataFrame:
+        """A Parquet table as it is, or CSV sources prepared."""
+        if PurePosixPath(path).suffix == ".parquet" or (files.exists(self.spark, f"{path}/_SUCCESS") and not files.listed(self.spark, path, ".csv")):
+            return self.spark.read.parquet(path)
+        df = files.load_flows(self.spark, path)
+        df = df.withColumn("Label", clean.binarise("Label")) if "Label" in df.columns else df
+        return clean.process(df if days else df.drop(clean.DAY))
+
+    def unseen(self, path: str, name: str, features: list[str]) -> DataFrame:
+        """New data in the form that training took: Parquet as it is or CSV prepared, with a `row_id`.
+
+        Columns that the model needs and the data lack raise ValueError; text
+        columns among them are read as numbers.
+        """
+        df = self._numbered(self._read(path), name)
+        if missing := [c for c in features if c not in df.columns]:
+            raise ValueError(f"the data lack {', '.join(missing)}")
+        kinds = dict(df.dtypes)
+        return df.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in features if kinds[c] == "string"})
+
+    def _numbered(self, df: DataFrame, name: str) -> DataFrame:
         if "row_id" in df.columns:
             return df
-        table = self._path("tables", request.job_id)  # numbered once; a scan's numbers hold only for itself
+        table = self._path("tables", name)  # numbered once; a scan's numbers hold only for itself
         if not files.exists(self.spark, f"{table}/_SUCCESS"):
             df.withColumn("row_id", F.monotonically_increasing_id()).write.mode("overwrite").parquet(table)
         return self.spark.read.parquet(table)
@@ -86,11 +105,14 @@ class Engine:
             return files.read_json(self.spark, f"{base}/manifest")
         self.submit(request)
         self._record(request, "PROCESSING")
+        mark = scratch_mark()
         try:
             manifest = self._train(request, base, ratio, shard)
         except Exception:
             self._record(request, "FAILED")
             raise
+        finally:
+            purge_scratch(self.spark, mark)
         self._record(request, "COMPLETED", request.hyperparameters.n_estimators)
         return manifest
 
@@ -114,7 +136,7 @@ class Engine:
         if spread:
             nodes = federated.train_shards(rows, h, features, key, "shard_id", request.seed, request.tree_allocation_strategy == "equal", f"{base}/nodes").nodes
         else:
-            nodes = training.train_rounds(rows, h, features, request.num_workers, request.seed, f"{base}/nodes")
+            nodes = training.train_rounds(rows, h, features, key, request.num_workers, request.seed, f"{base}/nodes")
         if h.tree_type == "classifier":
             held = parts.where("part = 'validation'")
             if spread:
@@ -143,17 +165,21 @@ class Engine:
         out = self._path("results", request.inference_id)
         if files.exists(self.spark, f"{out}/metrics"):
             return files.read_json(self.spark, f"{out}/metrics")
+        mark = scratch_mark()
         trained = self.model(request.job_id)
-        df = self.spark.read.parquet(request.data_url) if request.data_url else self.spark.read.parquet(self._path("models", request.job_id, "data")).where("part = 'test'")
-        rows = training.predict(df, trained, "row_id")
+        df = self.unseen(request.data_url, f"infer-{request.inference_id}", trained.features) if request.data_url else self.spark.read.parquet(self._path("models", request.job_id, "data")).where("part = 'test'")
         shards = trained.weighted and trained.task == "classifier" and "shard_id" in df.columns
+        (y,) = unused(df, "y")
+        carry = (("shard_id",) if shards else ()) + ((y,) if trained.target in df.columns else ())
+        if trained.target in df.columns:
+            df = df.withColumn(y, F.col(f"`{trained.target}`").cast("double" if trained.task == "regressor" else "long"))
+        rows = training.predict(df, trained, "row_id", carry).withColumnRenamed(y, "y")
         if shards:
             own = self.spark.read.parquet(self._path("models", request.job_id, "thresholds"))
             found = metrics.resolved_thresholds(df.select("shard_id").distinct(), own, trained.threshold, None, "shard_id")
-            rows = federated.by_shard(rows.join(df.select("row_id", "shard_id"), "row_id"), found, "shard_id")
-        if trained.target in df.columns:
-            rows = rows.join(df.select("row_id", F.col(trained.target).cast("double" if trained.task == "regressor" else "long").alias("y")), "row_id")
+            rows = federated.by_shard(rows, found, "shard_id")
         rows.write.mode("overwrite").parquet(f"{out}/predictions")
+        purge_scratch(self.spark, mark)
         rows = self.spark.read.parquet(f"{out}/predictions")
         found: dict = {"inference_id": request.inference_id, "job_id": request.job_id, "rows": rows.count()}
         if "y" in rows.columns:
@@ -186,8 +212,9 @@ class Engine:
         df = self.load(request)
         h = request.hyperparameters
         features = [c for c, k in df.dtypes if c not in ("row_id", h.target) and k in ("double", "float", "int", "bigint")]
-        chooser = selection.Selector() if select else None
+        chooser, mark = selection.Selector() if select else None, scratch_mark()
         ranked = forest.search(df, features, "row_id", h.target, trials, request.seed, space, depth, chooser)
+        purge_scratch(self.spark, mark)
         found = chooser.cache[ranked[0][1].get("max_features", "sqrt")] if chooser else None
         manifest = {"hyperparameters": ranked[0][1], "f1": ranked[0][0], "features": (found and found["kept"]) or features, "selection": found}
         files.write_json(self.spark, self._path("baseline", request.job_id), manifest)

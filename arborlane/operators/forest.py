@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from ..functions.hashing import exact_rank, hash32, uniform, unused
 from ..schemas import Hyperparameters
 from ..session import shared_folder
+from . import packed
 from .clean import separate
 
 NODES = "tree_id long, node_id long, feature long, threshold double, left long, right long, support long, dist array<double>"
-#: MLlib's own bound on depth; nodes that go to the executors at once.
-DEEPEST, NODES_AT_ONCE = 30, 2_000_000
-#: Bootstrap samples of a forest in bags, trees of the forest that ranks features, draws of one row at most.
-BAGS, PRELIMINARY, MOST_DRAWS = 10, 20, 16
+#: MLlib's own bound on depth.
+DEEPEST = 30
+#: Trees of the forest that ranks features; draws of one row at most (a Poisson number of mean 1 is larger with a chance of 3e-15).
+PRELIMINARY, MOST_DRAWS = 20, 16
 
 
 def bootstrap_weights(df: DataFrame, key: str, trees: int, max_samples: float = 1.0, seed: int = 123) -> DataFrame:
@@ -80,10 +81,11 @@ def best_splits(df: DataFrame, features: list[str], target: str, kind: str = "gi
 
 def balanced_weights(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
     """df with n / (classes * rows of the class)."""
-    sizes = df.groupBy(F.col(target).alias("__t")).agg(F.count("*").alias("__n"))
+    own, n = unused(df, "class", "size")
+    sizes = df.groupBy(F.col(f"`{target}`").alias(own)).agg(F.count("*").alias(n))
     whole = W.partitionBy(F.lit(0))  # a row for each class
-    sizes = sizes.withColumn("__w", F.sum("__n").over(whole) / (F.count("*").over(whole) * F.col("__n"))).select("__t", F.col("__w").alias(name))
-    return df.join(sizes, df[target].eqNullSafe(sizes["__t"])).drop("__t")
+    sizes = sizes.select(own, (F.sum(n).over(whole) / (F.count("*").over(whole) * F.col(n))).alias(name))
+    return df.join(F.broadcast(sizes), F.col(f"`{target}`").eqNullSafe(F.col(own))).drop(own)
 
 
 def train(df: DataFrame, request: Hyperparameters, features: list[str], seed: int = 123, weight: str | None = None):
@@ -95,7 +97,8 @@ def train(df: DataFrame, request: Hyperparameters, features: list[str], seed: in
     classifier = request.tree_type == "classifier"
     rows = df
     if classifier and request.class_weight == "balanced" and not weight:
-        rows, weight = balanced_weights(df, request.target), "weight"
+        (weight,) = unused(df, "weight")
+        rows = balanced_weights(df, request.target, weight)
     if weight:
         rows = rows.where(F.col(weight) > 0)
     table = separate(rows, request.target, features)
@@ -151,103 +154,84 @@ def node_table(model, first_tree: int = 0, folder: str | None = None) -> DataFra
     )
 
 
-class Trees:
-    """Trees as arrays, all rows of a batch walking down one level at a time."""
-
-    def __init__(self, rows: list):
-        rows = sorted(rows, key=lambda r: (r.tree_id, r.node_id))
-        place = {(r.tree_id, r.node_id): i for i, r in enumerate(rows)}
-        self.feature = np.array([-1 if r.feature is None else r.feature for r in rows], np.int64)
-        self.threshold = np.array([0.0 if r.threshold is None else r.threshold for r in rows])
-        self.left = np.array([-1 if r.left is None else place[r.tree_id, r.left] for r in rows], np.int64)
-        self.right = np.array([-1 if r.right is None else place[r.tree_id, r.right] for r in rows], np.int64)
-        self.support = np.array([r.support or 0 for r in rows], np.int64)
-        width = max((len(r.dist) for r in rows if r.dist), default=0)
-        self.dist = np.array([[*r.dist, *[0.0] * (width - len(r.dist))] if r.dist else [0.0] * width for r in rows]).reshape(len(rows), width)
-        roots: dict[int, int] = {}
-        for r in rows:
-            roots.setdefault(r.tree_id, place[r.tree_id, r.node_id])
-        self.roots = roots
-
-    def leaf(self, tree: int, x: np.ndarray) -> np.ndarray:
-        at = np.full(len(x), self.roots[tree])
-        while True:
-            inner = self.feature[at] >= 0
-            if not inner.any():
-                return at
-            some = np.flatnonzero(inner)
-            node = at[some]
-            at[some] = np.where(x[some, self.feature[node]] <= self.threshold[node], self.left[node], self.right[node])
-
-
-def _parts(nodes: DataFrame) -> list[list]:
-    """Trees in parts of at most NODES_AT_ONCE nodes (a tree at least), each of which may be broadcast; only one part is on the driver at a time."""
-    sizes = sorted(((r[0], r[1]) for r in nodes.groupBy("tree_id").count().collect()))
-    parts, size = [[]], 0
-    for tree, n in sizes:
-        if parts[-1] and size + n > NODES_AT_ONCE:
-            parts.append([])
-            size = 0
-        parts[-1].append(tree)
-        size += n
-    return parts if parts[0] else []
+def _results(df: DataFrame, nodes: DataFrame, features: list[str], carry: list[str], run_of, schema: str, draws: Column | None = None) -> tuple[DataFrame, bool]:
+    """Rows of the carried columns and what run_of(trees, batch, x) makes of a batch, for each group of trees; and whether there are several groups.
 
-
-def score(df: DataFrame, nodes: DataFrame, features: list[str], key: str) -> DataFrame:
-    """key, tree_id, support and dist of every row in every tree.  Rows stay where they are; the trees come to them.  A null feature counts as 0."""
+    draws, an array, comes after the carried columns.
+    """
+    groups = packed.groups(nodes)
+    folder, n = packed.publish(nodes) if groups else "", len(carry) + (draws is not None)
+    rows = df.select(*[F.col(f"`{c}`") for c in carry], *([] if draws is None else [draws.alias(unused(df, "draws")[0])]), *packed.inputs(features))
     out = None
-    for trees in _parts(nodes):
-        own = Trees(nodes.where(F.col("tree_id").isin(trees)).collect())
+    for group in groups:
 
-        def run(batches: Iterator[pa.RecordBatch], own: Trees = own) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], group: list[int] = group) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = np.column_stack([b.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(features))]) if features else np.zeros((b.num_rows, 0))
-                for tree in own.roots:
-                    at = own.leaf(tree, x)
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(at), tree)), pa.array(own.support[at]), pa.array(own.dist[at].tolist(), pa.list_(pa.float64()))], [key, "tree_id", "support", "dist"])
+                yield from run_of(packed.trees(folder, group), b, packed.matrix(b, n, len(features)))
 
-        rows = df.select(F.col(f"`{key}`"), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(features)])
-        part = rows.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, tree_id long, support long, dist array<double>")
+        part = rows.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     if out is None:
         raise ValueError("no trees")
-    return out
+    return out, len(groups) > 1
+
+
+def _left_out(b: pa.RecordBatch, at: int, numbers: list[int]) -> dict[int, np.ndarray]:
+    """For each tree, which rows of the batch it did not draw; the array at a column has a number for each of `numbers`."""
+    times = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(numbers))
+    return {t: times[:, i] == 0 for i, t in enumerate(numbers)}
+
+
+def _fields(df: DataFrame, names: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return ", ".join(f"`{c}` {kinds[c]}" for c in names)
+
 
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(np.ascontiguousarray(values).ravel()))
 
-def vote_sums(df: DataFrame, nodes: DataFrame, features: list[str], key: str, width: int, cap: int | None = None) -> DataFrame:
-    """key, trees, weight and sums (of dist, position by position) over all trees, for every row.
+
+def score(df: DataFrame, nodes: DataFrame, features: list[str], key: str) -> DataFrame:
+    """key, tree_id, support and dist of every row in every tree.  Rows stay where they are; tasks read the trees.  A null feature counts as 0."""
+
+    def each(own: packed.Trees, b: pa.RecordBatch, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for tree in own.roots:
+            at = own.leaf(tree, x)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(at), tree)), pa.array(own.support[at]), _lists(own.dist[at])], [key, "tree_id", "support", "dist"])
+
+    return _results(df, nodes, features, [key], each, f"{_fields(df, [key])}, tree_id long, support long, dist array<double>")[0]
+
+
+def vote_sums(df: DataFrame, nodes: DataFrame, features: list[str], key: str, width: int, cap: int | None = None, carry: tuple[str, ...] = (), out_of: tuple[list[int], Column] | None = None) -> DataFrame:
+    """key, carried columns, trees, weight and sums (of dist, position by position) over all trees, for every row.
 
     Rows are summed where they are scored, so nothing leaves Python but one row
-    for each, and nothing shuffles unless the trees come in several parts.
+    for each, and nothing shuffles unless the trees come in several groups.
+    Columns to carry go through the scan too, so that no result is joined back.
     cap: trees weigh as much as their leaf's rows up to it; without it, one
-    each.  `key` is unique.
+    each.  out_of: tree numbers and an array of how often each drew the row; a
+    tree votes for the rows that it did not draw.  `key` is unique.
     """
-    schema = f"`{key}` {dict(df.dtypes)[key]}, trees long, weight double, sums array<double>"
-    rows = df.select(F.col(f"`{key}`"), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(features)])
-    out, several = None, False
-    for trees in _parts(nodes):
-        own = Trees(nodes.where(F.col("tree_id").isin(trees)).collect())
-
-        def run(batches: Iterator[pa.RecordBatch], own: Trees = own) -> Iterator[pa.RecordBatch]:
-            most = min(width, own.dist.shape[1])
-            for b in batches:
-                x = np.column_stack([b.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(features))]) if features else np.zeros((b.num_rows, 0))
-                sums, weight = np.zeros((b.num_rows, width)), np.zeros(b.num_rows)
-                for tree in own.roots:
-                    at = own.leaf(tree, x)
-                    w = np.ones(len(at)) if cap is None else np.minimum(own.support[at], cap).astype(np.float64)
-                    weight += w
-                    sums[:, :most] += w[:, None] * own.dist[at, :most]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * width), pa.array(sums.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, len(own.roots))), pa.array(weight), lists], [key, "trees", "weight", "sums"])
-
-        part = rows.mapInArrow(run, schema)
-        several, out = out is not None, part if out is None else out.union(part)
-    if out is None:
-        raise ValueError("no trees")
+    names, numbers = [key, *carry], out_of[0] if out_of else None
+
+    def each(own: packed.Trees, b: pa.RecordBatch, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        most = min(width, own.dist.shape[1])
+        sums, weight, trees = np.zeros((b.num_rows, width)), np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+        votes = _left_out(b, len(names), numbers) if numbers else None
+        for tree in own.roots:
+            rows = slice(None) if votes is None else np.flatnonzero(votes[tree])
+            at = own.leaf(tree, x[rows])
+            w = np.ones(len(at)) if cap is None else np.minimum(own.support[at], cap).astype(np.float64)
+            weight[rows] += w
+            trees[rows] += 1
+            sums[rows, :most] += w[:, None] * own.dist[at, :most]
+        yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array(trees), pa.array(weight), _lists(sums)], [*names, "trees", "weight", "sums"])
+
+    out, several = _results(df, nodes, features, names, each, f"{_fields(df, names)}, trees long, weight double, sums array<double>", out_of and out_of[1])
     if several:
-        each = [F.sum(F.get("sums", F.lit(k))) for k in range(width)]
-        out = out.groupBy(key).agg(F.sum("trees").alias("trees"), F.sum("weight").alias("weight"), F.array(*each).alias("sums"))
+        totals = [F.sum(F.get("sums", F.lit(k))) for k in range(width)]
+        kept = [F.first(F.col(f"`{c}`")).alias(c) for c in carry]
+        out = out.groupBy(key).agg(*kept, F.sum("trees").alias("trees"), F.sum("weight").alias("weight"), F.array(*totals).alias("sums"))
     return out
 
 
@@ -257,21 +241,78 @@ def oob_votes(votes: DataFrame, weights: DataFrame, key: str) -> DataFrame:
 
 
 def oob_curve(votes: DataFrame, weights: DataFrame, truth: DataFrame, key: str, y: str, steps: list[int], include_uncovered: bool = False) -> DataFrame:
-    """trees, covered and error of the first so many trees' out-of-bag votes, in one pass.
+    """trees, covered and error of the first so many trees' out-of-bag votes, from a table of votes.
 
-    A row's sums run over its trees; rows that no tree covers yet are left out
-    (or count as errors with include_uncovered).
+    A row's votes meet once, as a list by tree whose running sums are read at
+    every step.  Rows that no tree covers yet are left out (or count as errors
+    with include_uncovered).  `learning_curve` does the same where rows are scored.
     """
-    long = oob_votes(votes, weights, key).select("tree_id", key, F.element_at("dist", 2).alias("p"))
-    grid = F.explode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("trees")
-    sums = long.select(key, "tree_id", "p", grid).where("tree_id < trees").groupBy("trees", key).agg(F.avg("p").alias("p"))
-    rows = sums.join(truth.select(key, y), key)
-    wrong = F.sum(((F.col("p") > 0.5).cast("int") != F.col(y)).cast("long"))
-    out = rows.groupBy("trees").agg(F.count("*").alias("covered"), wrong.alias("wrong"))
-    if include_uncovered:
-        total = truth.agg(F.count("*").alias("total"))
-        return out.join(F.broadcast(total)).select("trees", "covered", ((F.col("wrong") + F.col("total") - F.col("covered")) / F.col("total")).alias("error"))  # one row
-    return out.select("trees", "covered", (F.col("wrong") / F.col("covered")).alias("error"))
+    own = oob_votes(votes, weights, key).select(key, F.struct("tree_id", F.element_at("dist", 2).alias("p")).alias("v"))
+    rows = own.groupBy(key).agg(F.collect_list("v").alias("v")).join(truth.select(key, y), key)  # a vote of each tree
+
+    def at(step: int) -> Column:
+        some = F.filter("v", lambda v: v["tree_id"] < step)
+        mean = F.aggregate(some, F.lit(0.0), lambda total, v: total + v["p"]) / F.size(some)
+        return F.struct(F.when(F.size(some) > 0, 1).otherwise(0).alias("covered"), F.when((F.size(some) > 0) & ((mean > 0.5).cast("int") != F.col(y)), 1).otherwise(0).alias("wrong"))
+
+    each = rows.select(*[at(s).alias(f"s{i}") for i, s in enumerate(steps)])
+    sums = each.agg(*[F.sum(f"s{i}.{c}").alias(f"{c}{i}") for i in range(len(steps)) for c in ("covered", "wrong")])
+    return _curve(sums, truth.agg(F.count("*").alias("total")) if include_uncovered else None, steps)
+
+
+def _curve(sums: DataFrame, total: DataFrame | None, steps: list[int]) -> DataFrame:
+    """A row for each step of one row of covered0, wrong0, ...; steps that cover nothing are left out."""
+    if total is not None:
+        sums = sums.crossJoin(total)  # one row each
+    each = F.array(*[F.struct(F.lit(s).cast("long").alias("trees"), F.col(f"covered{i}").cast("long").alias("covered"), F.col(f"wrong{i}").cast("long").alias("wrong")) for i, s in enumerate(steps)])
+    rows = sums.select(F.explode(each).alias("e"), *([] if total is None else ["total"])).where("e.covered > 0")
+    error = F.col("e.wrong") / F.col("e.covered") if total is None else (F.col("e.wrong") + F.col("total") - F.col("e.covered")) / F.col("total")
+    return rows.select("e.trees", "e.covered", error.alias("error"))
+
+
+def learning_curve(df: DataFrame, nodes: DataFrame, features: list[str], key: str, y: str, out_of: tuple[list[int], Column], steps: list[int], include_uncovered: bool = False) -> DataFrame:
+    """trees, covered and error of the first so many trees' out-of-bag votes, in one scan of the rows.
+
+    A row's running sums over its trees stay in the task, which passes on two
+    numbers for each step.  Only if the trees come in several groups are a
+    row's sums at the steps added by key first: sums up to a step add up over
+    groups.  Rows that no tree covers yet are left out, or count as errors with
+    include_uncovered.
+    """
+    n, numbers = len(steps), out_of[0]
+    several = len(packed.groups(nodes)) > 1
+
+    def each(own: packed.Trees, b: pa.RecordBatch, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        votes, sums, count = _left_out(b, 2, numbers), np.zeros((b.num_rows, n)), np.zeros((b.num_rows, n))
+        for tree in own.roots:
+            rows = np.flatnonzero(votes[tree])
+            first = int(np.searchsorted(by_step, tree, "right"))  # the first step that takes the tree in
+            p = own.dist[own.leaf(tree, x[rows]), 1]
+            if first < n:
+                sums[rows, first] += p
+                count[rows, first] += 1
+        sums, count = np.cumsum(sums, axis=1)[:, back], np.cumsum(count, axis=1)[:, back]
+        if several:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(sums), _lists(count)], [key, y, "sums", "counts"])
+            return
+        with np.errstate(invalid="ignore"):
+            wrong = (count > 0) & ((sums / count > 0.5) != (b.column(1).to_numpy(zero_copy_only=False)[:, None] == 1))
+        totals = np.column_stack([(count > 0).sum(0), wrong.sum(0)]).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in totals], names)
+
+    order = np.argsort(steps, kind="stable")
+    by_step, back = np.array(steps)[order], np.argsort(order)
+    names = [f"{c}{i}" for i in range(n) for c in ("covered", "wrong")]
+    schema = f"{_fields(df, [key, y])}, sums array<double>, counts array<double>" if several else ", ".join(f"{c} long" for c in names)
+    rows, _ = _results(df, nodes, features, [key, y], each, schema, out_of[1])
+    if several:
+        own = rows.groupBy(key).agg(F.first(y).alias(y), *[F.sum(F.get("sums", F.lit(i))).alias(f"p{i}") for i in range(n)], *[F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(n)])
+        covers = [F.col(f"n{i}") > 0 for i in range(n)]
+        wrong = [c & ((F.col(f"p{i}") / F.col(f"n{i}") > 0.5).cast("int") != F.col(y)) for i, c in enumerate(covers)]
+        sums = own.agg(*[F.count_if(v).alias(f"{c}{i}") for i in range(n) for c, v in (("covered", covers[i]), ("wrong", wrong[i]))])
+    else:
+        sums = rows.agg(*[F.sum(c).alias(c) for c in names])
+    return _curve(sums, df.agg(F.count("*").alias("total")) if include_uncovered else None, steps)
 
 
 def with_importances(model, features: list[str], top: int = 15) -> list[tuple[str, float, float]]:
@@ -305,40 +346,41 @@ def drawn(rate: float, seed: int | str, key: str) -> Column:
     return F.element_at(F.transform(F.array(uniform(seed, key)), lambda u: sum(((u >= x).cast("int") for x in steps), F.lit(0))), 1)
 
 
-def grow_bags(df: DataFrame, request: Hyperparameters, features: list[str], key: str, seed: int = 123, bags: int = BAGS) -> list[tuple[DataFrame, list[int], Column]]:
-    """A forest in bags: (nodes, tree ids, times drawn) of each.
+@dataclass
+class Grown:
+    """A forest, its trees' numbers, and an array of how often each tree drew a row."""
+
+    nodes: DataFrame
+    numbers: list[int]
+    times: Column
+
+    @property
+    def out_of(self) -> tuple[list[int], Column]:
+        return self.numbers, self.times
 
-    The trees of a bag share one bootstrap sample and differ by the features
-    tried at each split; rows that a bag draws 0 times are out of its bag.
-    """
-    out, bags = [], min(bags, request.n_estimators)
-    for b in range(bags):
-        first, end = (b * request.n_estimators // bags, (b + 1) * request.n_estimators // bags)
-        times = drawn(float(request.max_samples), f"{seed}-bag{b}", key)
-        (name,) = unused(df, "drawn")
-        model = train(df.withColumn(name, times), replace(request, n_estimators=end - first, bootstrap=False, max_samples=1.0), features, seed + first, name)
-        out.append((node_table(model, first), list(range(first, end)), times))
-    return out
 
+def grow_forest(df: DataFrame, request: Hyperparameters, features: list[str], key: str, seed: int = 123) -> Grown:
+    """All trees of a request, each with its own seed and bootstrap sample."""
+    from . import cart
+    from .sampling import tree_seed
 
-def bag_weights(df: DataFrame, grown: list[tuple[DataFrame, list[int], Column]], key: str) -> DataFrame:
+    trees = [cart.Tree(t, tree_seed(seed, t)) for t in range(request.n_estimators)]
+    return Grown(cart.grow(df, request, features, key, trees), [t.tree_id for t in trees], cart.drawn_times(request, trees, key))
+
+
+def tree_weights(df: DataFrame, grown: Grown, key: str) -> DataFrame:
     """tree_id, key and weight of every row for every tree, as bootstrap_weights gives."""
-    each = [F.struct(F.array(*[F.lit(t).cast("long") for t in trees]).alias("trees"), times.cast("long").alias("weight")) for _, trees, times in grown]
-    bags = df.select(key, F.explode(F.array(*each)).alias("bag"))
-    return bags.select(F.explode("bag.trees").alias("tree_id"), key, "bag.weight")
+    each = F.arrays_zip(F.array(*[F.lit(t).cast("long") for t in grown.numbers]).alias("tree_id"), grown.times.alias("weight"))
+    return df.select(key, F.explode(each).alias("e")).select("e.tree_id", key, F.col("e.weight").cast("long").alias("weight"))
 
 
-def out_of_bag(df: DataFrame, grown: list[tuple[DataFrame, list[int], Column]], features: list[str], key: str, target: str) -> DataFrame:
-    """key, y, p and yhat of the rows that a bag at least left out, by the trees of those bags."""
+def out_of_bag(df: DataFrame, grown: Grown, features: list[str], key: str, target: str) -> DataFrame:
+    """key, y, p and yhat of the rows that a tree at least left out, by those trees; one scan."""
     from .voting import from_sums
 
-    out = None
-    for nodes, _, times in grown:
-        part = vote_sums(df.where(times == 0), nodes, features, key, 2)
-        out = part if out is None else out.union(part)
-    each = [F.sum(F.get("sums", F.lit(k))) for k in range(2)]
-    voted = from_sums(out.groupBy(key).agg(F.sum("trees").alias("trees"), F.sum("weight").alias("weight"), F.array(*each).alias("sums")), key, [0, 1])
-    return voted.select(key, F.element_at("probs", 2).alias("p"), F.col("yhat").cast("long").alias("yhat")).join(df.select(key, F.col(f"`{target}`").cast("long").alias("y")), key)
+    (y,) = unused(df, "y")
+    voted = vote_sums(df.withColumn(y, F.col(f"`{target}`").cast("long")), grown.nodes, features, key, 2, carry=(y,), out_of=grown.out_of).where("trees > 0")
+    return from_sums(voted, key, [0, 1], carry=(y,)).select(key, F.element_at("probs", 2).alias("p"), F.col("yhat").cast("long").alias("yhat"), F.col(y).alias("y"))
 
 
 def search(df: DataFrame, features: list[str], key: str, target: str, trials: int = 60, seed: int = 123, space: dict | None = None, depth: int | None = None, selector=None) -> list[tuple[float, dict]]:
@@ -360,11 +402,8 @@ def search(df: DataFrame, features: list[str], key: str, target: str, trials: in
         if selector is None:
             return features
         if max_features not in selector.cache:
-            grown = grow_bags(df, Hyperparameters(n_estimators=PRELIMINARY, max_depth=depth, target_column=target, max_features=max_features), features, key, seed)
-            nodes = grown[0][0]
-            for more, *_ in grown[1:]:
-                nodes = nodes.union(more)
-            found = permutation_importance(df, nodes, bag_weights(df, grown, key), features, key, target, seed)
+            grown = grow_forest(df, Hyperparameters(n_estimators=PRELIMINARY, max_depth=depth, target_column=target, max_features=max_features), features, key, seed)
+            found = permutation_importance(df, grown.nodes, tree_weights(df, grown, key), features, key, target, seed)
             selector.fit(df, features, {r["feature"]: r["importance"] or 0.0 for r in found.collect()}, max_features)
         return selector.cache[max_features]["kept"] or features
 
@@ -375,7 +414,7 @@ def search(df: DataFrame, features: list[str], key: str, target: str, trials: in
             k, at = divmod(k, len(values))
             setting[name] = values[at]
         own = chosen(setting.get("max_features", "sqrt"))
-        grown = grow_bags(df, Hyperparameters(max_depth=depth, target_column=target, **setting), own, key, seed)
+        grown = grow_forest(df, Hyperparameters(max_depth=depth, target_column=target, **setting), own, key, seed)
         f1 = binary_metrics(out_of_bag(df, grown, own, key, target)).first()["f1"]
         out.append((f1, setting))
     df.unpersist()

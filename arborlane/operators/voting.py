@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import unused
+
 #: Fixed value: a leaf's rows count up to here in weighted votes.
 SUPPORT_CAP = 50
 
@@ -24,10 +26,11 @@ def aligned(votes: DataFrame, local: list, classes: list) -> DataFrame:
 def _position_means(votes: DataFrame, key: str, weight: Column, width: int) -> DataFrame:
     """Weighted means of dist, position by position: partial sums in each task, no explode."""
     total = F.sum(weight)
-    sums = [F.sum(weight * F.coalesce(F.get("dist", F.lit(k)), F.lit(0.0))).alias(f"__s{k}") for k in range(width)]
-    rows = votes.groupBy(key).agg(total.alias("__w"), F.count("*").alias("trees"), *sums)
-    base = F.when(F.col("__w") == 0, 1.0).otherwise(F.col("__w"))
-    return rows.select(key, "trees", F.array(*[F.col(f"__s{k}") / base for k in range(width)]).alias("probs"))
+    w, *names = unused(votes, "w", *[f"s{k}" for k in range(width)])
+    sums = [F.sum(weight * F.coalesce(F.get("dist", F.lit(k)), F.lit(0.0))).alias(names[k]) for k in range(width)]
+    rows = votes.groupBy(key).agg(total.alias(w), F.count("*").alias("trees"), *sums)
+    base = F.when(F.col(w) == 0, 1.0).otherwise(F.col(w))
+    return rows.select(key, "trees", F.array(*[F.col(s) / base for s in names]).alias("probs"))
 
 
 def _decided(rows: DataFrame, classes: list) -> DataFrame:
@@ -46,15 +49,15 @@ def leaf_weighted_vote(votes: DataFrame, key: str, classes: list, cap: int = SUP
     return _decided(_position_means(votes, key, F.least("support", F.lit(cap)).cast("double"), len(classes)), classes)
 
 
-def from_sums(sums: DataFrame, key: str, classes: list) -> DataFrame:
-    """The vote that `forest.vote_sums` already added up: key, trees, probs and yhat."""
+def from_sums(sums: DataFrame, key: str, classes: list, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The vote that `forest.vote_sums` already added up: key, carried columns, trees, probs and yhat."""
     base = F.when(F.col("weight") == 0, 1.0).otherwise(F.col("weight"))
-    return _decided(sums.select(key, "trees", F.transform("sums", lambda s: s / base).alias("probs")), classes)
+    return _decided(sums.select(key, *[F.col(f"`{c}`") for c in carry], "trees", F.transform("sums", lambda s: s / base).alias("probs")), classes)
 
 
-def mean_from_sums(sums: DataFrame, key: str) -> DataFrame:
-    """The same of regression trees: key, trees and yhat; 0 without any weight."""
-    return sums.select(key, "trees", F.coalesce(F.try_divide(F.element_at("sums", 1), F.col("weight")), F.lit(0.0)).alias("yhat"))
+def mean_from_sums(sums: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The same of regression trees: key, carried columns, trees and yhat; 0 without any weight."""
+    return sums.select(key, *[F.col(f"`{c}`") for c in carry], "trees", F.coalesce(F.try_divide(F.element_at("sums", 1), F.col("weight")), F.lit(0.0)).alias("yhat"))
 
 
 def with_threshold(voted: DataFrame, threshold: float | Column, classes: list) -> DataFrame:

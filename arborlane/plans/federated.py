@@ -6,14 +6,14 @@ of training where the data lies are reproduced, its privacy isn't.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unused
-from ..operators import forest, metrics, sampling, voting
+from ..operators import cart, forest, metrics, sampling, voting
 from ..operators.clean import DAY
 from ..schemas import Hyperparameters, TrainingRequest
 from ..sources import files
@@ -68,25 +68,33 @@ def provision(df: DataFrame, path: str, key: str, workers: int, strategy: str =
 def train_shards(df: DataFrame, request: Hyperparameters, features: list[str], key: str, shard: str, seed: int = 123, equal: bool = False, table: str | None = None) -> ShardForest:
     """A forest in which each shard grows its quota of trees on its own rows; quotas follow shard sizes.
 
-    One MLlib job a shard; MLlib spreads each over the cluster.  table: a
-    folder that takes each shard's trees as a part when they are grown; parts
-    that are complete there aren't grown again.
+    All shards' trees grow in one plan.  table: a folder that takes each
+    shard's trees as a part; parts that are complete there aren't grown again.
     """
     sizes = df.groupBy(shard).agg(F.count("*").alias("size"))
     quotas = {r[0]: r[1] for r in sampling.tree_quotas(sizes, request.n_estimators, shard, "size", equal).collect()}
     spark = df.sparkSession
     done = set(files.complete_parts(spark, table)) if table else set()
     kind = dict(df.dtypes)[shard]
-    parts, first = [], 0
-    for k, name in enumerate(sorted(quotas, key=lambda x: (x is None, str(x)))):
-        if quotas[name]:
-            if k not in done:
-                model = forest.train(df.where(F.col(shard).eqNullSafe(F.lit(name))), replace(request, n_estimators=quotas[name]), features, sampling.tree_seed(seed, 0, k))
-                grown = forest.node_table(model, first).withColumn(shard, F.lit(name).cast(kind))
-                if table:
-                    files.append_part(grown, table, k)
-            parts.append(spark.read.parquet(f"{table}/part={k}") if table else grown)
-            first += quotas[name]
+    names, first, trees, of = sorted(quotas, key=lambda x: (x is None, str(x))), 0, [], {}
+    for k, name in enumerate(names):
+        of[k] = range(first, first + quotas[name])
+        first += quotas[name]
+        if k not in done:
+            trees += [cart.Tree(t, sampling.tree_seed(seed, i, k), name) for i, t in enumerate(of[k])]
+    grown = cart.grow(df, request, features, key, trees, shard) if trees else None
+    parts = []
+    for k, name in enumerate(names):
+        if not len(of[k]):
+            continue
+        if k not in done:
+            part = grown.where(F.col("tree_id").between(of[k][0], of[k][-1])).withColumn(shard, F.lit(name).cast(kind))
+            if table:
+                files.append_part(part, table, k)
+            else:
+                parts.append(part)
+        if table:
+            parts.append(spark.read.parquet(f"{table}/part={k}"))
     if table:
         files.purge_parts(spark, table, len(quotas))
     classes = sorted(r[0] for r in df.select(request.target).distinct().collect()) if request.tree_type == "classifier" else []
@@ -115,18 +123,25 @@ def prepare_job(df: DataFrame, request: TrainingRequest, key: str, ratio: float
     return rows.where("split = 'test'").withColumn("part", F.lit("test")).unionByName(rest).drop("split")
 
 
+def _voted(df: DataFrame, nodes: DataFrame, features: list[str], key: str, shard: str, target: str) -> DataFrame:
+    """key, shard, y, probs and yhat by the leaf-weighted vote; shard and truth go through the scan that scores."""
+    (y,) = unused(df, "y")
+    sums = forest.vote_sums(df.withColumn(y, F.col(f"`{target}`").cast("long")), nodes, features, key, 2, voting.SUPPORT_CAP, (shard, y))
+    return voting.from_sums(sums, key, [0, 1], (shard, y)).withColumnRenamed(y, "y")
+
+
 def thresholds(held: DataFrame, nodes: DataFrame, features: list[str], key: str, shard: str, target: str) -> tuple[DataFrame, DataFrame]:
     """(each shard's threshold, the pooled one) on validation rows, by the leaf-weighted vote."""
-    voted = voting.from_sums(forest.vote_sums(held, nodes, features, key, 2, voting.SUPPORT_CAP), key, [0, 1])
-    rows = voted.select(key, F.element_at("probs", 2).alias("p")).join(held.select(key, shard, F.col(target).cast("long").alias("y")), key)
+    rows = _voted(held, nodes, features, key, shard, target).select(key, shard, "y", F.element_at("probs", 2).alias("p"))
     return metrics.worker_thresholds(rows, shard), metrics.pooled_threshold(rows)
 
 
 def by_shard(rows: DataFrame, found: DataFrame, shard: str) -> DataFrame:
     """rows (p, yhat) decided anew by their shard's threshold, where it has one."""
-    at = found.select(F.col(shard).alias("__of"), F.col("threshold").alias("__t"))
-    rows = rows.join(at, F.col(shard).eqNullSafe(F.col("__of")), "left")
-    return rows.withColumn("yhat", F.coalesce((F.col("p") >= F.col("__t")).cast("long"), F.col("yhat"))).drop("__of", "__t")
+    of, t = unused(rows, "of", "t")
+    at = F.broadcast(found.select(F.col(shard).alias(of), F.col("threshold").alias(t)))  # a row for each shard
+    rows = rows.join(at, F.col(shard).eqNullSafe(F.col(of)), "left")
+    return rows.withColumn("yhat", F.coalesce((F.col("p") >= F.col(t)).cast("long"), F.col("yhat"))).drop(of, t)
 
 
 def evaluate_shards(df: DataFrame, nodes: DataFrame, features: list[str], key: str, shard: str, target: str, thresholds: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -135,9 +150,10 @@ def evaluate_shards(df: DataFrame, nodes: DataFrame, features: list[str], key: s
     Votes are weighted by leaf support.  thresholds: shard and threshold; a
     missing one means the class of larger probability.
     """
-    voted = voting.from_sums(forest.vote_sums(df, nodes, features, key, 2, voting.SUPPORT_CAP), key, [0, 1]).withColumn("p", F.element_at("probs", 2))
-    rows = voted.join(df.select(key, shard, F.col(target).cast("long").alias("y")), key)
+    rows = _voted(df, nodes, features, key, shard, target).withColumn("p", F.element_at("probs", 2))
     if thresholds is not None:
-        rows = rows.join(thresholds.select(F.col(shard).alias("__of"), F.col("threshold")), F.col(shard).eqNullSafe(F.col("__of")), "left").drop("__of").withColumn("yhat", F.when(F.col("threshold").isNull(), F.col("yhat")).otherwise((F.col("p") >= F.col("threshold")).cast("int")))
+        (of,) = unused(rows, "of")
+        few = F.broadcast(thresholds.select(F.col(shard).alias(of), F.col("threshold")))  # a row for each shard
+        rows = rows.join(few, F.col(shard).eqNullSafe(F.col(of)), "left").drop(of).withColumn("yhat", F.when(F.col("threshold").isNull(), F.col("yhat")).otherwise((F.col("p") >= F.col("threshold")).cast("int")))
     each = metrics.worker_metrics(rows, shard)
     return rows, each, metrics.macro_average(each, ["accuracy", "precision", "recall", "f1", "auc"], "smallest")

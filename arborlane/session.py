@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +31,34 @@ def session(name: str = "arborlane", master: str | None = None, **settings: str)
     """The running session or a new one; settings override SETTINGS."""
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+#: Folders that `scratch` made and nothing removed yet.
+_made: list[str] = []
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """The path of a new folder for tables that last as long as the plans that read them."""
+    _made.append(f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def scratch_mark() -> int:
+    """A point in the order of scratch folders, for `purge_scratch`."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a scratch folder that no plan reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _made:
+        _made.remove(folder)
+
+
+def purge_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the scratch folders made since a mark, whose plans must have run; how many there were."""
+    gone = _made[since:]
+    for folder in gone:
+        discard(spark, folder)
+    return len(gone)

@@ -52,6 +52,12 @@ def discover(spark: SparkSession, where: str | list[str], suffix: str = ".csv")
     return sorted(found)
 
 
+def listed(spark: SparkSession, path: str, suffix: str) -> bool:
+    """Whether a folder holds a file of the suffix."""
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and any(s.getPath().getName().endswith(suffix) for s in fs.listStatus(p))
+
+
 def scan_csv(spark: SparkSession, sources: str | list[str]) -> DataFrame:
     """All columns as text; a path may hold several, split by |."""
     paths = sources.split("|") if isinstance(sources, str) else sources

@@ -120,19 +120,19 @@ def test_federated_job_by_day(spark, csv_folder, tmp_path):
 
 def test_jobs_go_on_after_a_loss(spark, csv_folder, tmp_path, monkeypatch):
     """A driver lost after the first round: the job ends with the trees of that round as they were."""
-    from arborlane.operators import forest
+    from arborlane.operators import cart
 
     engine = Engine(spark, str(tmp_path / "home"))
     request = TrainingRequest(str(csv_folder), Hyperparameters(n_estimators=45, max_depth=2), num_workers=1)
-    whole, calls = forest.train, []
+    whole, calls = cart.grow, []
 
-    def dies(rows, h, *rest, **more):
-        calls.append(h.n_estimators)
+    def dies(rows, h, features, key, trees, **more):
+        calls.append(len(trees))
         if len(calls) == 2:
             raise KeyboardInterrupt
-        return whole(rows, h, *rest, **more)
+        return whole(rows, h, features, key, trees, **more)
 
-    monkeypatch.setattr(forest, "train", dies)
+    monkeypatch.setattr(cart, "grow", dies)
     with pytest.raises(KeyboardInterrupt):
         engine.train(request)
     part = str(tmp_path / "home" / "models" / request.job_id / "nodes" / "part=0")
@@ -142,6 +142,23 @@ def test_jobs_go_on_after_a_loss(spark, csv_folder, tmp_path, monkeypatch):
     assert engine.model(request.job_id).nodes.select("tree_id").distinct().count() == 45
 
 
+def test_inference_on_new_data_as_training_takes_it(spark, csv_folder, tmp_path):
+    from arborlane import session
+
+    engine = Engine(spark, str(tmp_path / "home"))
+    request = TrainingRequest(str(csv_folder), Hyperparameters(n_estimators=2, max_depth=3))
+    engine.train(request)
+    csv = engine.infer(InferenceRequest(request.job_id, data_url=str(csv_folder)))
+    table = engine.load(request)
+    table.drop("row_id", "Label").write.parquet(str(tmp_path / "new"))
+    raw = engine.infer(InferenceRequest(request.job_id, data_url=str(tmp_path / "new")))
+    assert csv["rows"] == raw["rows"] == table.count() and "f1" in csv and "f1" not in raw
+    table.drop(engine.model(request.job_id).features[0]).write.parquet(str(tmp_path / "less"))
+    with pytest.raises(ValueError, match="lack"):
+        engine.infer(InferenceRequest(request.job_id, data_url=str(tmp_path / "less")))
+    assert not [f for f in session._made if request.job_id in f]
+
+
 def test_failed_jobs_say_so(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "home"))
     request = TrainingRequest(str(tmp_path / "none"))

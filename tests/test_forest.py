@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborlane.operators import forest, metrics, selection, voting
+from arborlane.operators import forest, metrics, packed, selection, voting
 from arborlane.plans import federated
 from arborlane.queries import forests
 from arborlane.schemas import Hyperparameters
@@ -34,7 +34,7 @@ def test_node_table_scores_like_mllib(spark):
 def test_trees_in_parts_score_the_same(spark, monkeypatch):
     df = forests.flows(spark, "/root/testdata/sf0.001")
     one = sorted(map(str, forests.forest_score(spark, "/root/testdata/sf0.001").collect()))
-    monkeypatch.setattr(forest, "NODES_AT_ONCE", 6)
+    monkeypatch.setattr(packed, "NODES_AT_ONCE", 6)
     assert df.count() * 3 == len(one) and sorted(map(str, forests.forest_score(spark, "/root/testdata/sf0.001").collect())) == one
 
 
@@ -128,18 +128,56 @@ def test_search(spark):
     assert len(found) == 2 and found[0][0] >= found[1][0]
 
 
-def test_bags_and_their_outsiders(spark):
+def test_trees_vote_for_the_rows_that_they_did_not_draw(spark):
     df = planted(spark, 2000)
     times = df.select(forest.drawn(0.5, "s", "id").alias("n")).groupBy("n").count().collect()
     share = {r.n: r["count"] / 2000 for r in times}
     assert abs(share[0] - math.exp(-0.5)) < 0.04 and abs(share[1] - 0.5 * math.exp(-0.5)) < 0.04
-    grown = forest.grow_bags(df, Hyperparameters(n_estimators=5, max_depth=4), NAMES, "id", bags=3)
-    assert [t for _, trees, _ in grown for t in trees] == list(range(5)) == sorted(r[0] for n, *_ in grown for r in n.select("tree_id").distinct().collect())
-    weights = forest.bag_weights(df, grown, "id")
+    grown = forest.grow_forest(df, Hyperparameters(n_estimators=3, max_depth=4, max_samples=0.5), NAMES, "id")
+    weights = forest.tree_weights(df, grown, "id")
+    assert weights.count() == 6000
     covered = {r[0] for r in weights.where("weight = 0").select("id").distinct().collect()}
     rows = forest.out_of_bag(df, grown, NAMES, "id", "Label").collect()
     assert {r.id for r in rows} == covered and len(rows) == len(covered) < 2000
     assert sum(r.y == r.yhat for r in rows) > 0.8 * len(rows)
+    votes = forest.oob_votes(forest.score(df, grown.nodes, NAMES, "id"), weights, "id")
+    slow = {r.id: r.probs for r in voting.soft_vote(votes, "id", [0, 1]).collect()}
+    assert all(math.isclose(r.p, slow[r.id][1]) for r in rows)
+
+
+@pytest.mark.parametrize("at_once", [None, 8])
+def test_learning_curve_like_the_table_of_votes(spark, monkeypatch, at_once):
+    df = planted(spark, 500).withColumn("Label", F.when(F.col("id") % 5 == 0, 1 - F.col("Label")).otherwise(F.col("Label")))
+    grown = forest.grow_forest(df, Hyperparameters(n_estimators=9, max_depth=3), NAMES, "id")
+    votes, weights, steps = forest.score(df, grown.nodes, NAMES, "id"), forest.tree_weights(df, grown, "id"), [5, 1, 9, 3]
+    for uncovered in (False, True):
+        want = {r.trees: (r.covered, round(r.error, 9)) for r in forest.oob_curve(votes, weights, df, "id", "Label", steps, uncovered).collect()}
+        if at_once:
+            monkeypatch.setattr(packed, "NODES_AT_ONCE", at_once)
+        got = forest.learning_curve(df, grown.nodes, NAMES, "id", "Label", grown.out_of, steps, uncovered)
+        assert {r.trees: (r.covered, round(r.error, 9)) for r in got.collect()} == want
+        plan = got._jdf.queryExecution().toString()
+        assert "SortMergeJoin" not in plan and (at_once or "Generate explode(tree" not in plan)
+
+
+def test_balanced_forest_on_a_feature_named_weight(spark):
+    df = planted(spark, 400).withColumnRenamed("x0", "weight").withColumnRenamed("x1", "size")
+    request = Hyperparameters(n_estimators=2, max_depth=3, class_weight="balanced", max_features="all")
+    assert forest.node_table(forest.train(df, request, ["weight", "size"])).count() > 2
+    assert forest.grow_forest(df, request, ["weight", "size"], "id").nodes.count() > 2
+
+
+def test_nothing_of_the_trees_comes_to_the_driver(spark):
+    df = planted(spark, 300)
+    nodes = spark.range(400_000).selectExpr("id % 4 as tree_id", "id div 4 as node_id", "IF(id div 4 < 49999, 0L, NULL) as feature", "0.5D as threshold", "2 * (id div 4) + 1 as left", "2 * (id div 4) + 2 as right", "1L as support", "IF(id div 4 < 49999, NULL, array(0.5D, 0.5D)) as dist")
+    seen, collect = [], type(nodes).collect
+    try:
+        type(nodes).collect = lambda self: seen.append(out := collect(self)) or out
+        scored = forest.vote_sums(df, nodes, NAMES, "id", 2)
+    finally:
+        type(nodes).collect = collect
+    assert sum(map(len, seen)) == 4  # a number and a size for each tree
+    assert scored.where("trees = 4").count() == 300 and "Exchange" not in scored._jdf.queryExecution().toString()
 
 
 def test_search_selects_features_for_each_max_features(spark):
