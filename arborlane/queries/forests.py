@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import clean, forest, sampling, selection, voting
@@ -170,16 +172,86 @@ def _planted(spark, sf):
 
 def train_rf_classifier(spark, sf):
     df = _planted(spark, sf)
-    model = forest.train(df, Hyperparameters(n_estimators=8, max_depth=5, max_features="sqrt"), FEATURES)
-    own = voting.soft_vote(forest.score(df, forest.node_table(model), FEATURES, "event_id"), "event_id", [0, 1])
+    nodes = forest.grow_forest(df, Hyperparameters(n_estimators=8, max_depth=5, max_features="sqrt"), FEATURES, "event_id").nodes
+    own = voting.from_sums(forest.vote_sums(df, nodes, FEATURES, "event_id", 2), "event_id", [0, 1])
     return own.select("event_id", F.element_at("probs", 2).alias("p"), F.col("yhat").cast("long").alias("yhat"))
 
 
 def train_rf_regressor(spark, sf):
-    df = synthetic.friedman(spark, 2000, 8)
-    names = [f"Feature_{k}" for k in range(8)]
-    model = forest.train(df, Hyperparameters(tree_type="regressor", n_estimators=8, max_depth=6, max_features=0.5), names)
-    return voting.regression_mean(forest.score(df, forest.node_table(model), names, "id"), "id")
+    """Prices of line items by quantity, discount and tax."""
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("Target"))
+    names = ["l_quantity", "l_discount", "l_tax"]
+    nodes = forest.grow_forest(df, Hyperparameters(**(forest.REGRESSOR | {"n_estimators": 4, "max_depth": 6})), names, "id").nodes
+    return voting.mean_from_sums(forest.vote_sums(df, nodes, names, "id", 1), "id")
+
+
+#: The query against SQL grows so many trees, so deep.
+EXACT_TREES, EXACT_DEPTH = 3, 3
+
+
+def grow_exact(spark, sf):
+    """The leaf (rows and share of class 1) in which every flow ends, in exact trees on bootstrap samples."""
+    df = _planted(spark, sf)
+    request = Hyperparameters(n_estimators=EXACT_TREES, max_depth=EXACT_DEPTH, max_features="all", min_samples_split=20)
+    nodes = forest.grow_forest(df, request, FEATURES, "event_id").nodes
+    return forest.score(df, nodes, FEATURES, "event_id").select("event_id", "tree_id", "support", F.round(F.element_at("dist", 2), 9).alias("p"))
+
+
+def _poisson(rate: float, u: str) -> str:
+    """SQL of forest.drawn for a uniform number."""
+    steps, below, term = [], 0.0, math.exp(-rate)
+    for k in range(1, forest.MOST_DRAWS + 1):
+        below += term
+        steps.append(below)
+        term *= rate / k
+    return " + ".join(f"({u} >= {x!r}::DOUBLE)::BIGINT" for x in steps)
+
+
+def _exact_sql() -> str:
+    """Levels of growth one after another: sums by value, running sums, the best cut of each node, and rows a step down."""
+    draws = f"SELECT t.range AS tree_id, f.*, ('0x' || substr(md5((123 + t.range)::VARCHAR || ':' || event_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM planted f, range({EXACT_TREES}) t"
+    columns = ", ".join(f"coalesce({f}::DOUBLE, 0.0) AS {f}" for f in FEATURES)
+    parts = [
+        f"""{FLOWS}, planted AS (SELECT event_id, {columns}, CASE WHEN event_id % 11 = 0 THEN 1 - hit ELSE hit END AS y FROM (SELECT *, (value > 60 AND hour >= 8)::BIGINT AS hit FROM flows)),
+  drawn AS ({draws}), n0 AS (SELECT *, {_poisson(1.0, 'u')} AS w, 1::BIGINT AS node FROM drawn)"""
+    ]
+    imp = lambda a, b: f"(({a} + {b}) - ({a} * {a} + {b} * {b}) / ({a} + {b}))"
+    for d in range(EXACT_DEPTH):
+        long = " UNION ALL ".join(f"SELECT tree_id, node, {i} AS f, {f} AS x, w, y FROM n{d} WHERE w > 0" for i, f in enumerate(FEATURES))
+        at = "CASE b.f " + " ".join(f"WHEN {i} THEN r.{f}" for i, f in enumerate(FEATURES)) + " END"
+        parts.append(f"""v{d} AS (SELECT tree_id, node, f, x, count(*) AS n, sum(w * (1 - y))::DOUBLE AS a, sum(w * y)::DOUBLE AS b FROM ({long}) GROUP BY ALL),
+  c{d} AS (SELECT tree_id, node, f, x, lead(x) OVER s AS nx, sum(a) OVER s AS la, sum(b) OVER s AS lb, sum(a) OVER g AS ta, sum(b) OVER g AS tb, sum(n) OVER g AS tn FROM v{d} WINDOW s AS (PARTITION BY tree_id, node, f ORDER BY x), g AS (PARTITION BY tree_id, node, f)),
+  b{d} AS (SELECT tree_id, node, f, CASE WHEN (x + nx) / 2 < nx THEN (x + nx) / 2 ELSE x END AS threshold FROM c{d} WHERE nx IS NOT NULL AND ta > 0 AND tb > 0 AND tn >= 20
+    QUALIFY row_number() OVER (PARTITION BY tree_id, node ORDER BY floor((1.0::DOUBLE - ({imp('la', 'lb')} + {imp('(ta - la)', '(tb - lb)')}) / {imp('ta', 'tb')}) * 1073741824.0::DOUBLE + 0.5::DOUBLE) DESC, f, (x + nx) / 2) = 1),
+  n{d + 1} AS (SELECT r.* REPLACE (CASE WHEN b.f IS NULL THEN r.node WHEN {at} <= b.threshold THEN 2 * r.node ELSE 2 * r.node + 1 END AS node) FROM n{d} r LEFT JOIN b{d} b ON r.tree_id = b.tree_id AND r.node = b.node)""")
+    last = f"n{EXACT_DEPTH}"
+    return "WITH " + ",\n  ".join(parts) + f""",
+  leaves AS (SELECT tree_id, node, count(*) AS support, round(sum(w * y)::DOUBLE / sum(w)::DOUBLE, 9) AS p FROM {last} WHERE w > 0 GROUP BY ALL)
+SELECT event_id, tree_id, support, p FROM {last} JOIN leaves USING (tree_id, node)"""
+
+
+#: Trees and sizes of the registered learning curve.
+CURVE_TREES, CURVE_STEPS = 40, list(range(5, 41, 5))
+
+
+def _many(spark):
+    """The literal trees over and over, with other thresholds: numbers 0 to CURVE_TREES - 1."""
+    rows = [(t, *r[1:3], None if r[3] is None else r[3] + t / 4, *r[4:7], None if r[7] is None else [1 - r[7], r[7]]) for t in range(CURVE_TREES) for r in TREES if r[0] == t % 3]
+    return spark.createDataFrame(rows, forest.NODES)
+
+
+def learning_curve(spark, sf):
+    df = flows(spark, sf)
+    times = F.array(*[forest.drawn(1.0, 123 + t, "event_id").cast("int") for t in range(CURVE_TREES)])
+    return forest.learning_curve(df, _many(spark), FEATURES, "event_id", "label", (list(range(CURVE_TREES)), times), CURVE_STEPS).withColumn("error", F.round("error", 9))
+
+
+_CURVE = f"""WITH RECURSIVE {FLOWS}, {NODES_SQL}, many AS (SELECT t.range AS tree_id, node_id, feature, threshold + t.range / 4.0::DOUBLE AS threshold, l, r, p FROM range({CURVE_TREES}) t JOIN nodes ON nodes.tree_id = t.range % 3),
+  walk AS (SELECT event_id, value, hour, k, label, tree_id, 0 AS node_id FROM flows, (SELECT DISTINCT tree_id FROM many)
+    UNION ALL SELECT w.event_id, w.value, w.hour, w.k, w.label, w.tree_id, CASE WHEN coalesce(CASE n.feature WHEN 0 THEN w.value WHEN 1 THEN w.hour ELSE w.k END, 0) <= n.threshold THEN n.l ELSE n.r END FROM walk w JOIN many n USING (tree_id, node_id) WHERE n.feature IS NOT NULL),
+  votes AS (SELECT w.event_id, w.label, w.tree_id, n.p FROM walk w JOIN many n USING (tree_id, node_id) WHERE n.feature IS NULL AND ('0x' || substr(md5((123 + w.tree_id)::VARCHAR || ':' || w.event_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE < {math.exp(-1.0)!r}::DOUBLE),
+  means AS (SELECT s.trees, event_id, label, avg(p) AS p FROM votes JOIN (SELECT unnest({CURVE_STEPS}) AS trees) s ON tree_id < s.trees GROUP BY ALL)
+SELECT trees::BIGINT AS trees, count(*) AS covered, round(count(*) FILTER ((p > 0.5) <> (label = 1)) / count(*)::DOUBLE, 9) AS error FROM means GROUP BY trees"""
 
 
 def gini_importance(spark, sf):
@@ -249,6 +321,8 @@ QUERIES = {
     "tree_seeds": (tree_seeds, "SELECT s.range AS shard, t.range AS tree, 123 + t.range AS central_seed, 123 + t.range + 1000 * s.range AS shard_seed FROM range(3) s, range(4) t"),
     "class_union": (class_union, f"WITH {FLOWS} SELECT DISTINCT label AS class FROM flows"),
     "balanced_weights": (balanced_weights, f"WITH {FLOWS} SELECT subtype, round((SELECT count(*) FROM flows) / ((SELECT count(DISTINCT subtype) FROM flows) * count(*))::DOUBLE, 6) AS weight FROM flows GROUP BY subtype"),
+    "grow_exact": (grow_exact, _exact_sql()),
+    "learning_curve": (learning_curve, _CURVE),
     "train_rf_classifier": (train_rf_classifier, None),
     "train_rf_regressor": (train_rf_regressor, None),
     "gini_importance": (gini_importance, None),
