@@ -1,7 +1,9 @@
 """Samples, splits, class rebalancing and shards, all by hash rank.
 
-Sizes are exact.  Ranks come from `exact_rank`, so a class or day with most of
-the rows is still ranked by many tasks.
+Sizes are exact.  Samples and splits compare each row with the hash at which
+its group's part ends (`first_by_hash`), so no row shuffles.  Shards need the
+ranks themselves: those come from `exact_rank`, which has a class or day with
+most of the rows ranked by many tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.cutoffs import first_by_hash
 from ..functions.hashing import exact_rank, unused, hash32
 
 #: Fixed values of the reference pipeline: share and seed of the test split, share of validation, rows kept of a day, shards of a classifier.
@@ -24,6 +27,12 @@ def ranked_by(df: DataFrame, key: str, by: tuple[str, ...], seed: int | str) ->
     return exact_rank(df, seed, key, by, r, s), r, s
 
 
+def first_rows(df: DataFrame, key: str, by: tuple[str, ...], seed: int | str, wanted) -> DataFrame:
+    """The first wanted(size) rows of each group by hash."""
+    (chosen,) = unused(df, "chosen")
+    return first_by_hash(df, seed, key, by, wanted, chosen).where(chosen).drop(chosen)
+
+
 def half_even(x: Column) -> Column:
     """Rounded to whole numbers, halves to even, as a long."""
     return F.bround(x.cast("double")).cast("long")
@@ -31,14 +40,12 @@ def half_even(x: Column) -> Column:
 
 def quota_sample(df: DataFrame, key: str, group: str, target: int, seed: int = SEED) -> DataFrame:
     """At most `target` rows of each group."""
-    ranked, r, s = ranked_by(df, key, (group,), seed)
-    return ranked.where(F.col(r) <= target).drop(r, s)
+    return first_rows(df, key, (group,), seed, lambda size: F.lit(target))
 
 
 def fraction_sample(df: DataFrame, key: str, group: str, fraction: float, seed: int = SEED) -> DataFrame:
     """The same share of each source, its number of rows rounded."""
-    ranked, r, s = ranked_by(df, key, (group,), seed)
-    return ranked.where(F.col(r) <= half_even(F.col(s) * fraction)).drop(r, s)
+    return first_rows(df, key, (group,), seed, lambda size: half_even(size * fraction))
 
 
 def day_fractions(df: DataFrame, group: str, target: int) -> DataFrame:
@@ -48,15 +55,14 @@ def day_fractions(df: DataFrame, group: str, target: int) -> DataFrame:
 
 def protected_rebalance(df: DataFrame, key: str, group: str, protected: list[str], is_benign: Column, target: int = DAY_TARGET, seed: int = SEED) -> DataFrame:
     """In protected groups all rows but benign ones stay, and benign ones up to the target; other groups keep up to the target of any."""
-    kind, g, others_n = unused(df, "__kind", "__group", "__others")
+    (kind,) = unused(df, "kind")
     mine = F.col(group).isin(protected)
-    rows = df.withColumn(kind, F.when(~mine, F.lit(0)).when(is_benign, F.lit(1)).otherwise(F.lit(2)))
-    others = df.where(mine & ~is_benign).groupBy(F.col(group).alias(g)).agg(F.count("*").alias(others_n))
-    ranked, r, s = ranked_by(rows, key, (group, kind), seed)
-    ranked = ranked.join(others, F.col(group) == F.col(g), "left")
-    room = F.greatest(F.lit(0), F.lit(target) - F.coalesce(others_n, F.lit(0)))
-    keep = F.when(F.col(kind) == 2, F.lit(True)).when(F.col(kind) == 1, F.col(r) <= room).otherwise(F.col(r) <= target)
-    return ranked.where(keep).drop(kind, r, s, g, others_n)
+    rows = df.withColumn(kind, F.when(~F.coalesce(mine, F.lit(False)), F.lit(0)).when(is_benign, F.lit(1)).otherwise(F.lit(2)))
+    others = df.where(mine & ~is_benign).groupBy(F.col(group)).agg(F.count("*")).collect()  # a row for each protected group
+    room = F.lit(target)
+    for name, n in others:
+        room = F.when(F.col(group) == F.lit(name), max(0, target - n)).otherwise(room)
+    return first_rows(rows, key, (group, kind), seed, lambda size: F.when(F.col(kind) == 2, size).when(F.col(kind) == 1, room).otherwise(target)).drop(kind)
 
 
 def distribution(df: DataFrame, group: str) -> DataFrame:
@@ -78,9 +84,9 @@ def stratified_split(df: DataFrame, key: str, target: str, share: float = TEST_S
 
 
 def split_by_rank(df: DataFrame, key: str, by: tuple[str, ...], share: float, seed: int | str, name: str = "split", held: str = "test", rest: str = "train") -> DataFrame:
-    ranked, r, s = ranked_by(df, key, by, seed)
-    chosen = (F.col(s) > 1) & (F.col(r) <= half_even(F.col(s) * share))
-    return ranked.withColumn(name, F.when(chosen, held).otherwise(rest)).drop(r, s)
+    (chosen,) = unused(df, "chosen")
+    rows = first_by_hash(df, seed, key, by, lambda size: F.when(size > 1, half_even(size * share)).otherwise(0), chosen)
+    return rows.withColumn(name, F.when(F.col(chosen), held).otherwise(rest)).drop(chosen)
 
 
 def random_split(df: DataFrame, key: str, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
@@ -109,9 +115,8 @@ def undersample(df: DataFrame, key: str, target: str, ratio: float, seed: int =
     if len(counts) < 2:
         raise ValueError("the minority is empty")
     major = max(counts, key=lambda k: (counts[k], -k))
-    ranked, r, s = ranked_by(df, key, (target,), seed)
     most = half_even(F.lit(float(counts[1 - major])) * ratio)
-    return ranked.where((F.col(target) != major) | (F.col(r) <= most)).drop(r, s)
+    return first_rows(df, key, (target,), seed, lambda size: F.when(F.col(target) == major, most).otherwise(size))
 
 
 def shard_iid(df: DataFrame, key: str, shards: int, seed: int = SEED) -> DataFrame:
@@ -166,20 +171,19 @@ def absolute_sample(df: DataFrame, key: str, target: str, rows: int, seed: int =
     total = df.count()
     if total <= rows:
         return df
-    ranked, r, s = ranked_by(df, key, (target,), seed)
-    return ranked.where(F.col(r) <= half_even(F.col(s) * (rows / total))).drop(r, s)
+    return first_rows(df, key, (target,), seed, lambda size: half_even(size * (rows / total)))
 
 
 def prediction_sample(df: DataFrame, key: str, rows: int = 5000, seed: int = 42) -> DataFrame:
     """At most so many rows, with sample_size and population_size."""
-    ranked, r, s = ranked_by(df, key, (), seed)
-    return ranked.where(F.col(r) <= rows).withColumns({"population_size": F.col(s), "sample_size": F.least(s, F.lit(rows).cast("long"))}).drop(r, s)
+    chosen, s = unused(df, "chosen", "size")
+    out = first_by_hash(df, seed, key, (), lambda size: F.lit(rows), chosen, s).where(chosen)
+    return out.withColumns({"population_size": F.col(s), "sample_size": F.least(s, F.lit(rows).cast("long"))}).drop(chosen, s)
 
 
 def discard_surplus(trees: DataFrame, target: int, key: str = "tree_id", seed: int = SEED) -> DataFrame:
     """A random `target` of the trees (or workers, or any keys)."""
-    ranked, r, s = ranked_by(trees, key, (), seed)
-    return ranked.where(F.col(r) <= target).drop(r, s)
+    return first_rows(trees, key, (), seed, lambda size: F.lit(target))
 
 
 def usable_size(df: DataFrame, shard: str, target: str, ratio: float, train_share: float = 1 - VALIDATION_SHARE) -> DataFrame:
