@@ -176,7 +176,7 @@ def _results(df: DataFrame, nodes: DataFrame, features: list[str], carry: list[s
     return out, len(groups) > 1
 
 
-def _left_out(b: pa.RecordBatch, at: int, numbers: list[int]) -> dict[int, np.ndarray]:
+def left_out(b: pa.RecordBatch, at: int, numbers: list[int]) -> dict[int, np.ndarray]:
     """For each tree, which rows of the batch it did not draw; the array at a column has a number for each of `numbers`."""
     times = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(numbers))
     return {t: times[:, i] == 0 for i, t in enumerate(numbers)}
@@ -217,7 +217,7 @@ def vote_sums(df: DataFrame, nodes: DataFrame, features: list[str], key: str, wi
     def each(own: packed.Trees, b: pa.RecordBatch, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         most = min(width, own.dist.shape[1])
         sums, weight, trees = np.zeros((b.num_rows, width)), np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-        votes = _left_out(b, len(names), numbers) if numbers else None
+        votes = left_out(b, len(names), numbers) if numbers else None
         for tree in own.roots:
             rows = slice(None) if votes is None else np.flatnonzero(votes[tree])
             at = own.leaf(tree, x[rows])
@@ -283,7 +283,7 @@ def learning_curve(df: DataFrame, nodes: DataFrame, features: list[str], key: st
     several = len(packed.groups(nodes)) > 1
 
     def each(own: packed.Trees, b: pa.RecordBatch, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        votes, sums, count = _left_out(b, 2, numbers), np.zeros((b.num_rows, n)), np.zeros((b.num_rows, n))
+        votes, sums, count = left_out(b, 2, numbers), np.zeros((b.num_rows, n)), np.zeros((b.num_rows, n))
         for tree in own.roots:
             rows = np.flatnonzero(votes[tree])
             first = int(np.searchsorted(by_step, tree, "right"))  # the first step that takes the tree in
@@ -403,7 +403,7 @@ def search(df: DataFrame, features: list[str], key: str, target: str, trials: in
             return features
         if max_features not in selector.cache:
             grown = grow_forest(df, Hyperparameters(n_estimators=PRELIMINARY, max_depth=depth, target_column=target, max_features=max_features), features, key, seed)
-            found = permutation_importance(df, grown.nodes, tree_weights(df, grown, key), features, key, target, seed)
+            found = permutation_importance(df, grown.nodes, grown.out_of, features, key, target, seed)
             selector.fit(df, features, {r["feature"]: r["importance"] or 0.0 for r in found.collect()}, max_features)
         return selector.cache[max_features]["kept"] or features
 

@@ -98,13 +98,42 @@ def test_ward_and_selection(spark):
 def test_permutation_importance_finds_the_signal(spark):
     df = planted(spark, 600)
     nodes = forest.node_table(forest.train(df, Hyperparameters(n_estimators=3, max_depth=3, max_features="all"), NAMES))
-    weights = forest.bootstrap_weights(df, "id", 3, 1.0)
+    out_of = ([0, 1, 2], F.array(*[forest.drawn(1.0, t, "id").cast("int") for t in range(3)]))
     nodes = nodes.withColumn("dist", F.when(F.col("dist").isNotNull() & (F.col("support") < 3), F.array(F.lit(0.5), F.lit(0.5))).otherwise(F.col("dist")))
     noisy = df.withColumn("Label", F.when(F.col("id") % 20 == 0, 1 - F.col("Label")).otherwise(F.col("Label")))
-    got = {r.feature: r.importance for r in selection.permutation_importance(noisy, nodes, weights, NAMES, "id", "Label").collect()}
+    got = {r.feature: r.importance for r in selection.permutation_importance(noisy, nodes, out_of, NAMES, "id", "Label").collect()}
     assert min(got["x0"], got["x1"]) > 50 > max(abs(got["x2"]), abs(got["x3"]))
 
 
+def test_permuted_values_are_a_cycle_in_one_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(selection, "BUCKET_ROWS", 40)
+    spark.range(500).withColumn("v", F.col("id") * 2).withColumn("h", F.lit(1)).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = selection.with_next(df, "s", "id", ["v"], ["w"])
+    rows = {r.id: r.w // 2 for r in out.collect()}
+    order = [r.id for r in df.orderBy(forest.hash32("s", "id"), "id").collect()]
+    assert rows == dict(zip(order, order[1:] + order[:1], strict=True))
+    wide = df.withColumns({f"c{i}": F.col("v") + i for i in range(30)})
+    plans = [selection.with_next(d, "s", "id", c, [f"n_{x}" for x in c])._jdf.queryExecution().executedPlan().toString() for d, c in ((df, ["v"]), (wide, [f"c{i}" for i in range(30)]))]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
+    assert selection.with_next(df.limit(1), "s", "id", ["v"], ["w"]).first().w == df.limit(1).first().v
+
+
+def test_spearman_ranks_pairs_over_the_rows_that_they_have(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(k % 7), None if k % 5 == 0 else float(rng.integers(0, 9)), None if k % 3 == 1 else float(rng.normal()), 1.0) for k in range(120)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(4)
+    want = df.toPandas().corr(method="spearman")
+    for r in selection.spearman(df, ["a", "b", "c", "d"]).collect():
+        expected = want.loc[r.a, r.b]
+        assert (r.rho is None and "d" in (r.a, r.b)) or math.isclose(r.rho, expected, abs_tol=1e-9)
+    few = spark.createDataFrame([(1, 2), (2, None), (3, 1), (4, 5)], "a int, b int")
+    assert {(r.a, r.b): round(r.rho, 9) for r in selection.spearman(few, ["a", "b"]).collect()} == {("a", "a"): 1.0, ("a", "b"): 0.5, ("b", "b"): 1.0}
+    assert selection.spearman(df.limit(0), ["a", "b"]).where("rho is null").count() == 3
+    plans = [selection.spearman(df.na.fill(0.0), c)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for c in (["a"], ["a", "b", "c", "d"])]
+    assert plans[0] == plans[1]
+
+
 def test_federated(spark):
     df = planted(spark).withColumn("shard_id", F.col("id") % 3)
     parts = federated.prepare_shards(df, "id", "shard_id", "Label", 1.0)
