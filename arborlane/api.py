@@ -206,6 +206,8 @@ class Engine:
     def baseline(self, request: TrainingRequest, trials: int = 5, space: dict | None = None, depth: int | None = None, select: bool = False) -> dict:
         """Tunes on the request's table, out of bag; a job of the same id trains on the features kept.
 
+        Trials are kept as a table; a search that was lost goes on after them.
+
         select: each max_features has features of its own, chosen by out-of-bag
         permutation importance, which scores all rows once for each feature.
         """
@@ -213,7 +215,7 @@ class Engine:
         h = request.hyperparameters
         features = [c for c, k in df.dtypes if c not in ("row_id", h.target) and k in ("double", "float", "int", "bigint")]
         chooser, mark = selection.Selector() if select else None, scratch_mark()
-        ranked = forest.search(df, features, "row_id", h.target, trials, request.seed, space, depth, chooser)
+        ranked = forest.search(df, features, "row_id", h.target, trials, request.seed, space, depth, chooser, self._path("trials", request.job_id))
         purge_scratch(self.spark, mark)
         found = chooser.cache[ranked[0][1].get("max_features", "sqrt")] if chooser else None
         manifest = {"hyperparameters": ranked[0][1], "f1": ranked[0][0], "features": (found and found["kept"]) or features, "selection": found}

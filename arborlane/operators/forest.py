@@ -7,6 +7,7 @@ probabilities, or one value).  Rows go left where x <= threshold.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import exact_rank, hash32, uniform, unused
 from ..schemas import Hyperparameters
-from ..session import shared_folder
+from ..session import exists, shared_folder
 from . import packed
 from .clean import separate
 
@@ -383,20 +384,26 @@ def out_of_bag(df: DataFrame, grown: Grown, features: list[str], key: str, targe
     return from_sums(voted, key, [0, 1], carry=(y,)).select(key, F.element_at("probs", 2).alias("p"), F.col("yhat").cast("long").alias("yhat"), F.col(y).alias("y"))
 
 
-def search(df: DataFrame, features: list[str], key: str, target: str, trials: int = 60, seed: int = 123, space: dict | None = None, depth: int | None = None, selector=None) -> list[tuple[float, dict]]:
-    """Random search: (out-of-bag F1, settings), the best first; settings are drawn by hash and each is fitted once, on all rows.
+TRIALS = "trial long, setting string, score double"
 
-    With a `selection.Selector` each value of max_features has features of its
-    own, chosen once by a preliminary forest's out-of-bag permutation
-    importance; its `cache` keeps the choices.
+
+def search(df: DataFrame, features: list[str], key: str, target: str, trials: int = 60, seed: int = 123, space: dict | None = None, depth: int | None = None, selector=None, table: str | None = None) -> list[tuple[float, dict]]:
+    """(out-of-bag F1, settings) of so many trials, the best first; `tpe.suggest` names each from those before it.
+
+    table: a folder that takes each trial when it is scored; a search that was
+    lost goes on after the trials there.  With a `selection.Selector` each
+    value of max_features has features of its own, chosen once by a preliminary
+    forest's out-of-bag permutation importance; its `cache` keeps the choices.
     """
     from .metrics import binary_metrics
     from .selection import permutation_importance
+    from .tpe import suggest
 
-    space = space or SEARCH
-    total = int(np.prod([len(v) for v in space.values()]))
-    order = np.random.default_rng(seed).permutation(total)[:trials]
-    df = df.select(*[F.col(f"`{c}`") for c in (key, *features, target)]).persist()
+    spark, space = df.sparkSession, space or SEARCH
+    df = df.select(*[F.col(f"`{c}`") for c in (key, *features, target)])
+    history: list[tuple[dict, float]] = []
+    if table and exists(spark, table):
+        history = [(json.loads(r.setting), r.score) for r in spark.read.schema(TRIALS).json(table).orderBy("trial").limit(trials).collect()]
 
     def chosen(max_features: str) -> list[str]:
         if selector is None:
@@ -407,15 +414,13 @@ def search(df: DataFrame, features: list[str], key: str, target: str, trials: in
             selector.fit(df, features, {r["feature"]: r["importance"] or 0.0 for r in found.collect()}, max_features)
         return selector.cache[max_features]["kept"] or features
 
-    out = []
-    for k in order.tolist():
-        setting = {}
-        for name, values in space.items():
-            k, at = divmod(k, len(values))
-            setting[name] = values[at]
+    while len(history) < trials and (setting := suggest(history, space, seed)) is not None:
         own = chosen(setting.get("max_features", "sqrt"))
         grown = grow_forest(df, Hyperparameters(max_depth=depth, target_column=target, **setting), own, key, seed)
         f1 = binary_metrics(out_of_bag(df, grown, own, key, target)).first()["f1"]
-        out.append((f1, setting))
-    df.unpersist()
-    return sorted(out, key=lambda x: (-x[0], str(x[1])))
+        if table:
+            spark.createDataFrame([(len(history), json.dumps(setting), f1)], TRIALS).coalesce(1).write.mode("append").json(table)
+        history.append((setting, f1))
+    if selector is not None and history:  # the best trial's features, also where its trial was read back
+        chosen(max(history, key=lambda t: t[1])[0].get("max_features", "sqrt"))
+    return sorted([(score, setting) for setting, score in history], key=lambda x: (-x[0], str(x[1])))

@@ -48,6 +48,11 @@ def scratch_mark() -> int:
     return len(_made)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Deletes a scratch folder that no plan reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -157,6 +157,16 @@ def test_search(spark):
     assert len(found) == 2 and found[0][0] >= found[1][0]
 
 
+def test_a_lost_search_goes_on(spark, tmp_path, monkeypatch):
+    space, scored = {"n_estimators": [1, 2, 3]}, []
+    real = forest.out_of_bag
+    monkeypatch.setattr(forest, "out_of_bag", lambda *a: scored.append(1) or real(*a))
+    df, table = planted(spark, 200), str(tmp_path / "trials")
+    first = forest.search(df, NAMES, "id", "Label", 2, space=space, depth=2, table=table)
+    whole = forest.search(df, NAMES, "id", "Label", 9, space=space, depth=2, table=table)
+    assert len(first) == 2 and len(whole) == 3 == len(scored) and set(map(str, first)) <= set(map(str, whole))
+
+
 def test_trees_vote_for_the_rows_that_they_did_not_draw(spark):
     df = planted(spark, 2000)
     times = df.select(forest.drawn(0.5, "s", "id").alias("n")).groupBy("n").count().collect()
