@@ -11,6 +11,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import exact_rank, hash32, uniform, unused
+from ..functions.ranking import running_sums
 from ..schemas import Hyperparameters
 from ..session import exists, shared_folder
 from . import packed
@@ -64,19 +66,25 @@ def best_splits(df: DataFrame, features: list[str], target: str, kind: str = "gi
     """For each feature (and node) the threshold of largest gain, halfway between two values, and the gain; the lowest threshold among equals.
 
     One row for each feature and distinct value is summed first; running sums
-    are over those.  Exact: no bins.
+    go by ranges of values, and a value finds the next one by the rows before
+    it.  Exact: no bins, and no task has all values of a feature.
     """
     by = [node] if node else []
-    y = F.col(target).cast("double")
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("f")
-    values = df.select(*by, y.alias("__y"), pairs).groupBy(*by, "f.feature", "f.x").agg(F.count("*").alias("n"), F.sum("__y").alias("s"), F.sum(F.col("__y") * F.col("__y")).alias("ss")).where("x is not null")
-    group = W.partitionBy(*by, "feature")  # distinct values of a feature
-    so_far = group.orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    runs = values.select(*by, "feature", "x", F.lead("x").over(group.orderBy("x")).alias("next"), *[F.sum(c).over(so_far).alias(f"l{c}") for c in ("n", "s", "ss")], *[F.sum(c).over(group).alias(f"t{c}") for c in ("n", "s", "ss")]).where("next is not null")
+    y, n, s, ss, x, f = unused(df, "y", "n", "s", "ss", "x", "feature")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias(f), F.col(f"`{c}`").cast("double").alias(x)) for c in features])).alias("pair")
+    long = df.select(*by, F.col(f"`{target}`").cast("double").alias(y), pairs).select(*by, y, "pair.*").where(F.col(x).isNotNull())
+    values = long.groupBy(*by, f, x).agg(F.count("*").alias(n), F.sum(y).alias(s), F.sum(F.col(y) * F.col(y)).alias(ss))
+    runs = running_sums(values, x, {"ln": n, "ls": s, "lss": ss}, by=(*by, f))
+    totals = values.groupBy(*by, f).agg(F.sum(n).alias("tn"), F.sum(s).alias("ts"), F.sum(ss).alias("tss"))
+    after = runs.select(*[F.col(c).alias(f"after_{i}") for i, c in enumerate((*by, f))], F.col(x).alias("next"), (F.col("ln") - F.col(n)).alias("before"))
+    meets = [F.col(c).eqNullSafe(F.col(f"after_{i}")) for i, c in enumerate((*by, f))]
+    same = [F.col(c).eqNullSafe(F.col(f"of_{i}")) for i, c in enumerate((*by, f))]
+    totals = totals.select(*[F.col(c).alias(f"of_{i}") for i, c in enumerate((*by, f))], "tn", "ts", "tss")
+    runs = runs.join(after, reduce(lambda a, b: a & b, meets) & (F.col("ln") == F.col("before"))).join(F.broadcast(totals) if node is None else totals, reduce(lambda a, b: a & b, same))
     c = {k: F.col(k) for k in ("ln", "ls", "lss", "tn", "ts", "tss")}
     rn, rs, rss = c["tn"] - c["ln"], c["ts"] - c["ls"], c["tss"] - c["lss"]
     gain = impurity(kind, c["tn"], c["ts"], c["tss"]) - (c["ln"] * impurity(kind, c["ln"], c["ls"], c["lss"]) + rn * impurity(kind, rn, rs, rss)) / c["tn"]
-    scored = runs.select(*by, "feature", ((F.col("x") + F.col("next")) / 2).alias("threshold"), F.round(gain, 9).alias("gain"))
+    scored = runs.select(*by, F.col(f).alias("feature"), ((F.col(x) + F.col("next")) / 2).alias("threshold"), F.round(gain, 9).alias("gain"))
     return scored.groupBy(*by, "feature").agg(F.min_by(F.struct("threshold", "gain"), F.struct(-F.col("gain"), F.col("threshold"))).alias("b")).select(*by, "feature", "b.*")
 
 

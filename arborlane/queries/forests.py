@@ -305,7 +305,10 @@ QUERIES = {
         f"WITH RECURSIVE {SCORE_SQL} SELECT event_id, count(*) AS trees, round(avg(p), 9) AS mean, round(coalesce(sum(p * least(support, 50)) / nullif(sum(least(support, 50)), 0), 0), 9) AS weighted FROM votes GROUP BY event_id",
     ),
     "class_alignment": (class_alignment, f"WITH RECURSIVE {SCORE_SQL} SELECT 0::BIGINT AS class, round(sum(1 - p), 6) AS total FROM votes UNION ALL SELECT 1, 0 UNION ALL SELECT 2, round(sum(p), 6) FROM votes"),
-    "ensemble_status": (ensemble_status, "SELECT 2::BIGINT AS found, 3::BIGINT AS expected, 'PARTIAL' AS status"),
+    "ensemble_status": (
+        ensemble_status,
+        f"WITH RECURSIVE {SCORE_SQL} SELECT count(DISTINCT tree_id) AS found, 3::BIGINT AS expected, CASE WHEN count(DISTINCT tree_id) = 0 THEN 'FAILED' WHEN count(DISTINCT tree_id) < 3 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM votes WHERE tree_id < 2",
+    ),
     "pooled_results": (pooled_results, f"WITH {FLOWS} SELECT user_id % 3 AS worker, count(*) AS n, 0::BIGINT AS with_p FROM flows GROUP BY 1"),
     "bootstrap_weights": (bootstrap_weights, f"WITH {_BOOT} SELECT tree_id, event_id, weight FROM weights"),
     "oob_metrics": (

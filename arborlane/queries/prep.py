@@ -198,6 +198,23 @@ def worker_subset(spark, sf):
     return sampling.discard_surplus(workers, 5, "worker", 7)
 
 
+def _gaps(spark, sf):
+    """Flows with values missing here and there."""
+    df = flows(spark, sf)
+    return df.select(F.when(F.col("event_id") % 7 > 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 5 > 0, F.col("hour")).alias("hour"), "k")
+
+
+def spearman_nulls(spark, sf):
+    return selection.spearman(_gaps(spark, sf), ["value", "hour", "k"]).select("a", "b", F.round("rho", 6).alias("rho"))
+
+
+_GAPS = FLOWS + ", gaps AS (SELECT CASE WHEN event_id % 7 > 0 THEN value END AS value, CASE WHEN event_id % 5 > 0 THEN hour END AS hour, k FROM flows)"
+_PAIRS = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0::DOUBLE AS rb FROM gaps WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    for a, b in (("value", "value"), ("value", "hour"), ("value", "k"), ("hour", "hour"), ("hour", "k"), ("k", "k"))
+)
+
+
 def spearman_matrix(spark, sf):
     return selection.spearman(flows(spark, sf), ["value", "hour", "k"]).select("a", "b", F.round("rho", 6).alias("rho"))
 
@@ -288,6 +305,7 @@ QUERIES = {
     "round_steps": (round_steps, "SELECT range AS step, range * 30 AS first, least(100, range * 30 + 30)::BIGINT AS last FROM range(4)"),
     "discard_trees": (discard_trees, f"SELECT range AS tree_id FROM range(50) QUALIFY {rank('123', 'range')} <= 12"),
     "worker_subset": (worker_subset, f"WITH {FLOWS}, w AS (SELECT DISTINCT user_id % 20 AS worker FROM flows) SELECT worker FROM w QUALIFY {rank('7', 'worker')} <= 5"),
+    "spearman_nulls": (spearman_nulls, f"WITH {_GAPS} {_PAIRS}"),
     "spearman_matrix": (
         spearman_matrix,
         f"""WITH {FLOWS}, {_RANKS}, j AS (SELECT avg_value.r AS value, avg_hour.r AS hour, avg_k.r AS k FROM flows JOIN avg_value USING (value) JOIN avg_hour USING (hour) JOIN avg_k USING (k))

@@ -53,6 +53,8 @@ def test_curves_sum_scores_before_they_sort(spark, sf):
     assert text.index("Window") < text.index("HashAggregate")  # the aggregate lies below the window
 
 
-def test_split_search_takes_one_scan(spark, sf):
+def test_no_window_holds_all_values_of_a_feature(spark, sf):
     text = plan(forest.best_splits(spark.read.parquet(f"{sf}/events.parquet").withColumn("y", F.lit(1)), ["value", "user_id"], "y"))
-    assert text.count("FileScan") == 1
+    assert "SinglePartition" not in text
+    by_value = re.findall(r"windowspecdefinition\(([^)]*?), x#\d+ ASC", text)
+    assert by_value and all("__p#" in spec and "__g#" in spec for spec in by_value)  # ranges within a feature
