@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,9 +110,48 @@ def chunk_sample(df: DataFrame, source: str, row: str, fraction: float, seed: in
 
 
 def count_rows(spark: SparkSession, sources: list[str]) -> DataFrame:
-    """source and n, data lines without the header."""
-    files = scan_csv(spark, sources).groupBy(F.input_file_name().alias("source")).agg(F.count("*").alias("n"))
-    return files
+    """source (a file) and n, its records without the header; one job for all, and no column is parsed.
+
+    A record ends at a line end outside quotes; a doubled or backslashed quote
+    closes nothing, and blank lines aren't records.  Files are read by blocks:
+    each block counts the records that end in it both ways, as if it began
+    outside and inside quotes, and the quotes before say which count holds.
+    """
+    for p in sources:
+        if "*" not in p and not exists(spark, p):
+            raise FileNotFoundError(p)
+    text = F.regexp_replace("value", r"\\.", "")
+    quotes = F.length(text) - F.length(F.translate(text, '"', ""))
+    lines = spark.read.text(sources).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("at"), (quotes % 2).cast("byte").alias("odd"), (F.trim("value") == "").alias("blank"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, inside, outside_n, inside_n = None, 0, 0, 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in (*block, inside, outside_n, inside_n)], ["source", "at", "odd", "outside_n", "inside_n"])
+
+        for b in batches:
+            source, at = b.column(0).to_pylist(), b.column(1).to_numpy()
+            odd, blank = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy(zero_copy_only=False)
+            edges = [0, *[i for i in range(1, len(source)) if source[i] != source[i - 1] or at[i] != at[i - 1]], len(source)]
+            for first, end in zip(edges, edges[1:], strict=False):
+                if block != (source[first], int(at[first])):
+                    if block:
+                        yield row()
+                    block, inside, outside_n, inside_n = (source[first], int(at[first])), 0, 0, 0
+                after = (inside + np.cumsum(odd[first:end])) % 2  # inside quotes at each line's end, had the block begun outside
+                empty = blank[first:end] & (odd[first:end] == 0)
+                outside_n += int(((after == 0) & ~empty).sum())
+                inside_n += int(((after == 1) & ~empty).sum())
+                inside = int(after[-1])
+        if block:
+            yield row()
+
+    blocks = lines.mapInArrow(run, "source string, at long, odd long, outside_n long, inside_n long")
+    before = W.partitionBy("source").orderBy("at").rowsBetween(W.unboundedPreceding, -1)  # a row for each block of a file
+    blocks = blocks.withColumn("began", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    records = F.sum(F.when(F.col("began") == 0, F.col("outside_n")).otherwise(F.col("inside_n"))) + F.sum("odd") % 2  # a quote left open ends with the file
+    return blocks.groupBy("source").agg(F.greatest(records - 1, F.lit(0)).cast("long").alias("n"))
 
 
 def count_parquet(spark: SparkSession, path: str) -> int:
@@ -117,11 +160,14 @@ def count_parquet(spark: SparkSession, path: str) -> int:
 
 
 def cached_counts(spark: SparkSession, sources: list[str], cache: str) -> dict[str, int]:
-    """Rows of each source from a JSON table; only sources that it lacks are counted, and added."""
+    """Rows of each source from a JSON table; only sources that it lacks are counted, in one job, and added."""
     known = {r.source: r.n for r in spark.read.schema("source string, n long").json(cache).collect()} if exists(spark, cache) else {}
     lacking = [s for s in sources if s not in known]
     if lacking:
-        fresh = [(s, scan_csv(spark, [s]).count()) for s in lacking]
+        found = {r.source: r.n for r in count_rows(spark, lacking).collect()}  # a row for each file
+        names = {s: _fs(spark, s)[0].makeQualified(_fs(spark, s)[1]).toUri().getPath() for s in lacking}
+        of = [(urlsplit(f).path if "://" in f else f.split(":", 1)[-1], n) for f, n in found.items()]
+        fresh = [(s, sum(n for f, n in of if unquote(f) == names[s] or unquote(f).startswith(names[s] + "/"))) for s in lacking]
         spark.createDataFrame(fresh, "source string, n long").coalesce(1).write.mode("append").json(cache)
         known |= dict(fresh)
     return {s: known[s] for s in sources}
