@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hashing import unused
+
 #: Fixed values of the reference: other names of metrics.
 ALIASES = {"f1": "f1_score", "roc_auc": "auc", "mean_squared_error": "mse"}
 
@@ -15,6 +17,25 @@ def scan_reports(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder).withColumn("path", F.input_file_name())
 
 
+def save_reports(runs: DataFrame, folder: str) -> None:
+    """A JSON document a run, each a file; federated runs nest all but name and mode under `results`, as their reports do."""
+    rest = [c for c in runs.columns if c not in ("run", "mode")]
+    nested = F.to_json(F.struct("run", "mode", F.struct(*rest).alias("results")))
+    flat = F.to_json(F.struct(*runs.columns))
+    runs.select("run", F.when(F.col("mode") == "federated", nested).otherwise(flat).alias("value")).write.mode("overwrite").partitionBy("run").text(folder)
+
+
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """path and doc (a variant) of every report below a folder, whatever its shape; what isn't JSON has a null doc."""
+    text = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
+    return text.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
+
+
+def report_field(name: str, kind: str, doc: str = "doc") -> Column:
+    """A field of a report, at its top or under `results`; null where it is missing or of another kind."""
+    return F.coalesce(F.try_variant_get(F.col(doc), f"$.{name}", kind), F.try_variant_get(F.col(doc), f"$.results.{name}", kind)).alias(name)
+
+
 def mode_of(name: Column) -> Column:
     """From a file's name: federated, centralized or unknown."""
     low = F.lower(name)
@@ -38,11 +59,11 @@ def fingerprints(runs: DataFrame) -> DataFrame:
 
 def best_runs(runs: DataFrame, environment_first: bool = True) -> DataFrame:
     """One run for each mode: by environment (cloud first) and coverage, or the other way round, then scenarios, then time."""
-    cloud = F.when(F.col("environment") == "cloud", 1).otherwise(0)
-    first = [F.desc("__cloud"), F.desc("coverage")] if environment_first else [F.desc("coverage"), F.desc("__cloud")]
-    rows = runs.withColumn("__cloud", cloud)
+    cloud = F.when(F.col("environment") == "cloud", 1).otherwise(0).desc()
+    first = [cloud, F.desc("coverage")] if environment_first else [F.desc("coverage"), cloud]
+    (n,) = unused(runs, "n")
     w = W.partitionBy("mode").orderBy(*first, F.desc("scenarios"), F.desc("mtime"), "run")
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__cloud")
+    return runs.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def first_available(metrics: DataFrame, priority: list[str]) -> DataFrame:

@@ -163,7 +163,8 @@ def _split_sql(target: str, kind: str, features: list[str]) -> str:
 
 
 def tree_seeds(spark, sf):
-    rows = [(s, t, sampling.tree_seed(123, t), sampling.tree_seed(123, t, s)) for s in range(3) for t in range(4)]
+    found = flows(spark, sf).select(F.col("user_id") % 3, F.col("user_id") % 4).distinct().collect()  # a shard and a tree each
+    rows = [(s, t, sampling.tree_seed(123, t), sampling.tree_seed(123, t, s)) for s, t in found]
     return spark.createDataFrame(rows, "shard long, tree long, central_seed long, shard_seed long")
 
 
@@ -270,11 +271,11 @@ def federated_train(spark, sf):
 
 
 def friedman1(spark, sf):
-    return synthetic.friedman(spark, 1000, 6)
+    return synthetic.friedman(spark, flows(spark, sf).count(), 6)  # a row for each flow
 
 
 def synthetic_classification(spark, sf):
-    return synthetic.classification(spark, 1000, 12)
+    return synthetic.classification(spark, flows(spark, sf).count(), 12)
 
 
 def separate_features(spark, sf):
@@ -324,7 +325,7 @@ QUERIES = {
     "best_split_gini": (best_split_gini, _split_sql("label", "gini", FEATURES)),
     "best_split_entropy": (best_split_entropy, _split_sql("label", "entropy", FEATURES)),
     "best_split_variance": (best_split_variance, _split_sql("value", "variance", ["hour", "k"])),
-    "tree_seeds": (tree_seeds, "SELECT s.range AS shard, t.range AS tree, 123 + t.range AS central_seed, 123 + t.range + 1000 * s.range AS shard_seed FROM range(3) s, range(4) t"),
+    "tree_seeds": (tree_seeds, f"WITH {FLOWS}, p AS (SELECT DISTINCT user_id % 3 AS shard, user_id % 4 AS tree FROM flows) SELECT shard, tree, 123 + tree AS central_seed, 123 + tree + 1000 * shard AS shard_seed FROM p"),
     "class_union": (class_union, f"WITH {FLOWS} SELECT DISTINCT label AS class FROM flows"),
     "balanced_weights": (balanced_weights, f"WITH {FLOWS} SELECT subtype, round((SELECT count(*) FROM flows) / ((SELECT count(DISTINCT subtype) FROM flows) * count(*))::DOUBLE, 6) AS weight FROM flows GROUP BY subtype"),
     "grow_exact": (grow_exact, _exact_sql()),

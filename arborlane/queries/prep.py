@@ -5,27 +5,24 @@ from pyspark.sql import functions as F
 from ..operators import clean, metrics, sampling, selection
 from .base import FLOWS, flows, h, rank, size
 
-RAW = [
-    (1, "Benign", "1.5", "0.5", "2", "7", "10.0.0.1", "10"),
-    (2, "Bot", "0.25", "0", "1", "0", "10.0.0.2", "20"),
-    (3, "Label", "Flow IAT Std", "Flow IAT Mean", "SYN", "ACK", "Src IP", "Airport_Score"),
-    (4, None, "NaN", "1", "1", "1", "10.0.0.4", "30"),
-    (5, " Benign ", "Infinity", "1", "0", "3", "10.0.0.5", "40"),
-    (6, "DoS", "abc", "2", "4", "1", "10.0.0.6", "50"),
-    (7, "Benign", "3", "4", "9", "2", "10.0.0.7", "60"),
-    (8, "Bot", "8", "2", "5", "-1", "10.0.0.8", "70"),
-]
-_COLUMNS = ["id", "Label", "std", "mean", "syn", "ack", "Src IP", "Score"]
-_VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in RAW)
-RAW_SQL = f"raw AS (SELECT * FROM (VALUES {_VALUES}) AS t(id, \"Label\", std, mean, syn, ack, \"Src IP\", \"Score\"))"
-
-
-def raw(spark):
-    return spark.createDataFrame(RAW, "id long, Label string, std string, mean string, syn string, ack string, `Src IP` string, Score string")
-
-
-def _numbers(spark):
-    df = clean.drop_header_rows(raw(spark))
+def raw(spark, sf):
+    """Events as an untidy text table: repeated headers, lost labels, words and infinities among numbers."""
+    df, e = flows(spark, sf), F.col("event_id")
+    header = e % 13 == 0
+    text = lambda c: F.when(header, "header").otherwise(c)
+    label = F.when(header, "Label").when(e % 13 == 1, None).when(e % 13 == 2, " Benign ").when(F.col("label") == 1, "Bot").otherwise("Benign")
+    std = F.when(e % 17 == 0, "NaN").when(e % 17 == 1, "Infinity").when(e % 17 == 2, "abc").otherwise(F.floor(F.col("value") * 4).cast("string"))
+    return df.select(e.alias("id"), label.alias("Label"), text(std).alias("std"), text(F.col("hour").cast("string")).alias("mean"), text(F.col("k").cast("string")).alias("syn"), text((F.col("user_id") % 5 - 1).cast("string")).alias("ack"), F.concat(F.lit("10.0.0."), F.col("user_id") % 200).alias("Src IP"), text((F.col("hour") * 10).cast("string")).alias("Score"))
+
+
+RAW_SQL = FLOWS + """, raw AS (SELECT event_id AS id, CASE event_id % 13 WHEN 0 THEN 'Label' WHEN 1 THEN NULL WHEN 2 THEN ' Benign ' ELSE CASE WHEN label = 1 THEN 'Bot' ELSE 'Benign' END END AS "Label",
+  CASE WHEN event_id % 13 = 0 THEN 'header' ELSE CASE event_id % 17 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN 'abc' ELSE floor(value * 4)::BIGINT::VARCHAR END END AS std,
+  CASE WHEN event_id % 13 = 0 THEN 'header' ELSE hour::VARCHAR END AS mean, CASE WHEN event_id % 13 = 0 THEN 'header' ELSE k::VARCHAR END AS syn,
+  CASE WHEN event_id % 13 = 0 THEN 'header' ELSE (user_id % 5 - 1)::VARCHAR END AS ack, '10.0.0.' || (user_id % 200) AS "Src IP", CASE WHEN event_id % 13 = 0 THEN 'header' ELSE (hour * 10)::VARCHAR END AS "Score" FROM flows)"""
+
+
+def _numbers(spark, sf):
+    df = clean.drop_header_rows(raw(spark, sf))
     names = {"std": "Flow IAT Std", "mean": "Flow IAT Mean", "syn": "SYN Flag Cnt", "ack": "ACK Flag Cnt"}
     df = clean.drop_metadata(df).withColumnsRenamed(names).withColumns({"Fwd IAT Std": F.col("Flow IAT Std"), "Fwd IAT Mean": F.col("Flow IAT Mean")})
     return clean.derive(clean.coerce_numeric(df, keep=("Label", "id")))
@@ -36,21 +33,21 @@ _NUMBERS = RAW_SQL + """, numbers AS (SELECT id, trim("Label") AS label, TRY_CAS
 
 
 def coerce_numeric(spark, sf):
-    df = clean.coerce_numeric(clean.drop_metadata(clean.drop_header_rows(raw(spark))), keep=("Label", "id"))
+    df = clean.coerce_numeric(clean.drop_metadata(clean.drop_header_rows(raw(spark, sf))), keep=("Label", "id"))
     return df.select("id", F.col("Label").alias("label"), F.nanvl("std", F.lit(-1.0)).alias("std"), "mean", "syn", "ack", F.col("Score").alias("score"))
 
 
 def derive_ratios(spark, sf):
-    return _numbers(spark).select("id", F.nanvl("Flow IAT CV", F.lit(-1.0)).alias("flow_cv"), F.nanvl("Fwd IAT CV", F.lit(-1.0)).alias("fwd_cv"), F.col("SYN_ACK_Ratio").alias("syn_ack"))
+    return _numbers(spark, sf).select("id", F.nanvl("Flow IAT CV", F.lit(-1.0)).alias("flow_cv"), F.nanvl("Fwd IAT CV", F.lit(-1.0)).alias("fwd_cv"), F.col("SYN_ACK_Ratio").alias("syn_ack"))
 
 
 def drop_invalid(spark, sf):
-    df = _numbers(spark)
+    df = _numbers(spark, sf)
     return clean.drop_invalid(df).select("id", clean.binarise("Label").cast("long").alias("label"))
 
 
 def process_pipeline(spark, sf):
-    df = clean.trim_columns(raw(spark).withColumnRenamed("Label", " label "))
+    df = clean.trim_columns(raw(spark, sf).withColumnRenamed("Label", " label "))
     df = clean.drop_header_rows(clean.rename_target(df))
     names = {"std": "Flow IAT Std", "mean": "Flow IAT Mean", "syn": "SYN Flag Cnt", "ack": "ACK Flag Cnt"}
     df = df.withColumnsRenamed(names).withColumns({"Fwd IAT Std": F.col("Flow IAT Std"), "Fwd IAT Mean": F.col("Flow IAT Mean"), "Label": clean.binarise("Label")})
@@ -59,7 +56,7 @@ def process_pipeline(spark, sf):
 
 
 def valid_rows_aligned(spark, sf):
-    df = clean.drop_header_rows(raw(spark)).drop("Src IP")
+    df = clean.drop_header_rows(raw(spark, sf)).drop("Src IP")
     return clean.valid_with_side(df, ["Label", "id"]).select("id", F.col("Label").alias("label"))
 
 
@@ -155,8 +152,20 @@ def shard_plain(spark, sf):
     return sampling.shard_plain(flows(spark, sf), "event_id", 7).select("event_id", "shard_id")
 
 
+def _users(spark, sf, n: int, name: str):
+    """The remainders of user ids, as numbers of shards, tasks or workers."""
+    return flows(spark, sf).select((F.col("user_id") % n).alias(name)).distinct()
+
+
+def _user_count(spark, sf) -> int:
+    return flows(spark, sf).agg(F.count_distinct("user_id")).first()[0]
+
+
+_USERS = FLOWS + ", u AS (SELECT count(DISTINCT user_id) AS trees FROM flows)"
+
+
 def shard_task_assignment(spark, sf):
-    return sampling.assign_shards(spark.range(20).select(F.col("id").alias("shard_id")), spark.range(9).select(F.col("id").alias("task_id")), 6)
+    return sampling.assign_shards(_users(spark, sf, 20, "shard_id"), _users(spark, sf, 9, "task_id"), 6)
 
 
 def usable_shard_size(spark, sf):
@@ -165,32 +174,39 @@ def usable_shard_size(spark, sf):
 
 
 def synthetic_quota(spark, sf):
-    return sampling.quotas(spark.range(7).select(F.col("id").alias("worker")), 1000, "worker")
+    return sampling.quotas(_users(spark, sf, 7, "worker"), flows(spark, sf).count(), "worker")
+
+
+def _sizes(spark, sf):
+    """Rows of six workers; two are unknown and one is empty."""
+    w = F.col("worker")
+    sizes = flows(spark, sf).groupBy((F.col("user_id") % 6).alias("worker")).agg(F.count("*").alias("n"))
+    return sizes.select("worker", F.when(w.isin(1, 5), None).when(w == 2, 0).otherwise(F.col("n")).cast("long").alias("size"))
 
 
-SIZES = [(0, 1000), (1, None), (2, 0), (3, 333), (4, 777), (5, None)]
+_SIZES = FLOWS + ", sizes AS (SELECT user_id % 6 AS worker, CASE WHEN user_id % 6 IN (1, 5) THEN NULL WHEN user_id % 6 = 2 THEN 0 ELSE count(*) END AS size FROM flows GROUP BY user_id % 6)"
 
 
 def tree_quota_proportional(spark, sf):
-    return sampling.tree_quotas(spark.createDataFrame(SIZES, "worker long, size long"), 100)
+    return sampling.tree_quotas(_sizes(spark, sf), 100)
 
 
 def tree_quota_equal(spark, sf):
-    return sampling.tree_quotas(spark.createDataFrame(SIZES, "worker long, size long"), 100, equal=True)
+    return sampling.tree_quotas(_sizes(spark, sf), 100, equal=True)
 
 
 def tree_chunks(spark, sf):
-    rows = [(k, *c) for k, c in enumerate(sampling.tree_chunks(100, 7))]
+    rows = [(k, *c) for k, c in enumerate(sampling.tree_chunks(_user_count(spark, sf), 7))]
     return spark.createDataFrame(rows, "chunk long, first long, last long")
 
 
 def round_steps(spark, sf):
-    rows = [(k, *c) for k, c in enumerate(sampling.round_steps(100, 3))]
+    rows = [(k, *c) for k, c in enumerate(sampling.round_steps(_user_count(spark, sf), 3))]
     return spark.createDataFrame(rows, "step long, first long, last long")
 
 
 def discard_trees(spark, sf):
-    return sampling.discard_surplus(spark.range(50).select(F.col("id").alias("tree_id")), 12)
+    return sampling.discard_surplus(flows(spark, sf).select(F.col("user_id").alias("tree_id")).distinct(), 12)
 
 
 def worker_subset(spark, sf):
@@ -223,11 +239,10 @@ def near_equal_sql(r: str, s: str, k: int) -> str:
     return f"CASE WHEN {r} <= ({s} % {k}) * ({s} // {k} + 1) THEN ({r} - 1) // ({s} // {k} + 1) ELSE ({s} % {k}) + ({r} - 1 - ({s} % {k}) * ({s} // {k} + 1)) // greatest({s} // {k}, 1) END"
 
 
-_SIZES_SQL = "sizes AS (SELECT * FROM (VALUES " + ", ".join(f"({w}, {'NULL' if s is None else s})" for w, s in SIZES) + ") AS t(worker, size))"
 
 
 def _quota_sql(sizes: str) -> str:
-    return f"""WITH {_SIZES_SQL}, filled AS (SELECT worker, {sizes} AS s FROM sizes), exact AS (SELECT worker, 100.0::DOUBLE * s / sum(s) OVER () AS e FROM filled),
+    return f"""WITH {_SIZES}, filled AS (SELECT worker, {sizes} AS s FROM sizes), exact AS (SELECT worker, 100.0::DOUBLE * s / sum(s) OVER () AS e FROM filled),
   based AS (SELECT worker, e, CAST(floor(e) AS BIGINT) AS base, 100 - CAST(sum(floor(e)) OVER () AS BIGINT) AS rest FROM exact)
   SELECT CAST(worker AS BIGINT) AS worker, base + CASE WHEN row_number() OVER (ORDER BY round(e - base, 9) DESC, worker) <= rest THEN 1 ELSE 0 END AS trees FROM based"""
 
@@ -291,19 +306,19 @@ QUERIES = {
     "shard_by_day": (shard_by_day, f"WITH {FLOWS} SELECT day, CAST((dense_rank() OVER (ORDER BY day) - 1) % 4 AS BIGINT) AS shard_id, n FROM (SELECT day, count(*) AS n FROM flows GROUP BY day)"),
     "shard_stratified": (shard_stratified, f"WITH {FLOWS} SELECT event_id, ntile(20) OVER (PARTITION BY label ORDER BY {h('123', 'event_id')}, event_id) - 1 AS shard_id FROM flows"),
     "shard_plain": (shard_plain, f"WITH {FLOWS} SELECT event_id, ntile(7) OVER (ORDER BY {h('123', 'event_id')}, event_id) - 1 AS shard_id FROM flows"),
-    "shard_task_assignment": (shard_task_assignment, "SELECT s.range AS shard_id, t.range AS task_id FROM range(20) s JOIN range(9) t ON s.range % 6 = t.range % 6"),
+    "shard_task_assignment": (shard_task_assignment, f"WITH {FLOWS}, s AS (SELECT DISTINCT user_id % 20 AS shard_id FROM flows), t AS (SELECT DISTINCT user_id % 9 AS task_id FROM flows) SELECT shard_id, task_id FROM s JOIN t ON shard_id % 6 = task_id % 6"),
     "usable_shard_size": (
         usable_shard_size,
         f"""WITH {FLOWS}, c AS (SELECT user_id % 6 AS shard_id, count(*) FILTER (WHERE label = 1 AND user_id % 6 <> 5) AS ones, count(*) FILTER (WHERE label = 0 OR user_id % 6 = 5) AS zeros FROM flows GROUP BY 1),
   m AS (SELECT shard_id, floor(least(ones, zeros) * 0.75::DOUBLE) AS lo, floor(greatest(ones, zeros) * 0.75::DOUBLE) AS hi, least(ones, zeros) AS minor FROM c)
   SELECT shard_id, CAST(CASE WHEN minor = 0 THEN 0 ELSE lo + least(hi, round_even(lo * 1.5::DOUBLE, 0)) END AS BIGINT) AS usable FROM m""",
     ),
-    "synthetic_quota": (synthetic_quota, "SELECT range AS worker, CAST(1000 // 7 + CASE WHEN range < 1000 % 7 THEN 1 ELSE 0 END AS BIGINT) AS quota FROM range(7)"),
+    "synthetic_quota": (synthetic_quota, f"WITH {FLOWS}, w AS (SELECT worker, row_number() OVER (ORDER BY worker) - 1 AS place, count(*) OVER () AS m FROM (SELECT DISTINCT user_id % 7 AS worker FROM flows)), n AS (SELECT count(*) AS n FROM flows) SELECT worker, CAST(n // m + CASE WHEN place < n % m THEN 1 ELSE 0 END AS BIGINT) AS quota FROM w, n"),
     "tree_quota_proportional": (tree_quota_proportional, _quota_sql("coalesce(size, greatest(1.0::DOUBLE, avg(size) OVER ()))")),
     "tree_quota_equal": (tree_quota_equal, _quota_sql("1.0::DOUBLE")),
-    "tree_chunks": (tree_chunks, "SELECT range AS chunk, range * 15 AS first, least(100, range * 15 + 15)::BIGINT AS last FROM range(7)"),
-    "round_steps": (round_steps, "SELECT range AS step, range * 30 AS first, least(100, range * 30 + 30)::BIGINT AS last FROM range(4)"),
-    "discard_trees": (discard_trees, f"SELECT range AS tree_id FROM range(50) QUALIFY {rank('123', 'range')} <= 12"),
+    "tree_chunks": (tree_chunks, f"WITH {_USERS}, c AS (SELECT trees, ceil(trees / 7.0::DOUBLE)::BIGINT AS step, unnest(range(7)) AS chunk FROM u) SELECT chunk, chunk * step AS first, least(trees, chunk * step + step)::BIGINT AS last FROM c WHERE chunk * step < trees"),
+    "round_steps": (round_steps, f"WITH {_USERS}, c AS (SELECT trees, unnest(range(trees // 30 + 1)) AS step FROM u) SELECT step, step * 30 AS first, least(trees, step * 30 + 30)::BIGINT AS last FROM c WHERE step * 30 < trees"),
+    "discard_trees": (discard_trees, f"WITH {FLOWS}, t AS (SELECT DISTINCT user_id AS tree_id FROM flows) SELECT tree_id FROM t QUALIFY {rank('123', 'tree_id')} <= 12"),
     "worker_subset": (worker_subset, f"WITH {FLOWS}, w AS (SELECT DISTINCT user_id % 20 AS worker FROM flows) SELECT worker FROM w QUALIFY {rank('7', 'worker')} <= 5"),
     "spearman_nulls": (spearman_nulls, f"WITH {_GAPS} {_PAIRS}"),
     "spearman_matrix": (
