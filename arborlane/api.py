@@ -20,7 +20,7 @@ from .operators import clean, forest, metrics, sampling, selection
 from .plans import federated, training
 from .schemas import JOB_EVENTS, InferenceRequest, TrainingRequest, to_dict
 from .session import purge_scratch, scratch_mark
-from .sources import files, synthetic
+from .sources import files, pmml, synthetic
 from .streaming import state
 
 
@@ -197,11 +197,15 @@ class Engine:
     def result(self, inference_id: str) -> dict:
         return files.read_json(self.spark, self._path("results", inference_id, "metrics"))
 
-    def export(self, job_id: str, path: str) -> None:
-        """The model as one JSON table of nodes, and its manifest beside it."""
+    def export(self, job_id: str, path: str, form: str = "json") -> None:
+        """The model as a JSON table of nodes, or as PMML with a document for each tree; its manifest beside it."""
         base = self._path("models", job_id)
-        self.spark.read.parquet(f"{base}/nodes").drop("part").write.mode("overwrite").json(f"{path}/nodes")
-        files.write_json(self.spark, f"{path}/manifest", files.read_json(self.spark, f"{base}/manifest"))
+        nodes, manifest = self.spark.read.parquet(f"{base}/nodes").drop("part"), files.read_json(self.spark, f"{base}/manifest")
+        if form == "pmml":
+            pmml.write_pmml(nodes, manifest["features"], manifest["target"], f"{path}/nodes", manifest["tree_type"] == "classifier")
+        else:
+            nodes.write.mode("overwrite").json(f"{path}/nodes")
+        files.write_json(self.spark, f"{path}/manifest", manifest)
 
     def baseline(self, request: TrainingRequest, trials: int = 5, space: dict | None = None, depth: int | None = None, select: bool = False) -> dict:
         """Tunes on the request's table, out of bag; a job of the same id trains on the features kept.

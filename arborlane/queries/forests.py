@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, forest, sampling, selection, voting
 from ..schemas import Hyperparameters
-from ..sources import synthetic
+from ..session import scratch
+from ..sources import pmml, synthetic
 from .base import FLOWS, flows, h
 
 FEATURES = ["value", "hour", "k"]
@@ -234,6 +235,14 @@ def _exact_sql() -> str:
 SELECT event_id, tree_id, support, p FROM {last} JOIN leaves USING (tree_id, node)"""
 
 
+def pmml_round_trip(spark, sf):
+    """Votes of the literal trees after they were written as PMML and read back."""
+    folder = scratch(spark, "pmml")
+    pmml.write_pmml(nodes(spark), FEATURES, "label", folder)
+    read = pmml.read_pmml(spark, folder, FEATURES)
+    return _p(voting.from_sums(forest.vote_sums(flows(spark, sf), read, FEATURES, "event_id", 2), "event_id", [0, 1]))
+
+
 #: Trees and sizes of the registered learning curve.
 CURVE_TREES, CURVE_STEPS = 40, list(range(5, 41, 5))
 
@@ -295,6 +304,7 @@ def balanced_weights(spark, sf):
 
 QUERIES = {
     "forest_score": (forest_score, f"WITH RECURSIVE {SCORE_SQL} SELECT event_id, tree_id, support, p FROM votes"),
+    "pmml_round_trip": (pmml_round_trip, f"WITH RECURSIVE {SCORE_SQL} SELECT event_id, round(avg(p), 9) AS p, CAST(avg(p) > 0.5 AS BIGINT) AS yhat FROM votes GROUP BY event_id"),
     "soft_vote": (soft_vote, f"WITH RECURSIVE {SCORE_SQL} SELECT event_id, round(avg(p), 9) AS p, CAST(avg(p) > 0.5 AS BIGINT) AS yhat FROM votes GROUP BY event_id"),
     "leaf_weighted_vote": (
         leaf_weighted_vote,
