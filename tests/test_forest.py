@@ -238,6 +238,18 @@ def test_synthetic_tables_hang_on_seed_alone(spark):
     assert synthetic.worker_shard(spark, 2, 50).where("split = 'test'").count() == 10
 
 
+def test_corners_are_distinct_in_any_number_of_dimensions(spark):
+    for n, d in ((2, 1), (4, 2), (7, 3), (64, 40), (4, 300)):
+        found = synthetic.corners(n, d, 5)
+        assert len({tuple(c) for c in found}) == n and all(len(c) == d for c in found)
+    assert all(0 < sum(bits) < 64 for bits in zip(*synthetic.corners(64, 40, 5), strict=True))  # every dimension tells some apart
+    with pytest.raises(ValueError):
+        synthetic.corners(5, 2, 1)
+    df = synthetic.classification(spark, 3000, 45, informative=40, clusters=2)
+    means = df.agg(*[F.corr(f"Feature_{k}", "Label").alias(str(k)) for k in range(40)]).first()
+    assert sum(abs(m) > 0.1 for m in means) > 10
+
+
 def test_provision(spark, tmp_path):
     df = planted(spark, 200).withColumn("day", F.concat(F.lit("d"), F.col("id") % 5))
     path = str(tmp_path / "p")
