@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from arborlane.functions.hashing import exact_rank
 from arborlane.functions.ranking import running_sums
-from arborlane.operators import forest, sampling, voting
+from arborlane.operators import forest, packed, sampling, voting
 from arborlane.plans import federated
 from arborlane.sources import files
 
@@ -50,10 +50,10 @@ def test_sums_are_the_votes(spark):
     votes = forest.score(df, nodes, ["id"], "id")
     for cap, want in ((None, voting.soft_vote(votes, "id", [0, 1])), (50, voting.leaf_weighted_vote(votes, "id", [0, 1]))):
         want = {r.id: (r.trees, r.yhat, [round(p, 12) for p in r.probs]) for r in want.collect()}
-        for most in (forest.NODES_AT_ONCE, 4):
-            old, forest.NODES_AT_ONCE = forest.NODES_AT_ONCE, most
+        for most in (packed.NODES_AT_ONCE, 4):
+            old, packed.NODES_AT_ONCE = packed.NODES_AT_ONCE, most
             got = voting.from_sums(forest.vote_sums(df, nodes, ["id"], "id", 2, cap), "id", [0, 1])
-            forest.NODES_AT_ONCE = old
+            packed.NODES_AT_ONCE = old
             assert {r.id: (r.trees, r.yhat, [round(p, 12) for p in r.probs]) for r in got.collect()} == want
 
 
