@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the reference, in seconds: heartbeats older than this are dead; leases of leaders and jobs.
 HEARTBEAT, LEADER_LEASE, JOB_LEASE = 120.0, 180.0, 300.0
-_ENTRY = "struct<at_s:double,owner:string,action:string,granted:boolean,holder:string,expires_at:double>"
 #: Which status may follow which.
 FOLLOWS = {"QUEUED": ("PROCESSING", "FAILED"), "PROCESSING": ("COMPLETED", "FAILED", "PROCESSING"), "COMPLETED": (), "FAILED": ("QUEUED",)}
 
@@ -57,23 +59,35 @@ def lock_history(events: DataFrame) -> DataFrame:
     acquire succeeds if the lock is free, expired or already the owner's;
     refresh and release succeed only for the owner of a live lock.  Events of a
     lock take their turn by time, then owner: a fold over them, as each outcome
-    depends on the one before.
+    depends on the one before.  Spark sorts them within a task, which reads them
+    batch by batch and keeps one lock's state, so a log of any length costs time
+    in proportion and no memory.  A comparison with a null is null, as in SQL.
     """
-    step = F.struct("at_s", "owner", "action", "ttl")
-    start = F.struct(F.lit(None).cast("string").alias("holder"), F.lit(0.0).alias("expires_at"), F.slice(F.array(F.lit(None).cast(_ENTRY)), 1, 0).alias("log"))
 
-    def after(state: Column, e: Column) -> Column:
-        mine = state["holder"].eqNullSafe(e["owner"])
-        expired = state["holder"].isNull() | (e["at_s"] >= state["expires_at"])
-        granted = F.when(e["action"] == "acquire", expired | mine).otherwise(mine & ~expired)
-        released = granted & (e["action"] == "release")
-        holder = F.when(released, F.lit(None).cast("string")).when(granted, e["owner"]).otherwise(state["holder"])
-        expires = F.when(released, F.lit(0.0)).when(granted, e["at_s"] + e["ttl"]).otherwise(state["expires_at"])
-        entry = F.struct(e["at_s"].alias("at_s"), e["owner"].alias("owner"), e["action"].alias("action"), granted.alias("granted"), holder.alias("holder"), expires.alias("expires_at"))
-        return F.struct(holder.alias("holder"), expires.alias("expires_at"), F.concat(state["log"], F.array(entry).cast(f"array<{_ENTRY}>")).alias("log"))
-
-    folded = events.groupBy("lock_key").agg(F.array_sort(F.collect_list(step)).alias("events"))
-    return folded.select("lock_key", F.explode(F.aggregate("events", start, after, lambda s: s["log"])).alias("e")).select("lock_key", "e.*")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lock, holder, expires = object(), None, 0.0  # no key equals the first lock
+        for b in batches:
+            grants, holders, ends = [], [], []
+            for key, at, owner, action, ttl in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if key != lock:
+                    lock, holder, expires = key, None, 0.0
+                mine = holder == owner
+                over = True if holder is None else None if at is None or expires is None else at >= expires or at != at  # NaN is the latest time
+                if action == "acquire":
+                    granted = True if over or mine else over
+                else:
+                    granted = False if not mine else None if over is None else not over
+                if granted:
+                    holder, expires = (None, 0.0) if action == "release" else (owner, None if at is None or ttl is None else at + ttl)
+                grants.append(granted)
+                holders.append(holder)
+                ends.append(expires)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(grants, pa.bool_()), pa.array(holders, pa.string()), pa.array(ends, pa.float64())], [*b.schema.names[:4], "granted", "holder", "expires_at"])
+
+    kind = events.schema["lock_key"].dataType.simpleString()
+    rows = events.select("lock_key", F.col("at_s").cast("double").alias("at_s"), "owner", "action", F.col("ttl").cast("double").alias("ttl"))
+    turns = rows.repartition(F.col("lock_key")).sortWithinPartitions("lock_key", "at_s", "owner", "action", "ttl")
+    return turns.mapInArrow(fold, f"lock_key {kind}, at_s double, owner string, action string, granted boolean, holder string, expires_at double")
 
 
 def lock_owner(history: DataFrame, now: float) -> DataFrame:
