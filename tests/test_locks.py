@@ -42,3 +42,13 @@ def test_no_row_holds_a_log(spark):
     history = state.lock_history(spark.createDataFrame(log(10, ["x"]), SCHEMA))
     assert "collect_list" not in history._jdf.queryExecution().toString()
     assert state.lock_history(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_owners_after_long_logs(spark):
+    rows = log(12_000, ["x", "y"])
+    history = state.lock_history(spark.createDataFrame(rows, SCHEMA))
+    last = {key: (holder, until) for key, _, _, _, _, holder, until in plain(rows)[0]}
+    want = {key: holder if until is not None and until > 12_000.0 else None for key, (holder, until) in last.items()}
+    owners = state.lock_owner(history, 12_000.0)
+    assert {r.lock_key: r.owner for r in owners.collect()} == want
+    assert "collect_list" not in owners._jdf.queryExecution().toString()
