@@ -52,3 +52,11 @@ def test_owners_after_long_logs(spark):
     owners = state.lock_owner(history, 12_000.0)
     assert {r.lock_key: r.owner for r in owners.collect()} == want
     assert "collect_list" not in owners._jdf.queryExecution().toString()
+
+
+def test_orphans_of_long_logs(spark):
+    rows = [("x", "a", "acquire", 10.0, float(k)) for k in range(12_000)] + [("y", "a", "acquire", 5.0, float(k)) for k in range(6_000)]
+    jobs = spark.createDataFrame([("x", "PROCESSING", 1.0), ("y", "PROCESSING", 1.0), ("z", "PROCESSING", 1.0), ("w", "COMPLETED", 1.0)], "job_id string, status string, at_s double")
+    found = state.orphans(jobs, spark.createDataFrame(rows, SCHEMA), 12_000.0)
+    assert sorted(r.job_id for r in found.collect()) == ["y", "z"]
+    assert "collect_list" not in found._jdf.queryExecution().toString()
