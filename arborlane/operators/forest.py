@@ -51,6 +51,17 @@ def bootstrap_weights(df: DataFrame, key: str, trees: int, max_samples: float =
     return each.join(drawn, ["tree_id", "__at"], "left").select("tree_id", key, F.coalesce("w", F.lit(0)).cast("long").alias("weight"))
 
 
+def with_times(df: DataFrame, key: str, trees: int, max_samples: float = 1.0, seed: int = 123, name: str = "times") -> DataFrame:
+    """df with an array of how often each tree draws the row: the weights of `bootstrap_weights`, tree by tree."""
+    at, size, tree, w = unused(df, "at", "size", "tree_id", "w")
+    n = df.count()
+    draws = df.sparkSession.range(trees * int(max_samples * n)).select((F.col("id") % trees).alias(tree), F.floor(F.col("id") / trees).cast("long").alias("draw"))
+    place = F.pmod(hash32(F.col(tree) + seed, "draw"), F.lit(max(n, 1))) + 1
+    drawn = draws.select(tree, place.alias(at)).groupBy(at).agg(F.array(*[F.count_if(F.col(tree) == t).cast("int") for t in range(trees)]).alias(w))
+    rows = exact_rank(df, seed, key, (), at, size).join(drawn, at, "left")
+    return rows.withColumn(name, F.coalesce(w, F.array(*[F.lit(0)] * trees))).drop(at, size, w)
+
+
 def impurity(kind: str, n: Column, s: Column, ss: Column | None = None) -> Column:
     """Of n rows with s positives (gini, entropy) or sum s and squares ss (variance)."""
     p = s / n

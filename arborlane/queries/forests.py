@@ -106,9 +106,8 @@ def oob_curve(spark, sf):
 
 
 def permutation_importance(spark, sf):
-    df = flows(spark, sf)
-    times = F.array(*[forest.drawn(1.0, 123 + t, "event_id").cast("int") for t in range(3)])
-    out = selection.permutation_importance(df, nodes(spark), (list(range(3)), times), FEATURES, "event_id", "label")
+    df = forest.with_times(flows(spark, sf).select("event_id", "label", *FEATURES), "event_id", BOOT_TREES, 0.7, BOOT_SEED)
+    out = selection.permutation_importance(df, nodes(spark), (list(range(BOOT_TREES)), F.col("times")), FEATURES, "event_id", "label")
     return out.withColumn("importance", F.round("importance", 6))
 
 
@@ -116,14 +115,19 @@ def _walked(name: str, columns: str, source: str) -> str:
     """SQL: the share of wrong out-of-bag votes of each tree over flows with these columns."""
     return f"""w_{name} AS (SELECT event_id, label, {columns}, tree_id, 0 AS node_id FROM {source}, (SELECT DISTINCT tree_id FROM nodes)
     UNION ALL SELECT w.event_id, w.label, w.value, w.hour, w.k, w.tree_id, CASE WHEN coalesce(CASE n.feature WHEN 0 THEN w.value WHEN 1 THEN w.hour ELSE w.k END, 0) <= n.threshold THEN n.l ELSE n.r END FROM w_{name} w JOIN nodes n USING (tree_id, node_id) WHERE n.feature IS NOT NULL),
-  e_{name} AS (SELECT tree_id, avg(CAST((n.p > 0.5) <> (label = 1) AS INTEGER)) AS e FROM w_{name} w JOIN nodes n USING (tree_id, node_id)
-    WHERE n.feature IS NULL AND ('0x' || substr(md5((123 + tree_id)::VARCHAR || ':' || event_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE < {math.exp(-1.0)!r}::DOUBLE GROUP BY tree_id)"""
+  e_{name} AS (SELECT tree_id, avg(CAST((n.p > 0.5) <> (label = 1) AS INTEGER)) AS e FROM w_{name} w JOIN nodes n USING (tree_id, node_id) JOIN weights g USING (tree_id, event_id)
+    WHERE n.feature IS NULL AND g.weight = 0 GROUP BY tree_id)"""
+
+
+def _permuted(f: str) -> str:
+    """SQL: flows whose value of a feature comes from the row of another hash rank, and the errors over them."""
+    columns = ", ".join(f"v.{c}" if c == f else f"a.{c}" for c in FEATURES)
+    return f"""p_{f} AS (SELECT a.event_id, a.label, {columns} FROM (SELECT *, row_number() OVER (ORDER BY {h(f'123-{f}-a', 'event_id')}, event_id) AS r FROM filled) a JOIN (SELECT {f}, row_number() OVER (ORDER BY {h(f'123-{f}-b', 'event_id')}, event_id) AS r FROM filled) v USING (r)),
+  {_walked(f, 'value, hour, k', f'p_{f}')}"""
 
 
-_NEXT = ", ".join(f"coalesce(lead({f}) OVER o, first_value({f}) OVER o) AS next_{f}" for f in FEATURES)
-_IMPORTANCE = f"""WITH RECURSIVE {FLOWS}, {NODES_SQL}, filled AS (SELECT event_id, label, {", ".join(f"coalesce({f}, 0) AS {f}" for f in FEATURES)} FROM flows),
-  moved AS (SELECT *, {_NEXT} FROM filled WINDOW o AS (ORDER BY {h('123-permuted', 'event_id')}, event_id)), {_walked('base', 'value, hour, k', 'filled')},
-  {", ".join(_walked(f, ", ".join(f"next_{c} AS {c}" if c == f else c for c in FEATURES), 'moved') for f in FEATURES)}
+_IMPORTANCE = f"""WITH RECURSIVE {_BOOT}, {NODES_SQL}, filled AS (SELECT event_id, label, {", ".join(f"coalesce({f}, 0) AS {f}" for f in FEATURES)} FROM flows),
+  {_walked('base', 'value, hour, k', 'filled')}, {", ".join(_permuted(f) for f in FEATURES)}
   """ + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg((e_{f}.e - e_base.e) / e_base.e * 100), 6) AS importance FROM e_base JOIN e_{f} USING (tree_id) WHERE e_base.e > 0" for f in FEATURES)
 
 
