@@ -4,11 +4,9 @@ Spark counts the byte 4-grams of all documents.  From them comes a modified
 Kneser-Ney model: the top order from counts, the lower ones from how many
 different bytes precede an n-gram, three discounts for each order by its counts
 of counts, interpolated down to the uniform distribution over 256 symbols.  It
-is kept in sorted arrays of n-gram keys with their shares beside them.  The top
-order's contexts (three bytes) hash to 16 bits, so no order has over 2**24
-n-grams (134 MB at the most, some MB in practice): what is collected and
-broadcast has a bound that doesn't grow with the corpus.  Contexts in one place
-share a distribution, which still sums to 1.
+is kept in sorted arrays of n-gram keys with their shares beside them, every
+n-gram and context on its own: 8 bytes for each different 4-gram, context and
+3-gram of the corpus, collected once and broadcast.
 
 A text's level is the mean logarithm of its words' bits (each word with what
 follows it up to the next), so its perplexity's logarithm, averaged by ratio:
@@ -17,9 +15,9 @@ bits, so text strewn with marks lies low and noise lies high.  For each language
 the levels' median, the median distance of those below it and that of those
 above it give a lower band (repeated, boilerplate-like text) and an upper band
 (noise), each by its own side's spread and wider for short texts.  All come from
-a histogram, so they are the same however the table is dealt.  Languages are
-told apart by a hash of `lang` in 512 places: that many bands at the most are
-broadcast.
+a histogram that Spark sums by language, so they are the same however the table
+is dealt.  Each value of `lang` has bands of its own, null too; they are
+broadcast up to a number of languages and joined by shuffle beyond it.
 
 Beside the bands, the base rules reject short texts and texts that repeat
 themselves.
@@ -32,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import U64, Words, checkpointed, chunked, compacted, grams, mix, pieces, read, scan_partitions, sum_by, unused
@@ -43,15 +42,15 @@ LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 #: A band's distance from the middle: so many deviations of its side (at least LEAST_DEVIATION), times the root of 1 + SHORT / words.
 DEVIATIONS, LEAST_DEVIATION, SHORT = 4.0, 0.01, 60.0
-#: Bins of the histogram of levels in 1, places of the languages' hash.
-BINS, LANGUAGES = 1024, 512
+#: Bins of the histogram of levels in 1, languages whose bands are broadcast at the most.
+BINS, BROADCAST = 1024, 50_000
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, level double"
 
 
 def _slot(context: np.ndarray) -> np.ndarray:
-    """Three bytes to 16 bits; the same as in SQL."""
-    return (context * 2654435761 >> 16) & 0xFFFF
+    """The place of three bytes among the top order's contexts: their own number, so no two share one."""
+    return context
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -83,7 +82,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
 
 class KneserNey:
-    """The model; `top` and `lower` are sorted (key, count) arrays of the highest order (context slot * 256 + byte) and the continuation counts of three bytes."""
+    """The model; `top` and `lower` are sorted (key, count) arrays of the highest order (4-grams) and the continuation counts of three bytes."""
 
     def __init__(self, top: tuple[np.ndarray, np.ndarray], lower: tuple[np.ndarray, np.ndarray]):
         uniform = np.full(256, 1 / 256)
@@ -97,7 +96,9 @@ class KneserNey:
         self.p2[two[0]] += share
         share, self.back3 = self._order(lower, 1 << 16)
         self.keys3, self.share3 = lower[0].astype(np.uint32), share.astype(np.float32)
-        share, self.back4 = self._order(top, 1 << 16)
+        contexts, at = np.unique(top[0] >> 8, return_inverse=True)
+        share, back = self._order((at << 8, top[1]), len(contexts))
+        self.contexts, self.back4 = contexts.astype(np.uint32), back.astype(np.float32)
         self.keys4, self.share4 = top[0].astype(np.uint32), share.astype(np.float32)
 
     @staticmethod
@@ -115,11 +116,11 @@ class KneserNey:
         return np.divide(counts - off, total[context]), back
 
     @staticmethod
-    def _find(keys: np.ndarray, share: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    def _find(keys: np.ndarray, share: np.ndarray, wanted: np.ndarray, missing: float = 0.0) -> np.ndarray:
         if not len(keys):
-            return np.zeros(len(wanted))
+            return np.full(len(wanted), missing)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, share[at], 0.0)
+        return np.where(keys[at] == wanted, share[at], missing)
 
     def probability(self, key: np.ndarray) -> np.ndarray:
         """Of the last byte of each 4-gram, given the others."""
@@ -127,7 +128,7 @@ class KneserNey:
         three = key & 0xFFFFFF
         p = self._find(self.keys3, self.share3, three.astype(np.uint32)) + self.back3[three >> 8] * self.p2[key & 0xFFFF]
         slot = _slot(key >> 8)
-        return self._find(self.keys4, self.share4, (slot * 256 + (key & 0xFF)).astype(np.uint32)) + self.back4[slot] * p
+        return self._find(self.keys4, self.share4, (slot * 256 + (key & 0xFF)).astype(np.uint32)) + self._find(self.contexts, self.back4, slot.astype(np.uint32), 1.0) * p
 
     def byte_bits(self, encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The bits of each byte and of each text's end after its bytes, and where each text starts."""
@@ -141,11 +142,9 @@ class KneserNey:
 
 
 def train(texts: DataFrame) -> KneserNey:
-    """The model of column text.  Two tables of at most 2**24 rows come to the driver, whatever the input."""
+    """The model of column text.  A row for each different 4-gram and 3-gram of bytes comes to the driver."""
     counts = checkpointed(count_grams(texts).coalesce(max(1, scan_partitions(texts) // 4)))
-    context = F.shiftright("key", 8)
-    slot = F.shiftright(context * F.lit(2654435761), 16).bitwiseAND(F.lit(0xFFFF))
-    top = counts.groupBy((slot * 256 + F.col("key").bitwiseAND(F.lit(0xFF))).alias("k")).agg(F.sum("n").alias("n"))
+    top = counts.select(F.col("key").alias("k"), "n")
     lower = counts.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("k")).agg(F.count("*").alias("n"))
     arrays = []
     for table in (top, lower):
@@ -212,34 +211,27 @@ def measured(many: list[str], model: KneserNey) -> list[np.ndarray]:
     return [*counts, failed, level]
 
 
-def language_place(lang_col: str | None):
-    name = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")) if lang_col else F.lit("")
-    return F.pmod(F.xxhash64(name), F.lit(LANGUAGES)).cast("int")
+def language(lang_col: str | None):
+    return F.col(f"`{lang_col}`").cast("string") if lang_col else F.lit(None).cast("string")
 
 
 def bands(scores: DataFrame) -> DataFrame:
-    """place, middle, and below and above (the deviations of either side) of the levels of all rows (place, level) that pass the base rules; a row for each language's place."""
-    binned = scores.where("not base_failed").groupBy("place", F.floor(F.col("level") * BINS).alias("bin")).count()
-    rows: dict[int, list[tuple[int, int]]] = {}
-    for place, b, n in binned.collect():  # at most 512 places by some thousand bins
-        rows.setdefault(place, []).append((b, n))
-
-    def middle(pairs: list[tuple[float, int]]) -> float:
-        half, total = sum(n for _, n in pairs) / 2, 0
-        for value, n in sorted(pairs):
-            total += n
-            if total >= half:
-                return value
-        return 0.0
-
-    def deviation(pairs: list[tuple[float, int]]) -> float:
-        return max(LEAST_DEVIATION, 1.4826 * middle(pairs) / BINS)
-
-    out = []
-    for place, pairs in sorted(rows.items()):
-        m = middle(pairs)
-        out.append((place, (m + 0.5) / BINS, deviation([(m - b, n) for b, n in pairs if b <= m]), deviation([(b - m, n) for b, n in pairs if b >= m])))
-    return scores.sparkSession.createDataFrame(out, "place int, middle double, below double, above double")
+    """place (the language), middle, and below and above (the deviations of either side) of the levels of all rows (place, level) that pass the base rules; a row for each language."""
+    binned = scores.where("not base_failed").groupBy("place", F.floor(F.col("level") * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    own, b, m, n = W.partitionBy("place"), F.col("bin"), F.col("m"), F.col("n")  # some thousand bins of a language
+    half = lambda part, of: 2 * F.sum(part).over(of) >= F.sum(part).over(own)
+    rows = binned.withColumn("up", half(n, own.orderBy("bin"))).withColumn("m", F.min(F.when(F.col("up"), b)).over(own))
+    low, high = F.when(b <= m, n), F.when(b >= m, n)
+    rows = rows.select("place", "m", F.when((b <= m) & half(low, own.orderBy(b.desc())), m - b).alias("low"), F.when((b >= m) & half(high, own.orderBy("bin")), b - m).alias("high"))
+    deviation = lambda c: F.greatest(F.lit(LEAST_DEVIATION), 1.4826 * F.min(c) / BINS)
+    return rows.groupBy("place").agg(((F.min("m") + 0.5) / BINS).alias("middle"), deviation("low").alias("below"), deviation("high").alias("above"))
+
+
+def with_bands(rows: DataFrame, place: str, found: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """rows with their language's bands as `names`, null where it has none."""
+    (at,) = unused(rows, "at")
+    found = checkpointed(found.toDF(at, *names))
+    return rows.join(F.broadcast(found) if found.count() <= BROADCAST else found, F.col(place).eqNullSafe(F.col(at)), "left").drop(at)
 
 
 def limits(n_words, middle, below, above):
@@ -254,14 +246,14 @@ def inside(level, n_words, middle, below, above):
 
 
 def _measure(docs: DataFrame, model: KneserNey, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), language_place(lang_col).alias("place"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), language(lang_col).alias("place"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, place, many in chunked(batches, "doc_id", "place", "text", limit=1 << 20):
             own = measured(many, model)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(place, pa.int32()), *[pa.array(x.astype(np.int64)) for x in own[:5]], pa.array(own[5]), pa.array(own[6])], ["doc_id", "place", *[f.split()[0] for f in FIELDS.split(", ")]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(place, pa.string()), *[pa.array(x.astype(np.int64)) for x in own[:5]], pa.array(own[5]), pa.array(own[6])], ["doc_id", "place", *[f.split()[0] for f in FIELDS.split(", ")]])
 
-    return rows.mapInArrow(run, f"doc_id long, place int, {FIELDS}")
+    return rows.mapInArrow(run, f"doc_id long, place string, {FIELDS}")
 
 
 def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
@@ -275,7 +267,7 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     model = train(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")))
     scores = compacted(_measure(docs, model, id_col, text_col, lang_col))
-    rows = scores.join(F.broadcast(bands(scores)), "place", "left")
+    rows = with_bands(scores, "place", bands(scores), ("middle", "below", "above"))
     band = [F.col(c) for c in ("n_words", "middle", "below", "above")]
     lower, upper = limits(*band)
     return rows.select(
@@ -296,7 +288,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     place, own, middle, below, above = unused(docs, "place", "own", "middle", "below", "above")
     model = train(docs.select(F.coalesce("text", F.lit("")).alias("text")))
     lang = "lang" if "lang" in docs.columns else None
-    found = bands(compacted(_measure(docs, model, "doc_id", "text", lang).select("place", "base_failed", "level"))).toDF(place, middle, below, above)
+    found = bands(compacted(_measure(docs, model, "doc_id", "text", lang).select("place", "base_failed", "level")))
 
     @F.arrow_udf("struct<base_failed:boolean,n_words:long,level:double>")
     def measure(text: pa.Array) -> pa.Array:
@@ -304,7 +296,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
         own = [np.concatenate(x) for x in zip(*[measured(many[part], model) for part in pieces(many)], strict=True)]
         return pa.StructArray.from_arrays([pa.array(own[5]), pa.array(own[0].astype(np.int64)), pa.array(own[6])], ["base_failed", "n_words", "level"])
 
-    rows = docs.withColumns({place: language_place(lang), own: measure.asNondeterministic()("text")}).join(F.broadcast(found), place, "left")
+    rows = docs.withColumns({place: language(lang), own: measure.asNondeterministic()("text")})
+    rows = with_bands(rows, place, found, (middle, below, above))
     good = ~F.col(f"{own}.base_failed") & inside(F.col(f"{own}.level"), F.col(f"{own}.n_words"), F.col(middle), F.col(below), F.col(above))
     return rows.where(good).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -105,3 +105,26 @@ def test_bands_reject_most_poor_documents_and_hardly_a_good_one(spark):
     poor, good = ([r for r in rows if r.quality == v] for v in (0, 1))
     assert sum(r.kept for r in poor) <= 0.25 * len(poor) and sum(r.kept for r in good) >= 0.99 * len(good)
     assert any(r.bits < r.lower for r in poor) and any(r.bits > r.upper for r in poor)
+
+
+def test_no_two_contexts_or_languages_share_a_place(spark):
+    contexts = np.arange(0, 1 << 24, 37)
+    assert len(np.unique(q._slot(contexts))) == len(contexts)
+    rng = np.random.default_rng(9)
+    langs = [f"l{k}" for k in range(700)]  # more than the 512 places that they once shared
+    scores = [(lang, False, float(x)) for k, lang in enumerate(langs) for x in k / 50 + rng.random(9)] + [(None, False, 77.0), ("", False, 3.0), ("gone", True, 1.0)]
+    found = {r.place: r for r in q.bands(spark.createDataFrame(scores, "place string, base_failed boolean, level double")).collect()}
+    assert set(found) == {*langs, None, ""}
+    for lang in (None, "", *langs[::50]):
+        bins = sorted(int(x * q.BINS // 1) for place, _, x in scores if place == lang)
+        middle = bins[(len(bins) - 1) // 2]
+        low, high = (sorted(abs(b - middle) for b in bins if side * (b - middle) >= 0) for side in (-1, 1))
+        want = [max(q.LEAST_DEVIATION, 1.4826 * d[(len(d) - 1) // 2] / q.BINS) for d in (low, high)]
+        assert np.allclose([found[lang].middle, found[lang].below, found[lang].above], [(middle + 0.5) / q.BINS, *want])
+
+
+def test_many_languages_have_their_own_bands(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, " ".join(f"{chr(97 + k % 26)}w{j * (k % 26 + 1)}" for j in range(40)), f"l{k % 600}") for k in range(1200)], "doc_id long, text string, lang string")
+    few = {r.doc_id: (r.lower, r.upper, r.kept) for r in q.rules(rows).collect()}
+    monkeypatch.setattr(q, "BROADCAST", 10)
+    assert {r.doc_id: (r.lower, r.upper, r.kept) for r in q.rules(rows).collect()} == few
