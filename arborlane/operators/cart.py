@@ -3,6 +3,9 @@
 * Every tree has a seed of its own.  How often a tree draws a row is a Poisson
   number by the hash of seed and key, taken in the scan, so a tree is the same
   whichever trees are grown with it and however rows are dealt.
+* Rows that are equal in every feature go the same way in a tree.  Where there
+  are few different ones, one scan sums them by tree and features, and all
+  levels read these sums instead of the rows; the trees are the same.
 * A level is one job over all trees: the scan walks rows down what is grown so
   far and sums them by (tree, node, feature, value) for the features that the
   node tries; running sums over ranges of values give the gain of every
@@ -142,13 +145,14 @@ def split(rule: Rules, x: np.ndarray, sums: np.ndarray) -> tuple[int, float] | N
     return int(q[k]), middle if middle < high else low
 
 
-def subtree(rule: Rules, seed: int, tree: int, node: int, depth: int, x: np.ndarray, sums: np.ndarray) -> list[tuple]:
-    """Rows of STATE for the whole subtree below a node, itself included, from all of its rows."""
+def subtree(rule: Rules, seed: int, tree: int, node: int, depth: int, x: np.ndarray, sums: np.ndarray, count: np.ndarray | None = None) -> list[tuple]:
+    """Rows of STATE for the whole subtree below a node, itself included, from all of its rows; `count`: how many rows each stands for, one without it."""
+    count = np.ones(len(x), np.int64) if count is None else count
     out, waiting, used = [], [(node, depth, np.arange(len(x)))], 0
     while waiting:
         at, level, rows = waiting.pop()
-        own, total, best = sums[rows], sums[rows].sum(axis=0), None
-        if not (len(rows) < rule.min_split or rule.pure(total) or (rule.depth is not None and level >= rule.depth)):
+        own, total, n, best = sums[rows], sums[rows].sum(axis=0), int(count[rows].sum()), None
+        if not (n < rule.min_split or rule.pure(total) or (rule.depth is not None and level >= rule.depth)):
             order = rule.order(seed, at)
             for k in range(0, rule.features, rule.tries):
                 for f in sorted(order[k : k + rule.tries].tolist()):
@@ -158,13 +162,13 @@ def subtree(rule: Rules, seed: int, tree: int, node: int, depth: int, x: np.ndar
                 if best:
                     break
         if best is None:
-            out.append((tree, at, level, 0, LEAF, None, None, None, None, len(rows), total.tolist()))
+            out.append((tree, at, level, 0, LEAF, None, None, None, None, n, total.tolist()))
             continue
         _, f, threshold = best
         goes = x[rows, f] <= threshold
         left, right = node + used + 1, node + used + 2
         used += 2
-        out.append((tree, at, level, 0, SPLIT, f, threshold, left, right, len(rows), total.tolist()))
+        out.append((tree, at, level, 0, SPLIT, f, threshold, left, right, n, total.tolist()))
         waiting += [(left, level + 1, rows[goes]), (right, level + 1, rows[~goes])]
     return out
 
@@ -247,8 +251,17 @@ def grow(df: DataFrame, request: Hyperparameters, features: list[str], key: str,
     values = [F.nanvl(c, F.lit(math.inf)).alias(f"f{i}") for i, c in enumerate(packed.inputs(features))]
     target = F.col(f"`{request.target}`").cast("long" if classifier else "double")
     rows = df.where(F.col(f"`{request.target}`").isNotNull()).select(drawn_times(request, trees, key, shard).alias(times), target.cast("double").alias("y"), *values)
-    bounds = _ranges(rows, n, len(features), seeds[0])
     base = scratch(spark, "growing")
+    inputs = [f"f{i}" for i in range(len(features))]
+    few = n > rule.local and bool(inputs) and len(trees) * rows.agg(F.approx_count_distinct(F.xxhash64(*inputs))).first()[0] <= n
+    if few:
+        w, y = F.col("w"), F.col("y")
+        own = [w, w * y, w * y * y] if not classifier else [F.when(y == i, w).otherwise(0) for i in range(m)]
+        drawn = rows.select(F.posexplode(times).alias("t", "w"), "y", *inputs).where(w > 0)
+        sums = drawn.groupBy("t", *inputs).agg(F.count("*").alias("n"), *[F.sum(c.cast("double")).alias(f"s{i}") for i, c in enumerate(own)])
+        sums.write.parquet(f"{base}/distinct")
+        rows = spark.read.parquet(f"{base}/distinct").select("t", "n", *[f"s{i}" for i in range(m)], *inputs)
+    bounds = _ranges(rows, rows.count() if few else n, len(features), seeds[0])
     level = 0
 
     def place(k: int) -> str:
@@ -259,16 +272,20 @@ def grow(df: DataFrame, request: Hyperparameters, features: list[str], key: str,
     spark.createDataFrame(roots, STATE).coalesce(1).write.parquet(place(0))
 
     def reached(b: pa.RecordBatch, growing: Growing, state: str) -> Iterator[tuple]:
-        """(tree's place, rows, where they are, x, y, times) of the rows that lie in a node of the state."""
-        lists = b.column(0)
-        w = lists.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(numbers))
-        y, x = b.column(1).to_numpy(zero_copy_only=False), packed.matrix(b, 2, len(features))
+        """(tree's place, where its rows are, x, how many rows each stands for, sums) of the rows that lie in a node of the state."""
+        if few:
+            place, x = b.column(0).to_numpy(zero_copy_only=False), packed.matrix(b, 2 + m, len(features))
+            count, sums = b.column(1).to_numpy(zero_copy_only=False), packed.matrix(b, 2, m)
+        else:
+            w = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(numbers))
+            y, x = b.column(1).to_numpy(zero_copy_only=False), packed.matrix(b, 2, len(features))
         for t, number in enumerate(numbers):
-            live = np.flatnonzero(w[:, t] > 0)
+            live = np.flatnonzero(place == t if few else w[:, t] > 0)
             at = growing.trees.leaf(number, x[live])
             here = growing.state[at] == state
             if here.any():
-                yield t, live[here], at[here], x, y, w
+                own = live[here]
+                yield t, at[here], x[own], *((count[own], sums[own]) if few else (np.ones(len(own), np.int64), row_sums(y[own], w[own, t])))
 
     def row_sums(y: np.ndarray, w: np.ndarray) -> np.ndarray:
         w = w.astype(np.float64)
@@ -283,18 +300,18 @@ def grow(df: DataFrame, request: Hyperparameters, features: list[str], key: str,
             growing, orders = Growing(levels), {}
             for b in batches:
                 parts = []
-                for t, own, at, x, y, w in reached(b, growing, BIG):
+                for t, at, x, count, sums in reached(b, growing, BIG):
                     for node in np.unique(at).tolist():
                         if node not in orders:
                             k = growing.tries[node] * rule.tries
                             orders[node] = rule.order(seeds[t], int(growing.trees.node[node]))[k : k + rule.tries]
-                    tried, sums = np.full((len(at), rule.tries), -1), row_sums(y[own], w[own, t])
+                    tried = np.full((len(at), rule.tries), -1)
                     for node in np.unique(at).tolist():
                         tried[at == node, : len(orders[node])] = orders[node]
                     for j in range(rule.tries):
-                        ok = tried[:, j] >= 0
+                        ok = np.flatnonzero(tried[:, j] >= 0)
                         f = tried[ok, j]
-                        parts.append((np.full(len(f), numbers[t]), growing.trees.node[at[ok]], f, x[own[ok], f], np.ones(len(f), np.int64), sums[ok]))
+                        parts.append((np.full(len(f), numbers[t]), growing.trees.node[at[ok]], f, x[ok, f], count[ok], sums[ok]))
                 if not parts:
                     continue
                 tree, node, f, x, one, sums = (np.concatenate(p) for p in zip(*parts, strict=True))
@@ -367,20 +384,20 @@ def grow(df: DataFrame, request: Hyperparameters, features: list[str], key: str,
         """The rows of the small nodes."""
         growing = Growing(levels)
         for b in batches:
-            for t, own, at, x, y, w in reached(b, growing, SMALL):
-                flat = np.column_stack([y[own], w[own, t], x[own]])
-                values = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), numbers[t])), pa.array(growing.trees.node[at]), pa.array(growing.depth[at].astype(np.int32)), values], ["tree_id", "node_id", "depth", "values"])
+            for t, at, x, count, sums in reached(b, growing, SMALL):
+                flat = np.column_stack([count, sums, x])
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), numbers[t])), pa.array(growing.trees.node[at]), pa.array(growing.depth[at].astype(np.int32)), values], ["tree_id", "node_id", "depth", "values"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b for b in batches if b.num_rows]
         tree, node, depth = (own[0].column(k)[0].as_py() for k in range(3))
-        flat = np.concatenate([b.column(3).flatten().to_numpy(zero_copy_only=False) for b in own]).reshape(-1, 2 + len(features))
-        sums, x = row_sums(flat[:, 0], flat[:, 1]), np.ascontiguousarray(flat[:, 2:])
+        flat = np.concatenate([b.column(3).flatten().to_numpy(zero_copy_only=False) for b in own]).reshape(-1, 1 + m + len(features))
+        count, sums, x = flat[:, 0].astype(np.int64), flat[:, 1 : 1 + m], np.ascontiguousarray(flat[:, 1 + m :])
         if not classifier:  # sums of doubles in one order, however the rows came
-            order = np.lexsort((flat[:, 1], flat[:, 0], *x.T))
-            sums, x = sums[order], x[order]
-        yield _states(subtree(rule, at_seed[tree], tree, node, depth, x, sums))
+            order = np.lexsort((*sums.T, *x.T))
+            count, sums, x = count[order], sums[order], x[order]
+        yield _states(subtree(rule, at_seed[tree], tree, node, depth, x, sums, count))
 
     small = rows.mapInArrow(waiting_rows, "tree_id long, node_id long, depth int, values array<double>")
     finished = small.groupBy("tree_id", "node_id").applyInArrow(finish, STATE)  # at most `local` rows each

@@ -152,3 +152,21 @@ def test_one_job_a_level_and_no_window_of_a_whole_feature(spark):
     cart.grow(df, request, ["a", "b", "c"], "id", [cart.Tree(k, k) for k in range(12)], local=1)
     assert len(tracker.getJobIdsForGroup(group + "2")) == few  # jobs grow with depth and not with trees
     spark.sparkContext.setJobGroup("", "")
+
+
+@pytest.mark.parametrize("kind", ["classifier", "regressor"])
+def test_equal_rows_are_summed_once_and_change_no_tree(spark, monkeypatch, kind):
+    df = spark.range(4000).selectExpr("id", "double(id % 7) AS a", "double(id * 31 % 11) AS b", "int((id % 7 > 3) != (id % 13 = 0)) + int(id % 5 = 1 AND id * 31 % 11 > 6) AS Label")
+    request = Hyperparameters(tree_type=kind, n_estimators=3, max_depth=4, min_samples_split=5, max_features="all", target_column="Label")
+    scans = []
+    own = cart._ranges
+    monkeypatch.setattr(cart, "_ranges", lambda rows, n, *rest: scans.append(n) or own(rows, n, *rest))
+
+    def leaves(local):
+        trees = [cart.Tree(t, 50 + t) for t in range(3)]
+        nodes = cart.grow(df, request, ["a", "b"], "id", trees, local=local)
+        return sorted((r.event, r.tree_id, r.support, tuple(round(x, 9) for x in r.dist)) for r in forest.score(df.withColumnRenamed("id", "event"), nodes, ["a", "b"], "event").collect())
+
+    rows = leaves(5000)  # one task finishes each tree from its rows
+    assert leaves(500) == rows and leaves(1) == rows
+    assert scans[0] == 4000 and max(scans[1:]) <= 3 * 77  # levels read the 77 different rows of each tree
