@@ -107,7 +107,7 @@ def lock_history(spark, sf):
 
 
 def lock_owner(spark, sf):
-    return state.lock_owner(state.lock_history(_locks(spark, sf)), _now(spark, sf))
+    return state.lock_owners(_locks(spark, sf), _now(spark, sf))
 
 
 def orphan_jobs(spark, sf):

@@ -2,8 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
+from arborlane.queries import control
 from arborlane.streaming import state
 
 SCHEMA = "lock_key string, owner string, action string, ttl double, at_s double"
@@ -60,3 +62,41 @@ def test_orphans_of_long_logs(spark):
     found = state.orphans(jobs, spark.createDataFrame(rows, SCHEMA), 12_000.0)
     assert sorted(r.job_id for r in found.collect()) == ["y", "z"]
     assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def whole(n, keys):
+    """A log without nulls in times and leases, but with equal times, leases of no length and releases without a lease."""
+    rng = random.Random(7)
+    kinds = ["acquire", "acquire", "refresh", "release", "odd", None]
+    rows = [(rng.choice(keys), rng.choice(["a", "b", "c", None]), rng.choice(kinds), rng.choice([0.0, 3.0, 40.0, float("inf")]), float(k // 3)) for k in range(n)]
+    return [(key, owner, action, None if action == "release" else ttl, at) for key, owner, action, ttl, at in rows]
+
+
+@pytest.fixture(params=[3, 10_000])
+def batch_rows(spark, request):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("keys", [["x"], ["x", "y", None, "z"], [f"k{k}" for k in range(900)]])
+def test_a_row_a_lock_leaves_the_fold(spark, batch_rows, keys):
+    rows = whole(3_000, keys) + (log(300, ["p", "q"]) if batch_rows == 3 else [])
+    events = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    done, last = plain(rows)
+    assert sorted(map(repr, (tuple(r) for r in state.lock_history(events).collect()))) == sorted(map(repr, done))
+    assert sorted(map(repr, (tuple(r) for r in state.lock_states(events).collect()))) == sorted(repr((k, *v)) for k, v in last.items())
+    owners = state.lock_owners(events, 900.0)
+    assert {r.lock_key: r.owner for r in owners.collect()} == {k: holder if until is not None and until > 900.0 else None for k, (holder, until) in last.items()}
+
+
+def test_logs_without_nulls_follow_links(monkeypatch):
+    columns = list(zip(*[(key, at, owner, action, ttl) for key, owner, action, ttl, at in sorted(whole(2_000, ["x"]), key=lambda r: r[4])], strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.string(), pa.string(), pa.float64()), strict=True)], ["lock_key", "at_s", "owner", "action", "ttl"])
+    monkeypatch.setattr(state, "_replay", None)
+    assert sum(rows.num_rows for rows, _ in state._fold(iter([batch]))) == 2_000
+
+
+def test_the_query_of_owners_groups_no_history(spark, sf):
+    plan = control.lock_owner(spark, sf)._jdf.queryExecution().toString()
+    assert "max_by" not in plan and "MapInArrow" in plan
