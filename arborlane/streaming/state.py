@@ -228,7 +228,7 @@ def job_states(events: DataFrame) -> DataFrame:
 
 def orphans(jobs: DataFrame, leases: DataFrame, now: float) -> DataFrame:
     """Jobs in PROCESSING whose lease (lock_key = job_id) is free or expired: to be resumed from their last complete part."""
-    held = lock_owner(lock_history(leases), now).where("owner is not null").select(F.col("lock_key").alias("job_id"))
+    held = lock_owners(leases, now).where("owner is not null").select(F.col("lock_key").alias("job_id"))
     return latest(jobs, "job_id").where("status = 'PROCESSING'").join(held, "job_id", "left_anti")
 
 

@@ -100,3 +100,12 @@ def test_logs_without_nulls_follow_links(monkeypatch):
 def test_the_query_of_owners_groups_no_history(spark, sf):
     plan = control.lock_owner(spark, sf)._jdf.queryExecution().toString()
     assert "max_by" not in plan and "MapInArrow" in plan
+
+
+def test_orphans_need_no_history(spark, batch_rows):
+    rows = whole(3_000, [f"j{k}" for k in range(60)])
+    jobs = spark.createDataFrame([(f"j{k}", "PROCESSING" if k % 3 else "FAILED", float(k)) for k in range(70)], "job_id string, status string, at_s double")
+    found = state.orphans(jobs, spark.createDataFrame(rows, SCHEMA), 1_000.0)
+    held = {k for k, (holder, until) in plain(rows)[1].items() if holder is not None and until > 1_000.0}
+    assert held and {r.job_id for r in found.collect()} == {f"j{k}" for k in range(70) if k % 3} - held
+    assert "granted" not in found._jdf.queryExecution().toString()
